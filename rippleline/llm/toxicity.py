@@ -6,7 +6,8 @@ a later model learns from what an earlier one says of documents it hasn't seen.
 
 Categories are label columns, in the order of the chain: by default low quality (quality = 0), then
 toxic. Models are fitted on at most `fit_docs` labelled documents, chosen by hash, over at most
-`features` words (of those in `least` documents or more, the ones that tell the categories apart best); all
+FEATURES words and beginnings of words (of those in LEAST documents or more that stray TELLING standard deviations from a category's base rate, the
+farthest); all
 documents are then predicted from their whole texts.
 
 Edge cases: null and empty texts get the probability of no words; labels that are null, and documents
@@ -18,6 +19,7 @@ empty table gives an empty result; other columns pass through unless a result ha
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,15 +30,31 @@ from pyspark.sql import functions as F
 from rippleline.llm.common import materialize
 from rippleline.llm.langid import is_held_out
 
-FIT_DOCS, FEATURES, LEAST, FOLDS, SALTS = 16000, 20000, 4, 5, 16
+FIT_DOCS, FEATURES, LEAST, TELLING, FOLDS, SALTS = 8000, 20000, 4, 4.0, 5, 16
 ROUNDS, L2 = 150, 1e-4
+PREFIXES, TIMES = (4, 5, 6, 7), 3
 _WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
 
-def words(text: str | None) -> list[str]:
-    """Distinct lower-case letter runs of a whole text."""
-    return sorted(set(_WORD.findall((text or "").lower())))
+def features(text: str | None) -> set[str]:
+    """Of a whole text: its lower-case words, and the beginnings of words, with a + for each time up to TIMES: insults are
+    inflected, and what is chance once isn't so three times."""
+    found = Counter(_WORD.findall((text or "").lower()))
+    starts: dict[str, int] = {}
+    for w, n in found.items():
+        for k in PREFIXES:
+            if len(w) >= k:
+                p = w[:k]
+                starts[p] = starts.get(p, 0) + n
+    out = set(found)
+    for p, n in starts.items():
+        p += "+"
+        out.add(p)
+        for _ in range(min(n, TIMES) - 1):
+            p += "+"
+            out.add(p)
+    return out
 
 
 class Linear:
@@ -85,7 +103,7 @@ def chain(doc: np.ndarray, word: np.ndarray, size: int, labels: np.ndarray, fold
     return made
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]] = CATEGORIES, fit_docs: int = FIT_DOCS, features: int = FEATURES) -> tuple[list[str], list[Linear]]:
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]] = CATEGORIES, fit_docs: int = FIT_DOCS, most: int = FEATURES) -> tuple[list[str], list[Linear]]:
     """The words and the chain's models."""
     made = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", *[F.coalesce(F.expr(e).cast("int"), F.lit(0)).alias(f"y{i}") for i, (_, e) in enumerate(categories)])
     made = made.groupBy("doc_id").agg(*[F.min(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
@@ -95,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
 
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(words)
+        return texts.map(lambda t: list(features(t)))
 
     # At most fit_docs rows of ids and labels: bounded whatever the data.
     one = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
@@ -107,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
     counts = sample.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys])
     # How far the word's documents stray from the base rate of a category, in standard deviations.
     telling = F.greatest(F.lit(0.0), *[F.abs(F.col(y) - F.col("n") * float(p)) / F.sqrt(F.col("n") * max(float(p) * (1 - float(p)), 1e-9)) for y, p in zip(ys, rates[1:])])
-    top = counts.where(F.col("n") >= LEAST).orderBy(telling.desc(), F.desc("n"), "word").limit(features)
+    top = counts.where((F.col("n") >= LEAST) & (telling >= TELLING)).orderBy(telling.desc(), F.desc("n"), "word").limit(most)
     vocabulary = sorted(r[0] for r in top.select("word").collect())
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
@@ -132,7 +150,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[Linear]], categories:
     @F.pandas_udf(", ".join(f"{x} double" for x in names))
     def probabilities(texts: pd.Series) -> pd.DataFrame:
         known, models = shared.value
-        at = [[known[w] for w in words(t) if w in known] for t in texts] if models else []
+        at = [sorted(known[w] for w in features(t) & known.keys()) for t in texts] if models else []
         doc = np.repeat(np.arange(len(at)), [len(x) for x in at]).astype(np.int64)
         word = np.fromiter((i for x in at for i in x), np.int64)
         found = np.zeros((len(texts), 0))
