@@ -25,7 +25,7 @@ import os
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,28 @@ HOT_WORDS = 1 << 18
 _FLUSH = 1 << 18  # distinct words that a task counts before it hands on partial counts
 _STOPS = re.compile(r"([a-zß-öø-ÿ])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
 _CACHE: dict = {}
+_ID = "<u2"  # as ids travel inside; wider vocabularies are refused
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what a task holds in Python objects is bounded by them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def pack(ranks: np.ndarray) -> bytes:
+    """Ranks by byte plane, compressed."""
+    planes = np.ascontiguousarray(ranks.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True) + len(ranks).to_bytes(8, "little")
+
+
+def unpack(packed: bytes) -> list[int]:
+    n = int.from_bytes(packed[-8:], "little")
+    if not n:
+        return []
+    planes = np.frombuffer(pa.decompress(packed[:-8], n * 4, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().tolist()
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -98,7 +120,7 @@ def encode_words(words: DataFrame, definition) -> DataFrame:
         for batch in batches:
             names = batch.column(0).to_pylist()
             found = t.encode_batch_fast([w.decode() for w in names], add_special_tokens=False)
-            ids = pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())
+            ids = pa.array([np.array(e.ids, _ID).tobytes() for e in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["word", "n", "ids"])
 
     return words.select("word", "n").mapInArrow(encode, "word binary, n long, ids binary")
@@ -124,11 +146,13 @@ def pieces(definition: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, ids binary): ids as little-endian unsigned 32-bit numbers."""
+def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.Array, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """(doc_id, text) -> what `finish` makes of the doc_ids and ids of some documents."""
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
+    if tokenizer(definition.value).get_vocab_size(with_added_tokens=True) > 1 << 16:
+        raise ValueError("vocabularies of more than 65,536 ids are not supported")
     table = materialize(encode_words(word_counts(docs), definition), "words")
     least = _threshold(table, hot_words)
     hot = table.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
@@ -144,52 +168,67 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks()
-        for batch in batches:
+        for batch in _slices(batches):
             who, what, where, words = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = t.as_py()
                 mine = [(p, w) for p, w in enumerate(split_words(text)) if w not in known]
                 if mine:
-                    h = _hash(text)
-                    who += [i] * len(mine)
+                    d, h = _key(i, text)
+                    who += [d] * len(mine)
                     what += [h] * len(mine)
                     where += [p for p, _ in mine]
                     words += [w for _, w in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.int64()), pa.array(where, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "h", "pos", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.int32()), pa.array(where, pa.int32()), pa.array(words, pa.binary())], ["d", "h", "pos", "word"])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks()
-        for batch in batches:
-            hashes, packed = [], []
-            for t in batch.column(1):
+        for batch in _slices(batches):
+            keys, packed = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = t.as_py()
-                hashes.append(_hash(text))
-                got = np.fromiter((known.get(w, -1) for w in split_words(text)), "<i4")
-                packed.append(pa.compress(got.tobytes(), "zstd", asbytes=True) + len(got).to_bytes(8, "little"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "h", "ranks"])
+                keys.append(_key(i, text))
+                packed.append(pack(np.fromiter((known.get(w, -1) for w in split_words(text)), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keys], pa.int64()), pa.array([h for _, h in keys], pa.int32()), pa.array(packed, pa.binary())], ["d", "h", "ranks"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = hot.value[1]
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for packed, rest in zip(batch.column(1).to_pylist(), batch.column(2)):
-                n = int.from_bytes(packed[-8:], "little")
-                got = np.frombuffer(pa.decompress(packed[:-8], n * 4, "zstd", asbytes=True), "<i4").tolist() if n else []
+                got = unpack(packed)
                 more = {x["pos"]: x["ids"] for x in rest.as_py() or ()}
                 out.append(b"".join([ids[r] if r >= 0 else more[p] for p, r in enumerate(got)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+            yield finish(batch.column(0), out)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # A document that is there twice gives its rare words twice: one of each is kept.
-    found = texts.mapInArrow(rare, "doc_id long, h long, pos int, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
-    by_doc = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
-    known = texts.mapInArrow(common, "doc_id long, h long, ranks binary")
-    joined = known.join(by_doc, known["doc_id"].eqNullSafe(by_doc["_d"]) & (known["h"] == by_doc["_h"]), "left")
-    return joined.select("doc_id", "ranks", "rest").mapInArrow(merge, "doc_id long, ids binary")
+    found = texts.mapInArrow(rare, "d long, h int, pos int, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
+    by_doc = found.groupBy("d", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
+    known = texts.mapInArrow(common, "d long, h int, ranks binary")
+    doc_id = F.when(F.col("h").bitwiseAND(1) == 0, F.col("d"))
+    return known.join(by_doc, ["d", "h"], "left").select(doc_id.alias("doc_id"), "ranks", "rest").mapInArrow(merge, schema)
+
+
+def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
+    """(doc_id, text) -> (doc_id, ids binary): ids as little-endian unsigned 32-bit numbers."""
+
+    def finish(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([_widen(x) for x in ids], pa.binary())], ["doc_id", "ids"])
 
+    return _assembled(docs, path, hot_words, finish, "doc_id long, ids binary")
 
-def _hash(text: str | None) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 7)).astype(np.int64))
+
+def _widen(ids: bytes) -> bytes:
+    return np.frombuffer(ids, _ID).astype("<u4").tobytes()
+
+
+def _key(doc_id: int | None, text: str | None) -> tuple[int, int]:
+    """What tells a document apart: its id, or a hash of its text where that is null, and 31 bits of another hash of
+    the text, with whether the id is null."""
+    raw = (text or "").encode()
+    h = xxhash.xxh32_intdigest(raw, 7) & 0x7FFFFFFE
+    return (doc_id, h) if doc_id is not None else (xxhash.xxh64_intdigest(raw, 7) - (1 << 63), h | 1)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -209,10 +248,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
-    """The operator's round trip, as digests a document."""
-    return decode(encode(docs, path, hot_words), path).select(
-        "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """The round trip as digests a document: ids are decoded by the id-to-piece join where they are put together, so
+    neither they nor the texts leave the task."""
+    with open(path, encoding="utf-8") as f:
+        piece = docs.sparkSession.sparkContext.broadcast(pieces(f.read()))
+
+    def finish(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        at = piece.value.__getitem__
+        counts, hashes, texts = [], [], []
+        for x in ids:
+            got = np.frombuffer(x, _ID)
+            counts.append(len(got))
+            hashes.append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
+            texts.append(hashlib.sha256(" ".join(map(at, got.tolist())).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _assembled(docs, path, hot_words, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
