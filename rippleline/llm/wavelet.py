@@ -27,14 +27,14 @@ def build(values: np.ndarray, doc_ids: list[int | None], lengths: list[int], bit
     out = [_HEAD.pack(MAGIC, VERSION, bits, len(ids), len(values)), ids.tobytes(), nulls.tobytes(), np.array(lengths, "<u8").tobytes()]
     values = values.astype(np.uint16) if bits <= 16 else values
     for b in range(bits - 1, -1, -1):
-        ones = ((values >> b) & 1).astype(bool)
+        ones = (values & values.dtype.type(1 << b)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         step = BLOCK_BITS // 8
         blocks = [pack.compress(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
         rank = np.concatenate([[0], np.cumsum([int(ones[i : i + BLOCK_BITS].sum()) for i in range(0, len(ones), BLOCK_BITS)])])
         where = np.concatenate([[0], np.cumsum([len(x) for x in blocks])])
         out += [struct.pack("<QQ", len(ones) - int(ones.sum()), len(blocks)), rank.astype("<u8").tobytes(), where.astype("<u8").tobytes(), *blocks]
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))])
     return b"".join(out)
 
 
@@ -127,7 +127,7 @@ class Wavelet:
             zeros, rank, *_ = self.planes[p]
             ones = np.concatenate([self._block(p, b) for b in range(len(rank) - 1)])[: self.n].astype(bool) if self.n else np.zeros(0, bool)
             before = np.empty(self.n, wide)
-            before[~ones] = values[:zeros]
-            before[ones] = values[zeros:] | wide(1 << (self.bits - 1 - p))
+            before[np.flatnonzero(~ones)] = values[:zeros]
+            before[np.flatnonzero(ones)] = values[zeros:] | wide(1 << (self.bits - 1 - p))
             values = before
         return values.astype("<u4")
