@@ -5,9 +5,9 @@ it holds `shard_tokens` ids, so memory doesn't follow the data. Shards are rows
 Parquet table in the shared folder (partition, k, base, image binary): an image is a complete
 file (see wavelet), and Spark's committer makes retries and lost executors harmless on any store.
 
-The library encodes each distinct stretch of text once per task: a text is cut before each
-single space between two characters that aren't white space, where byte-level BPE with its
-own pattern always has a token boundary.
+The library encodes each distinct stretch of text once per process: a text without adjacent white space is
+cut before its spaces and new lines, where byte-level BPE with its own pattern always has a token
+boundary. Other texts, and those that may hold a special token, are encoded as they are.
 
 Edge cases: null text is empty, and an empty document is just the end id; null doc_ids
 come first, equal doc_ids in the order of their texts; repeated rows are each written;
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,42 +32,78 @@ from rippleline.llm.common import materialize
 from rippleline.llm.wavelet import Wavelet, build
 
 SHARD_TOKENS = 1 << 21
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_KNOWN = 1 << 18  # stretches that a task remembers
-_PIECE = 64  # longer stretches aren't remembered
+_APART, _SPACE = re.compile(r"\s\s"), re.compile(r"\s")
+_KNOWN = 1 << 21  # stretches that a process remembers, about 200 bytes each
 
 
 class Encoder:
-    def __init__(self, definition: str):
-        self.library = tokenizer(definition)
+    """Text to ids, 2 or 4 bytes each. Stretches that were met before come from memory, which outlives a task; the
+    library encodes the others, a batch of them at a time."""
+
+    def __init__(self, definition: str, wide: str):
+        self.library, self.wide = tokenizer(definition), wide
         self.known: dict[str, bytes] = {}
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.wide).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode stretches, many in one text with new lines between, as a new line is always a token of its own there.
+        Those that hold white space go one by one."""
+        plain = [p for p in parts if p and not _SPACE.search(p)]
+        mark = np.frombuffer(self._encode(["\n"])[0], self.wide)
+        joined = [plain[i : i + 512] for i in range(0, len(plain), 512)] if len(mark) == 1 else []
+        for some, raw in zip(joined, self._encode([" " + "\n ".join(x) for x in joined])):
+            ids = np.frombuffer(raw, self.wide)
+            ends = [*(np.flatnonzero(ids == mark[0]) * ids.itemsize).tolist(), len(raw)]
+            if len(ends) == len(some):
+                starts = [0, *(x + ids.itemsize for x in ends[:-1])]
+                self.known.update(zip(some, [raw[i:j] for i, j in zip(starts, ends)]))
+        rest = [p for p in parts if p not in self.known]
+        self.known.update(zip(rest, self._encode([p if p[:1] == "\n" else " " + p for p in rest])))
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_CUT.split(t) if t else [] for t in texts]
-        missing = list({p for parts in cut for p in parts if p not in self.known})
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False))}
-        known = self.known
-        if fresh:
-            both = {**known, **fresh} if len(known) < _KNOWN else fresh
-            look = both.__getitem__ if len(known) < _KNOWN else lambda p: known.get(p) or fresh[p]
-        else:
-            look = known.__getitem__
-        out = [b"".join(map(look, parts)) for parts in cut]
-        if len(known) < _KNOWN:
-            known.update((p, x) for p, x in fresh.items() if len(p) <= _PIECE)
+        whole = [i for i, t in enumerate(texts) if t and (_APART.search(t) or "<|" in t)]
+        rest = set(whole)
+        cut = [[] if not t or i in rest else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
+        first = [parts[0] if parts else "" for parts in cut]
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        got = [list(map(self.known.get, parts[1:])) for parts in cut]
+        holes = [(parts, ids, [i for i, x in enumerate(ids) if x is None]) for parts, ids in zip(cut, got) if None in ids]
+        self._learn(list({parts[i + 1] for parts, _, at in holes for i in at}))
+        for parts, ids, at in holes:
+            for i in at:
+                ids[i] = self.known[parts[i + 1]]
+        out = [x + b"".join(ids) for x, ids in zip(self._encode(first), got)]
+        for i, x in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = x
         return out
 
 
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
+
+
+def encoder(definition: str, wide: str) -> Encoder:
+    """One a process."""
+    key = (hash(definition), wide)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(definition, wide)
+    return _ENCODERS[key]
+
+
 def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode and write; the table of shards."""
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     size = max(tokenizer(definition.value).get_vocab_size(with_added_tokens=True), end_id + 1)
-    bits, end = (size - 1).bit_length(), np.array([end_id], "<u4").tobytes()
+    bits = (size - 1).bit_length()
+    wide = "<u2" if bits <= 16 else "<u4"
+    each, end = np.dtype(wide).itemsize, np.array([end_id], wide).tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(definition.value)
+        texts = encoder(definition.value, wide)
         part = TaskContext.get().partitionId()
         k = base = held = 0
         ids: list = []
@@ -75,7 +111,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD
         lengths: list[int] = []
 
         def close():
-            values = np.frombuffer(b"".join(parts), "<u4")
+            values = np.frombuffer(b"".join(parts), wide)
             image = build(values, ids, lengths, bits)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([base], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([image], pa.binary())], ["part", "k", "base", "tokens", "image"]
@@ -84,10 +120,10 @@ def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for d, x in zip(some.column(0).to_pylist(), encoder.batch(some.column(1).to_pylist())):
+                for d, x in zip(some.column(0).to_pylist(), texts.batch(some.column(1).to_pylist())):
                     ids.append(d)
                     parts.append(x + end)
-                    lengths.append(len(x) // 4 + 1)
+                    lengths.append(len(x) // each + 1)
                     held += lengths[-1]
                     if held >= shard_tokens:
                         yield close()
@@ -100,8 +136,8 @@ def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD
     return materialize(ordered.mapInArrow(shards, "part int, k int, base long, tokens long, image binary"), "token-shards")
 
 
-def read(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) from the written shards. Only one row a
+def _documents(shards: DataFrame, finish: Callable[[memoryview], object], kind: str) -> DataFrame:
+    """(doc_id, start, n_tokens, value) from the written shards; value is made of a document's ids. Only one row a
     partition takes part in the running sum of starts."""
     runs = shards.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,20 +147,25 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for first, image in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = Wavelet(image.as_py())
-                raw = memoryview(w.tokens().tobytes())
+                raw = memoryview(w.tokens()).cast("B")
                 ends = np.cumsum(w.lengths)
-                at = (ends - w.lengths).tolist()
-                ids = pa.array(w.doc_ids, pa.int64(), mask=w.doc_null)
-                texts = [bytes(raw[4 * i : 4 * j]) for i, j in zip(at, ends.tolist())]
-                for i in range(0, len(texts), 4096):
-                    yield pa.RecordBatch.from_arrays(
-                        [ids[i : i + 4096], pa.array([first + x for x in at[i : i + 4096]], pa.int64()), pa.array(w.lengths[i : i + 4096], pa.int64()), pa.array(texts[i : i + 4096], pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
-                    )
+                at = ends - w.lengths
+                ids, starts_at = pa.array(w.doc_ids, pa.int64(), mask=w.doc_null), pa.array(at + first)
+                for i in range(0, len(at), 2048):
+                    made = [finish(raw[4 * x : 4 * y]) for x, y in zip(at[i : i + 2048].tolist(), ends[i : i + 2048].tolist())]
+                    value = pa.array(made, pa.int64() if kind == "long" else pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids[i : i + 2048], starts_at[i : i + 2048], pa.array(w.lengths[i : i + 2048]), value], ["doc_id", "start", "n_tokens", "value"])
 
     # One row a partition of the write: bounded by the number of partitions, whatever the data.
     placed = shards.join(F.broadcast(starts), "part").select((F.col("first") + F.col("base")).alias("first"), "image")
-    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(documents, f"doc_id long, start long, n_tokens long, value {kind}")
+
+
+def read(shards: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary)."""
+    return _documents(shards, bytes, "binary").withColumnRenamed("value", "ids")
 
 
 def digest(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    return read(write(docs, path, end_id, shard_tokens)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    """Write, read back, and reduce each document's ids to their crc32 where they are read."""
+    return _documents(write(docs, path, end_id, shard_tokens), zlib.crc32, "long").withColumnRenamed("value", "ids_crc32")
