@@ -10,8 +10,8 @@ are joined by shuffle: (document, position, word) to (word, ids). Hot words neve
 part in that join, so no key of it is large. Documents travel as word ranks, not as texts.
 
 Words are normalised only where the library would do the same: texts of Latin-1 without
-"<|" are lower-cased, and a run of full stops and commas after a letter, before white space,
-becomes a word of its own.
+"<|" are lower-cased, and full stops and commas after a letter or digit, before white space,
+become words of their own.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; documents
 are told apart by doc_id and a hash of their text, so repeated ids and rows (and null ids) are kept,
@@ -38,6 +38,7 @@ from rippleline.llm.common import materialize
 HOT_WORDS = 1 << 18
 _FLUSH = 1 << 18  # distinct words that a task counts before it hands on partial counts
 _STOPS = re.compile(r"([a-zß-öø-ÿ])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
+_TIGHT = re.compile(r"[^a-z0-9ß-öø-ÿ\x20\x09-\x0D][.,]")
 _CACHE: dict = {}
 _ID = "<u2"  # as ids travel inside; wider vocabularies are refused
 
@@ -72,7 +73,11 @@ def split_words(text: str | None) -> list[bytes]:
         except UnicodeEncodeError:
             pass
         else:
-            text = _STOPS.sub(r"\1 \2", text.lower())
+            text = text.lower()
+            if _TIGHT.search(text):
+                text = _STOPS.sub(r"\1 \2", text)
+            else:  # each stop or comma stands alone and after a letter, a digit or white space: plain replacements do the same
+                text = (text + " ").replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
     return text.encode().split()
 
 
