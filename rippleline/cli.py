@@ -7,6 +7,7 @@ import sys
 
 from rippleline import render
 from rippleline.api import Engine, NotFound
+from rippleline.serve import serve
 from rippleline.sources.config import discover, load_config
 from rippleline.sources.dictionary import dictionary_query
 
@@ -16,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     c = p.add_subparsers(dest="command", required=True)
     c.add_parser("sync")
+    c.add_parser("serve")
     for name, depth in (("callers", 1), ("deps", 1), ("impact", 5)):
         q = c.add_parser(name)
         q.add_argument("name")
@@ -70,6 +72,9 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("rippleline").getOrCreate()
+    if args.command == "serve":
+        serve(Engine(spark, load_config(args.config) if args.config else discover()), sys.stdin, sys.stdout)
+        return 0
     text, code = run(args, spark, sys.stdin.read() if args.command == "affected" else "")
     print(text)
     return code

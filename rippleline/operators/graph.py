@@ -158,10 +158,11 @@ def bridge_summary(found: DataFrame) -> DataFrame:
     both = F.col("has_pub") & F.col("has_con")
     names = F.transform(F.array_sort(F.collect_list(F.when(both & ~F.col("has_prov"), F.struct("topic", "name")))), lambda x: x["name"])
     one = found.agg(F.count_if(both).alias("bridges"), F.count_if(both & F.col("has_prov")).alias("guarded"), names.alias("coarse"))
+    # The formats of the sentence.
     text = (
         F.when(F.col("bridges") == 0, F.lit("none"))
-        .when(F.size("coarse") == 0, F.format_string("%d (all provenance-guarded)", "bridges"))
-        .otherwise(F.format_string("%d — %d guarded, %d COARSE [%s]: impact across these may include consumers of other data", "bridges", "guarded", F.size("coarse"), F.array_join("coarse", ", ")))
+        .when(F.size("coarse") == 0, F.format_string("%d producer→consumer, all provenance-guarded", "bridges"))
+        .otherwise(F.format_string("%d producer→consumer; %d guarded, %d COARSE (impact may over-report consumers — declare [svc.provenance] in topics.toml): [%s]", "bridges", "guarded", F.size("coarse"), F.array_join("coarse", ", ")))
     )
     return one.withColumn("summary", text)
 

@@ -68,7 +68,7 @@ def test_queries(engine):
     assert set(at(engine.deps("risk", 2))) == {("orders", 1), ("alerts", 1), ("risk:limit", 1), ("PLACE_ORDER", 1), ("CHECK_LIMIT", 2), ("TORDER", 2)}
     producers, consumers = engine.topic("ORDERS")
     assert producers == f"gate ({engine.root}/gate/a.rs:2)" and consumers == f"risk ({engine.root}/risk/a.go:3)"
-    assert engine.bridges() == "3 — 1 guarded, 2 COARSE [orders, settled]: impact across these may include consumers of other data"
+    assert engine.bridges() == "3 producer→consumer; 1 guarded, 2 COARSE (impact may over-report consumers — declare [svc.provenance] in topics.toml): [orders, settled]"
     with pytest.raises(NotFound, match="closest: PLACE_ORDER"):
         engine.find("PLACE_ORDRE")
     with pytest.raises(NotFound, match="topic not found"):
@@ -108,6 +108,30 @@ def test_command_line(engine):
     assert run("deps", "no_such")[0].startswith("not found: no_such") and run("topic", "zzz") == ("topic not found: zzz", 1)
 
 
+def test_server(engine):
+    from rippleline import serve
+
+    def ask(method, params=None, id_=1):
+        return serve.answer(engine, {"jsonrpc": "2.0", "id": id_, "method": method, "params": params or {}})
+
+    call = lambda name, **a: ask("tools/call", {"name": name, "arguments": a})["result"]["content"][0]["text"]
+    assert ask("initialize")["result"]["capabilities"] == {"tools": {}}
+    assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["describe_corpus", "get_symbol", "get_callers", "get_dependencies", "get_impact", "get_topic", "get_chunk"]
+    assert call("get_impact", name="torder", max_results=2) == "d1: [PLACE_ORDER:Procedure via:Touches]\nd2: [risk:Service via:Invokes]"
+    assert call("get_callers", name="check_limit").startswith("PLACE_ORDER:Procedure via:Calls (")
+    assert call("get_dependencies", name="settle").startswith("settled:Topic via:Consumes")
+    assert call("get_topic", name="orders").startswith("orders\nproducers: gate (")
+    assert call("get_topic", name="risk").startswith("topic not found: risk") and call("get_symbol", name="nope").startswith("not found: nope")
+    assert call("get_chunk", name="check_limit") == "CREATE PROCEDURE CHECK_LIMIT" and "SQL coverage" in call("describe_corpus")
+    assert ask("no/such")["error"]["code"] == -32601 and serve.answer(engine, {"jsonrpc": "2.0", "method": "notifications/initialized"}) is None
+    assert ask("tools/call", {"name": "get_impact", "arguments": {}})["error"]["code"] == -32602
+    import io
+
+    out = io.StringIO()
+    serve.serve(engine, io.StringIO('{"jsonrpc":"2.0","id":7,"method":"ping"}\n\nnot json\n'), out)
+    assert [__import__("json").loads(x) for x in out.getvalue().splitlines()] == [{"jsonrpc": "2.0", "id": 7, "result": {}}, {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "parse error"}}]
+
+
 def test_store_versions(engine, spark, tmp_path):
     path = str(tmp_path / "s")
     with pytest.raises(FileNotFoundError):
