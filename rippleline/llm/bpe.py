@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,48 +37,103 @@ from rippleline.llm.common import materialize
 
 HOT_WORDS = 1 << 18
 _FLUSH = 1 << 18  # distinct words that a task counts before it hands on partial counts
-_STOPS = re.compile(r"([a-zß-öø-ÿ])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
-_TIGHT = re.compile(r"[^a-z0-9ß-öø-ÿ\x20\x09-\x0D][.,]")
+_SLICE = 1000  # documents that a task works on at once
 _CACHE: dict = {}
 _ID = "<u2"  # as ids travel inside; wider vocabularies are refused
 
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: what a task holds in Python objects is bounded by them."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def pack(ranks: np.ndarray) -> bytes:
-    """Ranks by byte plane, compressed."""
-    planes = np.ascontiguousarray(ranks.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True) + len(ranks).to_bytes(8, "little")
+# Texts that stay as they are; stops after what they might form a token with; stops that part from a word.
+_AS_IS = r"[^\x00-\x{ff}]|<\|"
+_TIGHT = r"[^a-z0-9ß-öø-ÿ\x20\x09-\x0D][.,]"
+_STOPS = r"([a-zß-öø-ÿ])([.,]+)([\x20\x09-\x0D])"
 
 
-def unpack(packed: bytes) -> list[int]:
-    n = int.from_bytes(packed[-8:], "little")
-    if not n:
-        return []
-    planes = np.frombuffer(pa.decompress(packed[:-8], n * 4, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel().tolist()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what a task holds is bounded by them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
+class Words:
+    """The words of some texts: `which` of the `distinct` ones, text after text; text i begins at bounds[i]. Empty words may
+    stand at the ends of a text."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("")
+        as_is = pc.match_substring_regex(texts, _AS_IS)
+        low = pc.binary_join_element_wise(pc.utf8_lower(texts), "", " ")
+        tight = pc.match_substring_regex(low, _TIGHT)
+        plain = low
+        for old, new in ((", ", " , "), (". ", " . "), (",\n", " ,\n"), (".\n", " .\n")):
+            plain = pc.replace_substring(plain, old, new)
+        if pc.any(tight).as_py():
+            plain = pc.if_else(tight, pc.replace_substring_regex(pc.if_else(tight, low, ""), _STOPS, r"\1 \2\3"), plain)
+        lists = pc.ascii_split_whitespace(pc.if_else(as_is, texts, plain))
+        self.bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        self.which = coded.indices.to_numpy()
+        self.dictionary = coded.dictionary.cast(pa.binary())
+        self.distinct: list[bytes] = self.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def _groups(bounds: np.ndarray, words: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about so many words: temporary arrays have a place for each bit."""
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + words, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def pack(ranks: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A blob a document: its number of words, the compressed bit lengths of rank + 3, and what follows their leading bits."""
+    made: list[bytes] = []
+    for a, b in _groups(bounds):
+        v, at = ranks[bounds[a] : bounds[b]] + np.int32(3), bounds[a : b + 1] - bounds[a]
+        lengths = (np.frexp(v.astype(np.float32))[1] - 1).astype(np.uint8)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)]).astype(np.int32)
+        per = ends[at[1:]] - ends[at[:-1]]
+        first = np.concatenate([[0], np.cumsum(-(-per // 8))]).astype(np.int32)
+        bit = np.arange(ends[-1], dtype=np.int32)
+        out = np.zeros(first[-1] * 8, bool)
+        out[bit + np.repeat(first[:-1] * 8 - ends[at[:-1]], per)] = np.repeat(v, lengths) >> (bit - np.repeat(ends[:-1], lengths)) & 1
+        rest = np.packbits(out, bitorder="little").tobytes()
+        for i in range(b - a):
+            z = pa.compress(lengths[at[i] : at[i + 1]].tobytes(), "zstd", asbytes=True)
+            made.append(int(at[i + 1] - at[i]).to_bytes(4, "little") + len(z).to_bytes(4, "little") + z + rest[first[i] : first[i + 1]])
+    return made
+
+
+def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, bounds) of pack()."""
+    n = [int.from_bytes(x[:4], "little") for x in blobs]
+    bounds = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int64)
+    ranks = np.empty(bounds[-1], np.int32)
+    for a, b in _groups(bounds):
+        cut = [8 + int.from_bytes(x[4:8], "little") for x in blobs[a:b]]
+        lengths = np.frombuffer(b"".join([pa.decompress(x[8:z], k, "zstd", asbytes=True) for x, z, k in zip(blobs[a:b], cut, n[a:b]) if k]), np.uint8)
+        if not len(lengths):
+            continue
+        rest = [x[z:] for x, z in zip(blobs[a:b], cut)]
+        at = bounds[a : b + 1] - bounds[a]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)]).astype(np.int32)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int32)
+        bit = np.arange(ends[-1], dtype=np.int32)
+        one = np.unpackbits(np.frombuffer(b"".join(rest), np.uint8), bitorder="little")[bit + np.repeat(first[:-1] * 8 - ends[at[:-1]], ends[at[1:]] - ends[at[:-1]])]
+        value = np.add.reduceat(one.astype(np.int32) << (bit - np.repeat(ends[:-1], lengths)), ends[:-1])
+        ranks[bounds[a] : bounds[b]] = value + (np.int32(1) << lengths.astype(np.int32)) - 3
+    return ranks, bounds
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of flat, one after another."""
+    return flat.take(np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()))
 
 
 def split_words(text: str | None) -> list[bytes]:
-    if not text:
-        return []
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            pass
-        else:
-            text = text.lower()
-            if _TIGHT.search(text):
-                text = _STOPS.sub(r"\1 \2", text)
-            else:  # each stop or comma stands alone and after a letter, a digit or white space: plain replacements do the same
-                text = (text + " ").replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
-    return text.encode().split()
+    """The words of one text."""
+    w = Words(pa.array([text], pa.string()))
+    return [w.distinct[i] for i in w.which if w.distinct[i]]
 
 
 def tokenizer(definition: str):
@@ -106,11 +161,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             seen.clear()
             return rows
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(split_words(text.as_py()))
-                if len(seen) > _FLUSH:
-                    yield out()
+        for batch in _slices(batches):
+            w = Words(batch.column(0))
+            seen.update(dict(zip(w.distinct, np.bincount(w.which, minlength=len(w.distinct)).tolist())))
+            if len(seen) > _FLUSH:
+                yield out()
         if seen:
             yield out()
 
@@ -151,8 +206,20 @@ def pieces(definition: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.Array, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """(doc_id, text) -> what `finish` makes of the doc_ids and ids of some documents."""
+def _keys(doc_ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What tells documents apart: an id, or a hash of the text where that is null, and 31 bits of another hash of the
+    text, with whether the id is null."""
+    d, h = [], []
+    for doc_id, text in zip(doc_ids.to_pylist(), texts.to_pylist()):
+        raw = (text or "").encode()
+        one = xxhash.xxh32_intdigest(raw, 7) & 0x7FFFFFFE
+        d.append(doc_id if doc_id is not None else xxhash.xxh64_intdigest(raw, 7) - (1 << 63))
+        h.append(one if doc_id is not None else one | 1)
+    return np.array(d, np.int64), np.array(h, np.int32)
+
+
+def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """(doc_id, text) -> what `finish` makes of the doc_ids of some documents, their ids and where each one's begin."""
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
@@ -161,81 +228,77 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
     table = materialize(encode_words(word_counts(docs), definition), "words")
     least = _threshold(table, hot_words)
     hot = table.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
-    hot = spark.sparkContext.broadcast((hot.column(0).to_pylist(), hot.column(1).to_pylist()))
-    key = ("ranks", uuid.uuid4().hex)
+    # Compact as they are sent; a task makes what it needs of them and drops it, so workers don't grow from query to query.
+    hot_names = spark.sparkContext.broadcast(_flat(hot.column(0).to_pylist(), np.uint8))
+    hot_ids = spark.sparkContext.broadcast(_flat(hot.column(1).to_pylist(), _ID))
 
-    def ranks() -> dict:
-        if key not in _CACHE:
-            for old in [k for k in _CACHE if k[0] == "ranks"]:
-                del _CACHE[old]
-            _CACHE[key] = {w: i for i, w in enumerate(hot.value[0])}
-        return _CACHE[key]
+    def ranker() -> Callable[[Words], np.ndarray]:
+        sizes, flat = hot_names.value
+        raw, ends = flat.tobytes(), np.cumsum(sizes).tolist()
+        get = {raw[i:j]: r for r, (i, j) in enumerate(zip([0, *ends], ends))}.get
+        return lambda w: np.fromiter(map(get, w.distinct, repeat(-1)), np.int32, len(w.distinct))[w.which]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks()
+        ranked = ranker()
         for batch in _slices(batches):
-            who, what, where, words = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = t.as_py()
-                mine = [(p, w) for p, w in enumerate(split_words(text)) if w not in known]
-                if mine:
-                    d, h = _key(i, text)
-                    who += [d] * len(mine)
-                    what += [h] * len(mine)
-                    where += [p for p, _ in mine]
-                    words += [w for _, w in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.int32()), pa.array(where, pa.int32()), pa.array(words, pa.binary())], ["d", "h", "pos", "word"])
+            w = Words(batch.column(1))
+            d, h = _keys(batch.column(0), batch.column(1))
+            at = np.flatnonzero(ranked(w) < 0)
+            doc = np.searchsorted(w.bounds, at, "right") - 1
+            words = w.dictionary.take(pa.array(w.which[at]))
+            place = h[doc].astype(np.int64) << 32 | (at - w.bounds[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(d[doc]), pa.array(place), words], ["d", "place", "word"])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks()
+        ranked = ranker()
         for batch in _slices(batches):
-            keys, packed = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = t.as_py()
-                keys.append(_key(i, text))
-                packed.append(pack(np.fromiter((known.get(w, -1) for w in split_words(text)), np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keys], pa.int64()), pa.array([h for _, h in keys], pa.int32()), pa.array(packed, pa.binary())], ["d", "h", "ranks"])
+            w = Words(batch.column(1))
+            d, h = _keys(batch.column(0), batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(pack(ranked(w), w.bounds), pa.binary())], ["d", "h", "ranks"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = hot.value[1]
+        sizes, flat = hot_ids.value
+        starts = np.cumsum(sizes) - sizes
         for batch in _slices(batches):
-            out = []
-            for packed, rest in zip(batch.column(1).to_pylist(), batch.column(2)):
-                got = unpack(packed)
-                more = {x["pos"]: x["ids"] for x in rest.as_py() or ()}
-                out.append(b"".join([ids[r] if r >= 0 else more[p] for p, r in enumerate(got)]))
-            yield finish(batch.column(0), out)
+            ranks, bounds = unpack(batch.column(1).to_pylist())
+            n = np.zeros(len(ranks), np.int64)
+            at = np.zeros(len(ranks), np.int64)
+            known = np.flatnonzero(ranks >= 0)
+            n[known], at[known] = sizes[ranks[known]], starts[ranks[known]]
+            rest = batch.column(2)
+            doc = np.repeat(np.arange(len(rest)), rest.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            more = rest.flatten()
+            own, extra = _flat(more.field("ids").to_pylist(), _ID)
+            where = bounds[doc] + (more.field("place").to_numpy() & 0xFFFFFFFF)
+            n[where], at[where] = own, len(flat) + np.cumsum(own) - own
+            ids = gather(np.concatenate([flat, extra]), at, n)
+            yield finish(batch.column(0), ids, np.concatenate([[0], np.cumsum(n)])[bounds])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # A document that is there twice gives its rare words twice: one of each is kept.
-    found = texts.mapInArrow(rare, "d long, h int, pos int, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
-    by_doc = found.groupBy("d", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
+    # A document that is there twice gives its rare words twice, with the same ids.
+    found = texts.mapInArrow(rare, "d long, place long, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
+    h = F.shiftright("place", 32).cast("int")
+    by_doc = found.select("d", "place", "ids").repartition("d", h).groupBy("d", h.alias("h")).agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
     known = texts.mapInArrow(common, "d long, h int, ranks binary")
     doc_id = F.when(F.col("h").bitwiseAND(1) == 0, F.col("d"))
     return known.join(by_doc, ["d", "h"], "left").select(doc_id.alias("doc_id"), "ranks", "rest").mapInArrow(merge, schema)
 
 
+def _flat(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    """(how many each has, all)."""
+    return np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize, np.frombuffer(b"".join(parts), kind)
+
+
 def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, text) -> (doc_id, ids binary): ids as little-endian unsigned 32-bit numbers."""
 
-    def finish(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array([_widen(x) for x in ids], pa.binary())], ["doc_id", "ids"])
+    def finish(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        wide = ids.astype("<u4")
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([wide[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "ids"])
 
     return _assembled(docs, path, hot_words, finish, "doc_id long, ids binary")
 
 
-def _widen(ids: bytes) -> bytes:
-    return np.frombuffer(ids, _ID).astype("<u4").tobytes()
-
-
-def _key(doc_id: int | None, text: str | None) -> tuple[int, int]:
-    """What tells a document apart: its id, or a hash of its text where that is null, and 31 bits of another hash of
-    the text, with whether the id is null."""
-    raw = (text or "").encode()
-    h = xxhash.xxh32_intdigest(raw, 7) & 0x7FFFFFFE
-    return (doc_id, h) if doc_id is not None else (xxhash.xxh64_intdigest(raw, 7) - (1 << 63), h | 1)
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) -> (doc_id, ids, decoded), by an id-to-piece join. The piece table is one row an id of
     the vocabulary, so it is bounded and goes to every task."""
@@ -258,14 +321,11 @@ def digest(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         piece = docs.sparkSession.sparkContext.broadcast(pieces(f.read()))
 
-    def finish(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
-        at = piece.value.__getitem__
-        counts, hashes, texts = [], [], []
-        for x in ids:
-            got = np.frombuffer(x, _ID)
-            counts.append(len(got))
-            hashes.append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
-            texts.append(hashlib.sha256(" ".join(map(at, got.tolist())).encode()).hexdigest())
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        at, wide, hashes, texts = piece.value.__getitem__, ids.astype("<u4"), [], []
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            hashes.append(hashlib.sha256(wide[i:j]).hexdigest())
+            texts.append(hashlib.sha256(" ".join(map(at, ids[i:j].tolist())).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(bounds)), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _assembled(docs, path, hot_words, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
