@@ -17,21 +17,25 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleline.llm.common import drop, materialize
+
 COMMON, SALTS = 60, 16
 MAX_CHARS, MAX_WORDS, SLACK = 0.30, 0.455, 0.25
 MIN_WORDS, MIN_CHARS = 50, 200
-_FLUSH = 1 << 18
+_FLUSH = 1 << 17
 
 # What counts as white space and as a symbol.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = ".,;:!?\"'()"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyond_ascii")
 
 
@@ -52,15 +56,40 @@ def classes(raw: bytes) -> np.ndarray:
     return np.bincount(_TABLE[np.frombuffer(raw, np.uint8)], minlength=9)[:8]
 
 
+class Tokens:
+    """Lower-case tokens of some texts, punctuation and white space between them: `which` of the `distinct` ones, and the `doc`
+    of each; and the histogram of character classes of each text."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("").cast(pa.string())
+        low = pc.utf8_lower(texts)
+        for c in PUNCTUATION:
+            low = pc.replace_substring(low, c, " ")
+        lists = pc.ascii_split_whitespace(low)
+        coded = lists.flatten().dictionary_encode()
+        self.distinct: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        if "" in self.distinct:  # stands where a text begins or ends with white space
+            real = which != self.distinct.index("")
+            which, doc = which[real], doc[real]
+        self.which, self.doc, self.n = which, doc, len(texts)
+        raw = texts.cast(pa.binary())
+        sizes = pc.binary_length(raw).to_numpy()
+        start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[start : start + sizes.sum()]
+        self.chars = np.bincount(np.repeat(np.arange(self.n) * 9, sizes) + _TABLE[data], minlength=9 * self.n).reshape(self.n, 9)[:, :8]
+
+
+def _slices(array: pa.Array, rows: int = 500) -> Iterator[pa.Array]:
+    for at in range(0, len(array), rows):
+        yield array.slice(at, rows)
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """bytes.split() parts at the white space of the contract and nothing else."""
     return raw.split()
 
 
-def plain(word: bytes) -> bytes:
-    return word.lower().strip(b".,;:!?\"'()")
-
-
 def base(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""
@@ -92,15 +121,16 @@ def repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    p, q = p / max(p.sum(), 1e-300), q / max(q.sum(), 1e-300)
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each row of p to q."""
+    p, q = np.atleast_2d(p) / np.maximum(np.atleast_2d(p).sum(1, keepdims=True), 1e-300), q / max(q.sum(), 1e-300)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, d / 2)))
+        d = np.where(p > 0, p * np.log2(p / m), 0).sum(1) + np.where(q > 0, q * np.log2(q / m), 0).sum(1)
+    return np.sqrt(np.maximum(d / 2, 0))
 
 
-def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
     """{lang: (class counts, {common word: place}, their counts and that of all others)}, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,67 +138,68 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
         words: dict[str, Counter] = {}
 
         def out():
-            rows = [(lang, b"", i, int(n)) for lang, c in chars.items() for i, n in enumerate(c)] + [(lang, w, -1, n) for lang, c in words.items() for w, n in c.items()]
+            parts = [(lang, [""] * 8, range(8), c.tolist()) for lang, c in chars.items()] + [(lang, list(c), repeat(-1, len(c)), list(c.values())) for lang, c in words.items()]
             chars.clear()
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int32(), pa.int64()))], ["lang", "word", "class", "n"])
+            for lang, w, k, n in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), pa.array(w, pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], ["lang", "word", "class", "n"])
 
         for batch in batches:
-            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = t.as_py().encode("utf-8", "surrogatepass")
-                chars[lang] = chars.get(lang, 0) + classes(raw)
-                words.setdefault(lang, Counter()).update(words_of(raw))
-            if sum(map(len, words.values())) > _FLUSH:
-                yield out()
-        if chars:
-            yield out()
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                t = Tokens(part.column(1))
+                coded = part.column(0).dictionary_encode()
+                of_doc, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                counts = np.bincount(of_doc[t.doc] * len(t.distinct) + t.which, minlength=len(names) * len(t.distinct)).reshape(len(names), -1)
+                for i, lang in enumerate(names):
+                    chars[lang] = chars.get(lang, 0) + t.chars[of_doc == i].sum(0)
+                    here = np.flatnonzero(counts[i])
+                    words.setdefault(lang, Counter()).update(dict(zip(map(t.distinct.__getitem__, here.tolist()), counts[i][here].tolist())))
+                if sum(map(len, words.values())) > _FLUSH:
+                    yield from out()
+        yield from out()
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    raw = known.select("lang", "text").mapInArrow(count, "lang string, word binary, class int, n long")
-    word = F.when(F.col("class") < 0, F.regexp_replace(F.lower(F.decode("word", "UTF-8")), "^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")).otherwise("")
-    counts = raw.select("lang", "class", word.alias("word"), "n").groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang", F.col("class").alias("class")).agg(F.sum("n").alias("n"))
+    raw = known.select("lang", "text").mapInArrow(count, "lang string, word string, class int, n long")
+    counts = materialize(raw.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "quality-counts")
+    totals = counts.groupBy("lang", "class").agg(F.sum("n").alias("n"))
     within = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(SALTS))).orderBy(F.desc("n"), "word")
-    few = counts.where("class < 0 and word <> ''").withColumn("r", F.row_number().over(within)).where(F.col("r") <= common)
+    few = counts.where("class < 0").withColumn("r", F.row_number().over(within)).where(F.col("r") <= common)
     top = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= common)
-    out: dict = {}
+    made: dict = {}
     for lang, c, n in totals.collect():
-        made = out.setdefault(lang, (np.zeros(8), {}, [0.0]))
+        one = made.setdefault(lang, (np.zeros(8), {}, [0.0]))
         if c < 0:
-            made[2][0] = float(n)
+            one[2][0] = float(n)
         else:
-            made[0][c] = n
+            one[0][c] = n
     for lang, w, n in top.select("lang", "word", "n").orderBy("lang", F.desc("n"), "word").collect():
-        _, place, sums = out[lang]
-        place[w.encode()] = len(place)
+        _, place, sums = made[lang]
+        place[w] = len(place)
         sums.append(float(n))
-    return {lang: (c, place, np.array([*s[1:], max(0.0, s[0] - sum(s[1:]))])) for lang, (c, place, s) in sorted(out.items())}
-
-
-def distances(text: str, refs: dict) -> list[tuple[float, float]]:
-    """(character distance, word distance) for each language."""
-    raw = text.encode("utf-8", "surrogatepass")
-    chars = classes(raw)
-    found = Counter(words_of(raw))
-    total = sum(found.values())
-    mine: Counter = Counter()
-    for w, n in found.items():
-        mine[plain(w)] += n
-    out = []
-    for c, place, sums in refs.values():
-        h = np.zeros(len(place) + 1)
-        for w, i in place.items():
-            h[i] = mine.get(w, 0)
-        h[-1] = total - h.sum()
-        out.append((js_distance(chars, c), js_distance(h, sums)))
-    return out
-
-
-def verdict(text: str | None, n_words: int, refs: dict, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, slack: float = SLACK) -> bool:
-    if not refs or n_words < MIN_WORDS or len(text or "") < MIN_CHARS:
-        return True
-    loose = slack / np.sqrt(n_words)
-    return any(c <= max_chars + loose and w <= max_words + loose for c, w in distances(text, refs))
+    drop(counts)
+    return {lang: (c, place, np.array([*s[1:], s[0] - sum(s[1:])])) for lang, (c, place, s) in sorted(made.items())}
+
+
+def distances(t: Tokens, refs: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(character distances, word distances) of the texts for each language."""
+    for chars, place, sums in refs.values():
+        k = len(place)
+        at = np.fromiter(map(place.get, t.distinct, repeat(k)), np.int64, len(t.distinct))
+        found = np.bincount(t.doc * (k + 1) + at[t.which], minlength=t.n * (k + 1)).reshape(t.n, k + 1)
+        yield js_distance(t.chars, chars), js_distance(found, sums)
+
+
+def verdicts(texts: pa.Array, n_words: np.ndarray, refs: dict, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, slack: float = SLACK) -> np.ndarray:
+    """Whether each text is near some language's reference, or too short to tell."""
+    short = (n_words < MIN_WORDS) | (pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False) < MIN_CHARS)
+    if not refs:
+        return np.ones(len(texts), bool)
+    loose = slack / np.sqrt(np.maximum(n_words, 1))
+    near = np.zeros(len(texts), bool)
+    for c, w in distances(Tokens(texts), refs):
+        near |= (c <= max_chars + loose) & (w <= max_words + loose)
+    return near | short
 
 
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -179,14 +210,15 @@ def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     refs = references(docs) if refs is None else refs
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
-    def rules(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            n = base(t)
-            failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
-            rows.append((*n, failed, not failed and verdict(t, n[0], shared.value)))
-        return pd.DataFrame(rows, columns=list(_FIELDS))
+    @F.arrow_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    def rules(texts: pa.Array) -> pa.Array:
+        parts = []
+        for some in _slices(texts):
+            n = np.array([base(t.as_py()) for t in some], np.int64).reshape(-1, 5)
+            failed = (n[:, 0] < 50) | (100 * n[:, 4] > 50 * n[:, 0])
+            kept = ~failed & verdicts(some, n[:, 0], shared.value)
+            parts.append(pa.StructArray.from_arrays([*(pa.array(n[:, i]) for i in range(5)), pa.array(failed), pa.array(kept)], names=list(_FIELDS)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(f, pa.int64() if f[0] in "nw" else pa.bool_()) for f in _FIELDS]))
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in _FIELDS]
     return docs.select(*keep, rules(F.col("text")).alias("_found")).select(*keep, *[f"_found.{c}" for c in _FIELDS])
