@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,10 +112,11 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PRO
     """docs with lang_pred and score. Text alone is read."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def classify(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def classify(texts: pa.Array) -> pa.Array:
         one = classifier(shared.value, profile)
-        return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        found = [one(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*keep, classify(F.col("text")).alias("_found")).select(*keep, "_found.lang_pred", "_found.score")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +60,9 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def simhash_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
+@F.arrow_udf(T.LongType())
+def simhash_udf(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([simhash(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
 
 
 def _blocks(fp: Column) -> Column:
