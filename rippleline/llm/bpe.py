@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import materialize
+from rippleline.llm.common import bounded_batches, materialize, released
 
 HOT_WORDS = 1 << 18
 _FLUSH = 1 << 18  # distinct words that a task counts before it hands on partial counts
@@ -169,7 +169,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, definition) -> DataFrame:
@@ -183,7 +183,7 @@ def encode_words(words: DataFrame, definition) -> DataFrame:
             ids = pa.array([np.array(e.ids, _ID).tobytes() for e in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(encode, "word binary, n long, ids binary")
+    return words.select("word", "n").mapInArrow(released(encode), "word binary, n long, ids binary")
 
 
 def _threshold(words: DataFrame, most: int) -> int:
@@ -221,6 +221,7 @@ def _keys(doc_ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """(doc_id, text) -> what `finish` makes of the doc_ids of some documents, their ids and where each one's begin."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     if tokenizer(definition.value).get_vocab_size(with_added_tokens=True) > 1 << 16:
@@ -276,12 +277,12 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # A document that is there twice gives its rare words twice, with the same ids.
-    found = texts.mapInArrow(rare, "d long, place long, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
+    found = texts.mapInArrow(released(rare), "d long, place long, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
     h = F.shiftright("place", 32).cast("int")
     by_doc = found.select("d", "place", "ids").repartition("d", h).groupBy("d", h.alias("h")).agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
-    known = texts.mapInArrow(common, "d long, h int, ranks binary")
+    known = texts.mapInArrow(released(common), "d long, h int, ranks binary")
     doc_id = F.when(F.col("h").bitwiseAND(1) == 0, F.col("d"))
-    return known.join(by_doc, ["d", "h"], "left").select(doc_id.alias("doc_id"), "ranks", "rest").mapInArrow(merge, schema)
+    return known.join(by_doc, ["d", "h"], "left").select(doc_id.alias("doc_id"), "ranks", "rest").mapInArrow(released(merge), schema)
 
 
 def _flat(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +313,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [" ".join(map(at, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(join), "doc_id long, ids binary, decoded string")
 
 
 def digest(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleline.llm.common import bounded_batches, released
+
 PROFILE, FIT_DOCS, SALTS = 300, 3200, 16
 MIN_SCORE = 0.1
 _LETTERS: list[np.ndarray] = []
@@ -62,6 +64,7 @@ def is_held_out(doc_id: Column, folds: int = 4, held_out: int = 2) -> Column:
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, profile: int = PROFILE, fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray]:
     """{language: its n-grams in rank order}."""
+    bounded_batches(docs.sparkSession)
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"), folds, held_out))
     h = F.xxhash64("doc_id")
     picked = pool.select("doc_id", "lang", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(SALTS)).alias("salt"))
@@ -80,7 +83,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, profile: int = PROFI
                 n = np.bincount(where, np.concatenate([x for _, x in found]), minlength=len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "text").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     within = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(SALTS))).orderBy(F.desc("n"), "gram")
     few = counts.withColumn("r", F.row_number().over(within)).where(F.col("r") <= profile)
     over = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -110,6 +113,7 @@ def classifier(profiles: dict[str, np.ndarray], profile: int = PROFILE):
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
     """docs with lang_pred and score. Text alone is read."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.arrow_udf("lang_pred string, score double")

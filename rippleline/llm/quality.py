@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import drop, materialize
+from rippleline.llm.common import bounded_batches, drop, materialize, release, released
 
 COMMON, SALTS = 60, 16
 MAX_CHARS, MAX_WORDS, SLACK = 0.30, 0.455, 0.25
@@ -159,8 +159,9 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
                     yield from out()
         yield from out()
 
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    raw = known.select("lang", "text").mapInArrow(count, "lang string, word string, class int, n long")
+    raw = known.select("lang", "text").mapInArrow(released(count), "lang string, word string, class int, n long")
     counts = materialize(raw.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "quality-counts")
     totals = counts.groupBy("lang", "class").agg(F.sum("n").alias("n"))
     within = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(SALTS))).orderBy(F.desc("n"), "word")
@@ -207,6 +208,7 @@ _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """docs with the base counts, base_failed and kept."""
+    bounded_batches(docs.sparkSession)
     refs = references(docs) if refs is None else refs
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
@@ -218,6 +220,7 @@ def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
             failed = (n[:, 0] < 50) | (100 * n[:, 4] > 50 * n[:, 0])
             kept = ~failed & verdicts(some, n[:, 0], shared.value)
             parts.append(pa.StructArray.from_arrays([*(pa.array(n[:, i]) for i in range(5)), pa.array(failed), pa.array(kept)], names=list(_FIELDS)))
+        release()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(f, pa.int64() if f[0] in "nw" else pa.bool_()) for f in _FIELDS]))
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in _FIELDS]

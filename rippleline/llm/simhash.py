@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rippleline.llm.common import drop, materialize
+from rippleline.llm.common import bounded_batches, drop, materialize
 
 BITS, BLOCK, CROWD = 64, 16, 24
 MAX_DISTANCE = 2  # blocks and balls are made for this
@@ -120,6 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def with_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp, component_id)."""
+    bounded_batches(docs.sparkSession)
     printed = materialize(docs.select(F.col("doc_id"), simhash_udf(F.col("text")).alias("fp")), "prints")
     classes = printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = materialize(components(links(classes.select("fp"))), "roots")

@@ -1,13 +1,13 @@
 """Token-id shards: documents in ascending doc_id order, a wavelet matrix a shard.
 
 Documents are range-partitioned by doc_id; a task encodes its run and closes a shard when
-it holds `shard_tokens` ids, so memory doesn't follow the data. Shards are rows of a
+it holds `shard_tokens` ids, give or take a thousand documents, so memory doesn't follow the data. Shards are rows of a
 Parquet table in the shared folder (partition, k, base, image binary): an image is a complete
 file (see wavelet), and Spark's committer makes retries and lost executors harmless on any store.
 
 The library encodes each distinct stretch of text once per process: a text without adjacent white space is
 cut before its spaces and new lines, where byte-level BPE with its own pattern always has a token
-boundary. Other texts, and those that may hold a special token, are encoded as they are.
+boundary, and before stops and commas that follow a letter or digit. Other texts, and those that may hold a special token, are encoded as they are.
 
 Edge cases: null text is empty, and an empty document is just the end id; null doc_ids
 come first, equal doc_ids in the order of their texts; repeated rows are each written;
@@ -23,25 +23,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleline.llm.bpe import tokenizer
-from rippleline.llm.common import materialize
+from rippleline.llm.common import bounded_batches, materialize, released
 from rippleline.llm.wavelet import Wavelet, build
 
 SHARD_TOKENS = 1 << 21
-_APART, _SPACE = re.compile(r"\s\s"), re.compile(r"\s")
-_KNOWN = 1 << 21  # stretches that a process remembers, about 200 bytes each
+# Texts that aren't cut; stops that could form a token with what is before them; marks a stretch without a space before.
+_APART = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|<\||\x01"
+_TIGHT = r"[^\p{L}\p{N}][.,]"
+_BARE = "\x01"
+_SPACE = re.compile(r"\s")
+_KNOWN = 1 << 20  # stretches that a process remembers, about 200 bytes each
 
 
 class Encoder:
-    """Text to ids, 2 or 4 bytes each. Stretches that were met before come from memory, which outlives a task; the
-    library encodes the others, a batch of them at a time."""
+    """Texts to ids. Arrow splits a batch of texts and finds its distinct stretches; those that were met before come from
+    memory, which outlives a task, and the library encodes the others, many at a time."""
 
     def __init__(self, definition: str, wide: str):
-        self.library, self.wide = tokenizer(definition), wide
+        self.library, self.wide = tokenizer(definition), np.dtype(wide)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -50,35 +55,52 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         """Encode stretches, many in one text with new lines between, as a new line is always a token of its own there.
         Those that hold white space go one by one."""
-        plain = [p for p in parts if p and not _SPACE.search(p)]
+        plain = [p for p in parts if p and p[0] != _BARE and not _SPACE.search(p)]
         mark = np.frombuffer(self._encode(["\n"])[0], self.wide)
-        joined = [plain[i : i + 512] for i in range(0, len(plain), 512)] if len(mark) == 1 else []
-        for some, raw in zip(joined, self._encode([" " + "\n ".join(x) for x in joined])):
+        # One text at a time: what the library returns takes some hundred bytes a token.
+        for some in [plain[i : i + 4096] for i in range(0, len(plain), 4096)] if len(mark) == 1 else []:
+            raw = self._encode([" " + "\n ".join(some)])[0]
             ids = np.frombuffer(raw, self.wide)
             ends = [*(np.flatnonzero(ids == mark[0]) * ids.itemsize).tolist(), len(raw)]
             if len(ends) == len(some):
                 starts = [0, *(x + ids.itemsize for x in ends[:-1])]
                 self.known.update(zip(some, [raw[i:j] for i, j in zip(starts, ends)]))
         rest = [p for p in parts if p not in self.known]
-        self.known.update(zip(rest, self._encode([p if p[:1] == "\n" else " " + p for p in rest])))
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if t and (_APART.search(t) or "<|" in t)]
-        rest = set(whole)
-        cut = [[] if not t or i in rest else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
-        first = [parts[0] if parts else "" for parts in cut]
+        for some in [rest[i : i + 4096] for i in range(0, len(rest), 4096)]:
+            self.known.update(zip(some, self._encode([p if p[:1] == "\n" else p[1:] if p[:1] == _BARE else " " + p for p in some])))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has)."""
+        if not len(texts):
+            return np.zeros(0, self.wide), np.zeros(0, np.int64)
+        texts = texts.fill_null("")
+        apart = pc.match_substring_regex(texts, _APART)
+        marked = pc.replace_substring(pc.if_else(apart, "", texts), "\n", " \n")
+        stops = marked
+        for stop in (", ", ". "):  # not followed by white space only: the last one of a text stays where it is
+            stops = pc.replace_substring(stops, stop, f" {_BARE}{stop}")
+        lists = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _TIGHT), marked, stops), " ")
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        pieces = lists.flatten()
+        # What a text begins with has no space before it; texts that aren't cut are all beginning.
+        whole = pc.if_else(apart, texts, pieces.take(pa.array(first))).to_pylist()
+        begin = [x for i in range(0, len(whole), 64) for x in self._encode(whole[i : i + 64])]
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > _KNOWN:
             self.known.clear()
-        got = [list(map(self.known.get, parts[1:])) for parts in cut]
-        holes = [(parts, ids, [i for i, x in enumerate(ids) if x is None]) for parts, ids in zip(cut, got) if None in ids]
-        self._learn(list({parts[i + 1] for parts, _, at in holes for i in at}))
-        for parts, ids, at in holes:
-            for i in at:
-                ids[i] = self.known[parts[i + 1]]
-        out = [x + b"".join(ids) for x, ids in zip(self._encode(first), got)]
-        for i, x in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = x
-        return out
+        got = list(map(self.known.get, distinct))
+        if None in got:
+            self._learn([p for p, x in zip(distinct, got) if x is None])
+            got = list(map(self.known.get, distinct))
+        sizes = np.fromiter(map(len, (*got, *begin)), np.int64, len(got) + len(begin)) // self.wide.itemsize
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join((*got, *begin)), self.wide)
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[first] = len(got) + np.arange(len(first))
+        n = sizes[which]
+        at = np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return ids.take(at), np.add.reduceat(n, first)
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
@@ -95,45 +117,44 @@ def encoder(definition: str, wide: str) -> Encoder:
 def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode and write; the table of shards."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     size = max(tokenizer(definition.value).get_vocab_size(with_added_tokens=True), end_id + 1)
     bits = (size - 1).bit_length()
     wide = "<u2" if bits <= 16 else "<u4"
-    each, end = np.dtype(wide).itemsize, np.array([end_id], wide).tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = encoder(definition.value, wide)
         part = TaskContext.get().partitionId()
         k = base = held = 0
         ids: list = []
-        parts: list[bytes] = []
-        lengths: list[int] = []
+        parts: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
 
         def close():
-            values = np.frombuffer(b"".join(parts), wide)
-            image = build(values, ids, lengths, bits)
+            image = build(np.concatenate(parts), ids, np.concatenate(lengths), bits)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([base], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([image], pa.binary())], ["part", "k", "base", "tokens", "image"]
+                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([base], pa.int64()), pa.array([held], pa.int64()), pa.array([image], pa.binary())], ["part", "k", "base", "tokens", "image"]
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for d, x in zip(some.column(0).to_pylist(), texts.batch(some.column(1).to_pylist())):
-                    ids.append(d)
-                    parts.append(x + end)
-                    lengths.append(len(x) // each + 1)
-                    held += lengths[-1]
-                    if held >= shard_tokens:
-                        yield close()
-                        k, base, held = k + 1, base + held, 0
-                        ids, parts, lengths = [], [], []
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                got, n = texts.batch(some.column(1))
+                ids += some.column(0).to_pylist()
+                parts.append(np.insert(got, np.cumsum(n), end_id))
+                lengths.append(n + 1)
+                held += len(parts[-1])
+                if held >= shard_tokens:
+                    yield close()
+                    k, base, held = k + 1, base + held, 0
+                    ids, parts, lengths = [], [], []
         if ids:
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(shards, "part int, k int, base long, tokens long, image binary"), "token-shards")
+    return materialize(ordered.mapInArrow(released(shards), "part int, k int, base long, tokens long, image binary"), "token-shards")
 
 
 def _documents(shards: DataFrame, finish: Callable[[memoryview], object], kind: str) -> DataFrame:
@@ -158,7 +179,7 @@ def _documents(shards: DataFrame, finish: Callable[[memoryview], object], kind:
 
     # One row a partition of the write: bounded by the number of partitions, whatever the data.
     placed = shards.join(F.broadcast(starts), "part").select((F.col("first") + F.col("base")).alias("first"), "image")
-    return placed.mapInArrow(documents, f"doc_id long, start long, n_tokens long, value {kind}")
+    return placed.mapInArrow(released(documents), f"doc_id long, start long, n_tokens long, value {kind}")
 
 
 def read(shards: DataFrame) -> DataFrame:

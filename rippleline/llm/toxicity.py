@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import materialize
+from rippleline.llm.common import bounded_batches, materialize
 from rippleline.llm.langid import is_held_out
 
 FIT_DOCS, FEATURES, LEAST, TELLING, FOLDS, SALTS = 8000, 20000, 4, 4.0, 5, 16
@@ -105,6 +105,7 @@ def chain(doc: np.ndarray, word: np.ndarray, size: int, labels: np.ndarray, fold
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]] = CATEGORIES, fit_docs: int = FIT_DOCS, most: int = FEATURES) -> tuple[list[str], list[Linear]]:
     """The words and the chain's models."""
+    bounded_batches(docs.sparkSession)
     made = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", *[F.coalesce(F.expr(e).cast("int"), F.lit(0)).alias(f"y{i}") for i, (_, e) in enumerate(categories)])
     made = made.groupBy("doc_id").agg(*[F.min(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     h = F.xxhash64("doc_id")
@@ -144,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
 
 def predict(docs: DataFrame, model: tuple[list[str], list[Linear]], categories: Sequence[tuple[str, str]] = CATEGORIES) -> DataFrame:
     """docs with p_<category> for each category, and toxic_pred: the last category's verdict."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(model[0])}, model[1]))
     names = [f"p_{c}" for c, _ in categories]
 

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from rippleline.llm.common import bounded_batches
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard name space of URLs
@@ -115,4 +117,5 @@ def derivatives(pages: DataFrame) -> DataFrame:
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
                 yield out.astype({"page_id": "Int64"})
 
+    bounded_batches(pages.sparkSession)
     return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInPandas(build, _SCHEMA)

@@ -18,13 +18,13 @@ BLOCK_BITS = 1 << 16
 _HEAD = struct.Struct("<4sHHQQ")
 
 
-def build(values: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: int) -> bytes:
+def build(values: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray | list[int], bits: int) -> bytes:
     """A file image of the ids of whole documents."""
     values = np.asarray(values, np.uint32)
     pack = zstandard.ZstdCompressor(level=1)
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
-    out = [_HEAD.pack(MAGIC, VERSION, bits, len(ids), len(values)), ids.tobytes(), nulls.tobytes(), np.array(lengths, "<u8").tobytes()]
+    out = [_HEAD.pack(MAGIC, VERSION, bits, len(ids), len(values)), ids.tobytes(), nulls.tobytes(), np.asarray(lengths).astype("<u8").tobytes()]
     values = values.astype(np.uint16) if bits <= 16 else values
     for b in range(bits - 1, -1, -1):
         ones = (values & values.dtype.type(1 << b)).astype(bool)
