@@ -1,7 +1,7 @@
 """Token-id shards: documents in ascending doc_id order, a wavelet matrix a shard.
 
 Documents are range-partitioned by doc_id; a task encodes its run and closes a shard when
-it holds `shard_tokens` ids, give or take a thousand documents, so memory doesn't follow the data. Shards are rows of a
+it holds `shard_tokens` ids, give or take a batch, so memory doesn't follow the data. Shards are rows of a
 Parquet table in the shared folder (partition, k, base, image binary): an image is a complete
 file (see wavelet), and Spark's committer makes retries and lost executors harmless on any store.
 
@@ -38,7 +38,7 @@ _APART = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|<\||\x01"
 _TIGHT = r"[^\p{L}\p{N}][.,]"
 _BARE = "\x01"
 _SPACE = re.compile(r"\s")
-_KNOWN = 1 << 20  # stretches that a process remembers, about 200 bytes each
+_KNOWN = 3 << 19  # stretches that a process remembers, about 200 bytes each
 
 
 class Encoder:
@@ -96,10 +96,10 @@ class Encoder:
         sizes = np.fromiter(map(len, (*got, *begin)), np.int64, len(got) + len(begin)) // self.wide.itemsize
         starts = np.cumsum(sizes) - sizes
         ids = np.frombuffer(b"".join((*got, *begin)), self.wide)
-        which = coded.indices.to_numpy().astype(np.int64)
-        which[first] = len(got) + np.arange(len(first))
+        which = coded.indices.to_numpy().copy()
+        which[first] = len(got) + np.arange(len(first), dtype=which.dtype)
         n = sizes[which]
-        at = np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat((starts[which] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
         return ids.take(at), np.add.reduceat(n, first)
 
 
@@ -139,17 +139,15 @@ def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                got, n = texts.batch(some.column(1))
-                ids += some.column(0).to_pylist()
-                parts.append(np.insert(got, np.cumsum(n), end_id))
-                lengths.append(n + 1)
-                held += len(parts[-1])
-                if held >= shard_tokens:
-                    yield close()
-                    k, base, held = k + 1, base + held, 0
-                    ids, parts, lengths = [], [], []
+            got, n = texts.batch(batch.column(1))
+            ids += batch.column(0).to_pylist()
+            parts.append(np.insert(got, np.cumsum(n), end_id))
+            lengths.append(n + 1)
+            held += len(parts[-1])
+            if held >= shard_tokens:
+                yield close()
+                k, base, held = k + 1, base + held, 0
+                ids, parts, lengths = [], [], []
         if ids:
             yield close()
 
