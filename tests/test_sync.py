@@ -114,7 +114,7 @@ def test_server(engine):
     def ask(method, params=None, id_=1):
         return serve.answer(engine, {"jsonrpc": "2.0", "id": id_, "method": method, "params": params or {}})
 
-    call = lambda name, **a: ask("tools/call", {"name": name, "arguments": a})["result"]["content"][0]["text"]
+    call = lambda tool, **a: ask("tools/call", {"name": tool, "arguments": a})["result"]["content"][0]["text"]
     assert ask("initialize")["result"]["capabilities"] == {"tools": {}}
     assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["describe_corpus", "get_symbol", "get_callers", "get_dependencies", "get_impact", "get_topic", "get_chunk"]
     assert call("get_impact", name="torder", max_results=2) == "d1: [PLACE_ORDER:Procedure via:Touches]\nd2: [risk:Service via:Invokes]"
