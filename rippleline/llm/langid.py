@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rippleline.llm.common import bounded_batches, released
 
-PROFILE, FIT_DOCS, SALTS = 300, 3200, 16
+PROFILE, FIT_DOCS, DOC_SALTS, SALTS = 300, 3200, 64, 16
 MIN_SCORE = 0.1
 _LETTERS: list[np.ndarray] = []
 
@@ -67,9 +67,9 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, profile: int = PROFI
     bounded_batches(docs.sparkSession)
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"), folds, held_out))
     h = F.xxhash64("doc_id")
-    picked = pool.select("doc_id", "lang", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(SALTS)).alias("salt"))
+    picked = pool.select("doc_id", "lang", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(DOC_SALTS)).alias("salt"))
     first = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
-    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, fit_docs // SALTS)).select("doc_id").distinct()
+    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, fit_docs // DOC_SALTS)).select("doc_id").distinct()
     # At most fit_docs ids a language: bounded whatever the data.
     sample = pool.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id", "left_semi")
 
