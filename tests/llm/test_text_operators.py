@@ -1,5 +1,6 @@
 """SimHash, token shards, BPE, language ID, quality rules against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -169,12 +170,18 @@ def test_wavelet_lookups(n):
         assert w.occurrences(int(values[0])) == np.flatnonzero(values == values[0]).tolist()
 
 
-def brute_bpe(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     t.no_truncation()
     t.no_padding()
+    return t
+
+
+def brute_bpe(text):
+    t = library()
     ids = t.encode(text or "", add_special_tokens=False).ids
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
