@@ -56,11 +56,11 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Batches of texts that go to Python are bounded by bytes, as texts may be long, not by rows alone. A bound that
     was set before stays."""
     if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, size)
 
 
 def release() -> None:

@@ -117,7 +117,7 @@ def encoder(definition: str, wide: str) -> Encoder:
 def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode and write; the table of shards."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, "8m")  # the larger a batch, the fewer distinct stretches it has
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     size = max(tokenizer(definition.value).get_vocab_size(with_added_tokens=True), end_id + 1)
