@@ -1,66 +1,28 @@
-"""Helpers shared by the corpus operators: shared folder, written tables, word pattern."""
+"""Helpers shared by the corpus operators: word pattern, batches of texts, keys of rows, files of their own formats."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippleline.runtime import drop, fresh, materialize, shared_dir, table_path  # noqa: F401
+
 #: A word is a run of anything but space and \t..\r (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where spark.checkpoint.dir is unset
-    (local tests) a temporary folder takes its place."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    known = sc.getCheckpointDir()
-    if known is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rippleline-"))
-        known = sc.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage with one
-    computation and survives lost executors. Once written, the table needs no shuffle files, so they go at once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rippleline_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table written by materialize() that nothing reads any more."""
-    path = getattr(df, "_rippleline_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Batches of texts that go to Python are bounded by bytes, as texts may be long, not by rows alone. A bound that
-    was set before stays."""
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of texts that go to Python are bounded by bytes, as texts may be long, not by rows alone. The same bound
+    for all operators, in whatever order they run; one that a user has set stays."""
     if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, size)
+        spark.conf.set(_BATCH, _BATCH_BYTES)
 
 
 def release() -> None:
@@ -91,3 +53,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words in a text, null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of hash of a whole row, as (a, b): rows with the same key are the same in every column."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]), {"ignoreNullFields": "false"})
+    text = [F.col("text").isNull(), F.col("text")] if "text" in df.columns else []
+    return F.struct(F.xxhash64(row, *text).alias("a"), F.xxhash64(F.lit("b"), *text, row).alias("b"))
+
+
+@contextmanager
+def opened(path: str, mode: str):
+    """A file of a store that tasks share, by its full path (a plain one, or file:, hdfs:, s3:, gs:): "rb" or "wb"."""
+    store, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    if mode == "wb":
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at) as f:
+            yield f
+    else:
+        with store.open_input_file(at) as f:
+            yield f

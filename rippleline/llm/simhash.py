@@ -16,11 +16,14 @@ contraction; labels are fingerprints until the end.
 
 Edge cases: null and wordless texts have fingerprint 0 and are linked like any other;
 rows with null doc_id take part and their component is the smallest doc_id in it, null if it has none;
-repeated rows and ties are one class; an empty table gives an empty result.
+repeated rows and ties are one class; rows that share a doc_id but not their text are rows of their own; other columns, whatever their
+names, are kept by deduplicate() and not read by with_components(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,34 +33,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rippleline.llm.common import bounded_batches, drop, materialize
+from rippleline.llm.common import bounded_batches, drop, fresh, materialize, row_key
 
 BITS, BLOCK, CROWD = 64, 16, 24
 MAX_DISTANCE = 2  # blocks and balls are made for this
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def stretches(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A long text in stretches that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + size) if at + size < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint as an unsigned number. bytes.lower() and bytes.split() know ASCII only,
-    as the contract asks."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
+    """The fingerprint as an unsigned number. bytes.lower() and bytes.split() know ASCII only, as the contract asks. Words
+    and hashes of one stretch of the text are in memory at a time."""
+    counts, n, words = np.zeros(BITS, np.int64), 0, []
+    for raw in stretches((text or "").encode("utf-8", "surrogatepass")):
+        words += raw.lower().split()
+        if len(words) < shingle:
+            continue
         length = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(length + 1) - 1
-        start = end - length
+        joined, start = b" ".join(words), end - length
         digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], seed) for i, j in zip(start[: 1 - shingle].tolist(), end[shingle - 1 :].tolist())]
-    counts = np.zeros(BITS, np.int64)
-    array = np.array(hashes, dtype="<u8")
-    for at in range(0, len(array), 1 << 16):  # bounded memory for very long texts
-        part = array[at : at + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = counts * 2 > len(array)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        last = len(words) - shingle + 1
+        hashes = [digest(joined[i:j], seed) for i, j in zip(start[:last].tolist(), end[shingle - 1 :].tolist())]
+        array = np.array(hashes, dtype="<u8")
+        for at in range(0, last, 1 << 16):
+            counts += np.unpackbits(array[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += last
+        words = words[last:]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), seed) if words else 0
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 @F.arrow_udf(T.LongType())
@@ -74,8 +88,9 @@ def _blocks(fp: Column) -> Column:
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """prints: distinct (fp). Returns (a, b), a > b, that connect all within two bits."""
     filed = prints.select("fp", F.explode(_blocks(F.col("fp"))).alias("at")).select("fp", "at.pair", "at.value")
-    sizes = filed.groupBy("pair", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    filed = materialize(filed.join(materialize(sizes, "blocks"), ["pair", "value"]), "filed")
+    sizes = materialize(filed.groupBy("pair", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "blocks")
+    filed = materialize(filed.join(sizes, ["pair", "value"]), "filed")
+    drop(sizes)
     few = filed.where(F.col("n") <= crowd)
     near = (
         few.alias("x").join(few.alias("y"), ["pair", "value"])
@@ -87,7 +102,9 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     ball = crowded.select("fp", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     met = ball.groupBy("point").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # at most 65 by geometry
     star = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a > b")
-    return near.union(star).distinct()
+    found = materialize(near.union(star).distinct(), "links")
+    drop(filed)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,7 +115,9 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(r)
 
+    given = edges
     edges = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    drop(given)
     was = state(edges)
     while was[0]:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -118,15 +137,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.toDF("node", "root").union(edges.select("b", "b").distinct())
 
 
+def classes(prints: DataFrame, key: Column, crowd: int = CROWD) -> DataFrame:
+    """prints: fp and what `key` is made of -> (fp, root, first): each fingerprint, the smallest one that links lead to, and
+    its least key."""
+    each = materialize(prints.groupBy("fp").agg(F.min(key).alias("first")), "classes")
+    found = components(links(each.select("fp"), crowd))
+    rooted = materialize(each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+    drop(each)
+    return rooted
+
+
 def with_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp, component_id)."""
     bounded_batches(docs.sparkSession)
     printed = materialize(docs.select(F.col("doc_id"), simhash_udf(F.col("text")).alias("fp")), "prints")
-    classes = printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = materialize(components(links(classes.select("fp"))), "roots")
-    rooted = materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = classes(printed, F.col("doc_id"), crowd)
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(rooted.join(ids, "root").select("fp", "component_id"), "named")
+    drop(rooted)
     return printed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -135,13 +163,20 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id (null ids last); all columns."""
-    found = with_components(docs.select("doc_id", "text"))
-    # One row per component: its representative's id and fingerprint.
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r"))
-    kept = best.where("component_id is not null").select(F.col("r.doc_id").alias("_id"))
-    unnamed = found.where("component_id is null").select("fp").distinct()  # components of null ids only
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_fp", simhash_udf(F.col("text")))
-    nameless = nameless.join(unnamed, nameless["_fp"] == unnamed["fp"], "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return named.unionByName(nameless)
+    """One row of each component, all columns: that with the smallest doc_id (null ids last), among equal ids that of the least
+    fingerprint and then of the least hash of the row. Components are told apart by their root fingerprint, so rows that share an
+    id and nothing else stay. Only keys and fingerprints are grouped; texts are read by a semi-join, once."""
+    bounded_batches(docs.sparkSession)
+    key = row_key(docs)
+    printed = materialize(docs.select("doc_id", simhash_udf(F.col("text")).alias("fp"), key.alias("key")), "prints")
+    rooted = classes(printed, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "key"))
+    best = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.key"), "kept")
+    # A row that is there several times in every column is kept once: such keys are set apart, as others need no shuffle of rows.
+    often = materialize(printed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(best, "key", "left_semi").select("key"), "often")
+    drop(rooted, printed)
+    name = fresh(docs.columns, "_key")
+    keyed = docs.withColumn(name, key)
+    once = keyed.join(best.join(often, "key", "left_anti").withColumnRenamed("key", name), name, "left_semi")
+    repeated = keyed.join(often.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).union(repeated.select(*columns))

@@ -110,13 +110,50 @@ def test_components_of_chain_and_star(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_deduplicate_keeps_one_of_each(spark):
-    df, _ = odd_docs(spark)
+def brute_keep(rows):
+    """rows: (doc_id, text, rest...). One row of each component of distinct fingerprints: least id, nulls last. Which of several with
+    that id and other texts is free, but for their fingerprint."""
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    roots = {f: c for _, f, c in brute_components([(i, f) for i, f in enumerate(prints)])}
+    groups = {}
+    for r, f in zip(rows, prints):
+        groups.setdefault(roots[f], []).append(((r[0] is None, r[0] or 0, f - 2**64 if f >= 2**63 else f), r))
+    return [[r for k, r in g if k == min(k for k, _ in g)] for g in groups.values()]
+
+
+def test_deduplicate_keeps_one_of_each_component(spark):
+    words = [f"w{i}" for i in range(400)]
+    r = random.Random(9)
+    base = [" ".join(r.choices(words, k=60)) for _ in range(12)]
+    rows = [(i, base[i % 12], "s") for i in range(40)]
+    rows += [(3, base[5], "t"), (3, "completely different words that nothing else here has", "t"), (4, "alpha beta gamma delta", "u"), (4, "alpha beta gamma delta", "u"), (4, "alpha beta gamma delta", "v")]
+    rows += [(None, base[0], "n"), (None, "only nulls have this one", "n"), (None, "only nulls have this one", "n"), (None, None, None), (None, "", None), (7, "  ", "x"), (50, "no other has it", "y")]
+    schema = "doc_id long, text string, _fp string"
+    df = spark.createDataFrame(rows, schema).repartition(5).withColumn("_key", F.lit(1)).withColumn("key", F.lit(2)).withColumn("n", F.lit(3))
     kept = simhash.deduplicate(df)
     assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids))
-    assert 13 in ids and 14 not in ids and 0 in ids and 1 not in ids
+    got = [tuple(x)[:3] for x in kept.collect()]
+    want = brute_keep(rows)
+    assert len(got) == len(want)
+    for g in want:
+        assert sum(x in g for x in got) == 1
+    assert {"completely different words that nothing else here has", "no other has it"} <= {t for _, t, _ in got}
+    assert sorted(map(str, got)) == sorted(str(tuple(x)[:3]) for x in simhash.deduplicate(df.repartition(3)).collect())
+    assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_simhash_of_stretches():
+    text = " ".join(random.Random(3).choices(["a", "Bc", "d\u00e9", "x" * 50, "\t"], k=4000))
+    raw = text.encode()
+    assert b"".join(simhash.stretches(raw, 100)) == raw and [w for s in simhash.stretches(raw, 100) for w in s.split()] == raw.split()
+    want = brute_fingerprint(text)
+    whole = simhash.stretches
+    for size in (1, 7, 1000):
+        simhash.stretches = lambda raw, size=size: whole(raw, size)
+        try:
+            assert simhash.simhash(text) == want and simhash.simhash("a b") == brute_fingerprint("a b")
+        finally:
+            simhash.stretches = whole
 
 
 def test_token_shards_query(spark, sf):
