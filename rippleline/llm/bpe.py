@@ -4,10 +4,10 @@ For tokenizers that drop white space and never let a token span it: a text's ids
 words in order. So words are split, each distinct word is encoded once by the
 tokenizers library, and ids are joined back by position; decoding joins ids to their pieces.
 
-The word table has two parts. The most frequent words, at most `hot_words` of them by
-a threshold on their counts, have ids that every task gets (a proven size bound). All other words
-are joined by shuffle: (document, position, word) to (word, ids). Hot words never take
-part in that join, so no key of it is large. Documents travel as word ranks, not as texts.
+The word table has two parts. The most frequent words, never more than `hot_words` of them, have ids that
+every task gets. All other words are joined by shuffle: (document, position, word) to (word, ids). Hot words never take
+part in that join, and what is left has no key with more than about 1 / hot_words of all words (see
+hot_and_rare). Documents travel as word ranks, not as texts.
 
 Words are normalised only where the library would do the same: texts of Latin-1 without
 "<|" are lower-cased, and full stops and commas after a letter or digit, before white space,
@@ -15,7 +15,8 @@ become words of their own.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; documents
 are told apart by doc_id and a hash of their text, so repeated ids and rows (and null ids) are kept,
-each with its result; other columns are not read; an empty table gives an empty result.
+each with its result, and work on rare words grows with distinct documents, not copies; other columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippleline.llm.common import bounded_batches, materialize, released
@@ -38,6 +39,7 @@ from rippleline.llm.common import bounded_batches, materialize, released
 HOT_WORDS = 1 << 18
 _FLUSH = 1 << 18  # distinct words that a task counts before it hands on partial counts
 _SLICE = 1000  # documents that a task works on at once
+_MET = 1 << 18  # documents that a task remembers to have met
 _CACHE: dict = {}
 _ID = "<u2"  # as ids travel inside; wider vocabularies are refused
 
@@ -186,18 +188,31 @@ def encode_words(words: DataFrame, definition) -> DataFrame:
     return words.select("word", "n").mapInArrow(released(encode), "word binary, n long, ids binary")
 
 
-def _threshold(words: DataFrame, most: int) -> int:
-    """The least count c such that at most `most` words occur c times or more. The histogram
-    of counts is bounded: counts from 2^17 on share a bin."""
-    top = 1 << 17
-    bins = words.groupBy(F.least("n", F.lit(top)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
-    total, least = 0, top + 1
+_EXACT, _OCTAVE = 1 << 12, 64
+
+
+def _bin(n: Column) -> Column:
+    """Counts below _EXACT are bins of their own; above, an octave has _OCTAVE bins."""
+    return F.when(n < _EXACT, n.cast("int")).otherwise((_EXACT + F.floor((F.log2(n.cast("double")) - float(_EXACT.bit_length() - 1)) * _OCTAVE)).cast("int"))
+
+
+def hot_and_rare(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(word, n, ...) in two parts: the most frequent words, never more than `most` of them whatever the counts, and all others.
+
+    Bins of counts are taken from the top while their words fit. The histogram has fewer than _EXACT + 52 * _OCTAVE rows. The first
+    bin that doesn't fit holds, with those above it, more than `most` words, so no word in it or below has more
+    than about 1 / most of all words: what is left to the join by shuffle has no hot key."""
+    bins = words.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
+    total, least = 0, None
     for c, k in bins:
         total += k
         if total > most:
             break
         least = c
-    return least
+    if least is None:
+        return words.where(F.lit(False)), words
+    hot = _bin(F.col("n")) >= least
+    return words.where(hot), words.where(~hot)
 
 
 def pieces(definition: str) -> list[str]:
@@ -227,8 +242,8 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
     if tokenizer(definition.value).get_vocab_size(with_added_tokens=True) > 1 << 16:
         raise ValueError("vocabularies of more than 65,536 ids are not supported")
     table = materialize(encode_words(word_counts(docs), definition), "words")
-    least = _threshold(table, hot_words)
-    hot = table.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
+    top, others = hot_and_rare(table, hot_words)
+    hot = top.orderBy(F.desc("n"), "word").select("word", "ids").toArrow()  # at most hot_words rows
     # Compact as they are sent; a task makes what it needs of them and drops it, so workers don't grow from query to query.
     hot_names = spark.sparkContext.broadcast(_flat(hot.column(0).to_pylist(), np.uint8))
     hot_ids = spark.sparkContext.broadcast(_flat(hot.column(1).to_pylist(), _ID))
@@ -240,10 +255,15 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
         return lambda w: np.fromiter(map(get, w.distinct, repeat(-1)), np.int32, len(w.distinct))[w.which]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = ranker()
+        ranked, met = ranker(), set()
         for batch in _slices(batches):
-            w = Words(batch.column(1))
             d, h = _keys(batch.column(0), batch.column(1))
+            # A document that was met before adds nothing; copies in other tasks go when places are grouped.
+            new = [i for i, key in enumerate(zip(d.tolist(), h.tolist())) if key not in met and not met.add(key)]
+            if len(met) > _MET:
+                met.clear()
+            d, h = d[new], h[new]
+            w = Words(batch.column(1).take(pa.array(new, pa.int64())))
             at = np.flatnonzero(ranked(w) < 0)
             doc = np.searchsorted(w.bounds, at, "right") - 1
             words = w.dictionary.take(pa.array(w.which[at]))
@@ -276,10 +296,11 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
             yield finish(batch.column(0), ids, np.concatenate([[0], np.cumsum(n)])[bounds])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # A document that is there twice gives its rare words twice, with the same ids.
-    found = texts.mapInArrow(released(rare), "d long, place long, word binary").join(table.where(F.col("n") < least).select("word", "ids"), "word")
-    h = F.shiftright("place", 32).cast("int")
-    by_doc = found.select("d", "place", "ids").repartition("d", h).groupBy("d", h.alias("h")).agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
+    found = texts.mapInArrow(released(rare), "d long, place long, word binary").join(others.select("word", "ids"), "word")
+    found = found.select("d", F.shiftright("place", 32).cast("int").alias("h"), "place", "ids").repartition("d", "h")
+    # Each place of a document once, however often the document is there; no shuffle in between.
+    places = found.groupBy("d", "h", "place").agg(F.first("ids").alias("ids"))
+    by_doc = places.groupBy("d", "h").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
     known = texts.mapInArrow(released(common), "d long, h int, ranks binary")
     doc_id = F.when(F.col("h").bitwiseAND(1) == 0, F.col("d"))
     return known.join(by_doc, ["d", "h"], "left").select(doc_id.alias("doc_id"), "ranks", "rest").mapInArrow(released(merge), schema)

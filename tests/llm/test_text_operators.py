@@ -234,6 +234,26 @@ def test_bpe(spark, sf, hot):
     assert bpe.digest(df.limit(0), path, hot).count() == 0
 
 
+@pytest.mark.parametrize("most,want", [(3, 0), (50, 50), (60, 60), (64, 60), (1000, 1000)])
+def test_hot_words_are_never_more(spark, most, want):
+    """Fifty words of the same very high count, ten of a lower one, others rare: a bin is taken whole or not at all."""
+    rows = [(f"a{i}", 200_000) for i in range(50)] + [(f"b{i}", 150_000) for i in range(10)] + [(f"c{i}", 1 + i % 7) for i in range(940)]
+    words = spark.createDataFrame(rows, "word string, n long")
+    hot, rare = bpe.hot_and_rare(words, most)
+    got = {r.word for r in hot.collect()}
+    assert len(got) == want and len(got) <= most and rare.count() == 1000 - want
+    assert all(n >= max([m for w, m in rows if w not in got], default=0) for w, n in rows if w in got)
+
+
+def test_bpe_of_many_copies(spark):
+    """A row a thousand times over, all its words rare: each place is listed once, and each row has its result."""
+    path = vocabulary("word_bpe_49k.json")
+    text = " ".join(f"qz{i}x" for i in range(300))
+    df = spark.createDataFrame([(7, text)] * 1000 + [(8, text), (None, text)], "doc_id long, text string").repartition(4)
+    got = bpe.digest(df, path, 0).groupBy("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").count().collect()
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((d, *brute_bpe(text), n) for d, n in ((7, 1000), (8, 1), (None, 1))), key=key)
+
+
 def test_bpe_query(spark, sf):
     assert sorted(map(tuple, QUERIES["op9_bpe"](spark, sf).collect())) == sorted((d, *brute_bpe(t)) for d, t in sample(sf))
 
