@@ -3,7 +3,7 @@
 Messages form trees by their parents. Iterative self-joins enumerate the paths from root to
 leaf: a table of jumps is joined with itself, so its jumps double in length each round, and
 each leaf's known ancestors are joined with it. So a path of n messages takes log2(n) rounds, and
-rows are those of the paths themselves. Branches are ranked by mean score, and each chosen
+rows are those of the paths themselves. Branches are ranked by mean score before texts are joined, and each chosen
 path is formatted as one conversation, with the spans of its text that carry loss.
 
 Template: "<|im_start|>" role "\\n" text "<|im_end|>\\n" for each turn. Inside texts and roles a
@@ -13,8 +13,8 @@ one away. A control string begins with < or [ and has neither further on, so mat
 overlap and the way back is exact. New lines and backslashes in a role are escaped too.
 
 Edge cases: null texts and roles are empty; a null tree is a tree of its own; a message whose parent is
-missing is a root; rows with the same turn are in order of role and text; repeated rows are
-each a turn; paths that run in a circle reach no root and give no conversation; an empty
+missing is a root; rows of a tree with the same id are one message, the least by parent, role, text and score; rows of
+a linear conversation with the same turn are each a turn, in order of role and text; paths that run in a circle reach no root and give no conversation; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -48,7 +48,7 @@ def unescape_role(role: Column) -> Column:
 
 
 def paths(messages: DataFrame) -> DataFrame:
-    """(tree, id, parent) -> (tree, leaf, id, depth): every leaf's path from its root."""
+    """(tree, id, parent), ids once a tree -> (tree, leaf, id, depth): every leaf's path from its root."""
     nodes = materialize(messages.select("tree", "id", "parent"), "nodes")
     sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
     known = nodes.select("tree", F.col("id").alias("to"))
@@ -72,26 +72,42 @@ def paths(messages: DataFrame) -> DataFrame:
     return found.withColumn("last", F.max("up").over(leaf)).select("tree", "leaf", "id", (F.col("last") - F.col("up")).alias("depth"))
 
 
+def single(messages: DataFrame) -> DataFrame:
+    """One message of each (tree, id): the least by parent, role, text and score. Tasks keep one of each before the shuffle."""
+    rest = ("parent", "role", "text", "score")
+    return messages.groupBy("tree", "id").agg(F.min(F.struct(*rest)).alias("m")).select("tree", "id", *[f"m.{c}" for c in rest])
+
+
+def ranked(messages: DataFrame, top: int | None = None) -> DataFrame:
+    """(tree, id, parent, score), ids once a tree -> (tree, leaf, id, depth, mean, rank): paths of the `top` branches of each tree by mean
+    score, all of them by default. Texts take no part."""
+    found = paths(messages).join(messages.select("tree", "id", "score"), ["tree", "id"])
+    found = materialize(found, "paths")
+    mean = found.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
+    best = mean.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
+    if top is not None:
+        best = best.where(F.col("rank") <= top)
+    return found.drop("score").join(best, ["tree", "leaf"])
+
+
 def conversations(messages: DataFrame, top: int | None = None) -> DataFrame:
-    """(tree, id, parent, role, text, score) -> (tree, leaf, score, formatted, spans).
-    spans: start (from 0) and length in characters of what carries loss. top: how many branches of a tree."""
+    """(tree, id, parent, role, text, score) -> (tree, leaf, score, rank, formatted, spans).
+    spans: start (from 0) and length in characters of what carries loss. top: how many branches of a tree. Each (tree, id) is one message."""
+    written = materialize(single(messages), "messages")
     role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
-    made = messages.select("tree", "id", "score", (F.coalesce("role", F.lit("")) == LOSS_ROLE).alias("loss"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), text.alias("body"))
-    rows = paths(messages).join(made, ["tree", "id"])
+    made = written.select("tree", "id", (F.coalesce("role", F.lit("")) == LOSS_ROLE).alias("loss"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), text.alias("body"))
+    rows = ranked(written.select("tree", "id", "parent", "score"), top).join(made, ["tree", "id"])
     so_far = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + len(END)
     placed = rows.withColumn("at", F.coalesce(F.sum(size).over(so_far), F.lit(0)))
     turn = F.struct("depth", F.concat("head", "body", F.lit(END)).alias("piece"))
     span = F.when(F.col("loss"), F.struct((F.col("at") + F.length("head")).cast("long").alias("start"), F.length("body").cast("long").alias("length")))
-    out = placed.groupBy("tree", "leaf").agg(
-        F.avg("score").alias("score"),
+    return placed.groupBy("tree", "leaf").agg(
+        F.first("mean").alias("score"),
+        F.first("rank").alias("rank"),
         F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["piece"]), "").alias("formatted"),
         F.array_sort(F.collect_list(span)).alias("spans"),
     )
-    if top is not None:
-        best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        out = out.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top).drop("_rank")
-    return out
 
 
 def parse(formatted: Column) -> Column:
@@ -121,7 +137,7 @@ def threads(rows: DataFrame) -> DataFrame:
 
 def digest(rows: DataFrame) -> DataFrame:
     """Format, and read the result back."""
-    made = conversations(threads(rows))
+    made = conversations(threads(rows), top=1)
     turns, loss = parse(F.col("formatted")), under_loss(F.col("formatted"), F.col("spans"))
     flat = F.array_join(F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select("tree", "formatted", turns.alias("turns"), loss.alias("loss")).select(
