@@ -8,13 +8,14 @@ stretch of the running sum crosses.
 
 Documents are put in order of size class, salt and size, so that the sample is spread
 evenly over sizes and taken words stay near the target. The prefix sum has two levels: rank in a
-(source, class, salt) bucket, and running counts over the buckets of a source, of which there
-are at most 4 * 64 * salts whatever the data. So a hot source is dealt over all tasks.
+(source, class, salt) bucket, and running counts over the buckets of a source. There are as many salts as
+keep a bucket near BUCKET_ROWS rows if all documents were of one source and class, so a hot source is
+dealt over all tasks at any size.
 
 Edge cases: null text counts as size 0; a null source is a source of its own, after all
 others; a source of size 0 gets target 0; ties and repeated rows are separate
-documents; an empty table gives an empty result; input columns that are named like
-result columns are replaced.
+documents, and which of them is taken doesn't depend on the order of rows; an empty table gives an empty result;
+mix() replaces input columns that are named like result columns, sample() keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import n_words
+from rippleline.llm.common import drop, fresh, materialize, n_words, row_key
 
+SALTS, BUCKET_ROWS, PORTION = 64, 1 << 20, 1024
 RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -34,6 +36,10 @@ def md5_int(value: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def text_tie(text: Column) -> Column:
+    return md5_int(F.coalesce(text, F.lit("")), 15)
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(skey, source, source_size) -> the same with target. Waterfilling in closed form: in
     order of size / weight the first sources are at their cap, and the rest divide what
@@ -60,15 +66,18 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3)
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 42, salts: int = 64, size: Column | None = None) -> DataFrame:
-    """docs with size, source_size, target, copies and taken. One row per document."""
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 42, size: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target, copies and taken. One row per document. Equal sizes and doc_ids are in order of
+    `tie`, by default 60 bits of the text's md5."""
     size = n_words(F.col("text")) if size is None else size
+    tie = text_tie(F.col("text")) if tie is None else tie
+    salts = max(SALTS, -(-docs.count() // BUCKET_ROWS))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    base = docs.select(row.alias("row"), skey.alias("skey"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), size.alias("size"))
+    base = docs.select(row.alias("row"), skey.alias("skey"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), size.alias("size"), tie.alias("tie"))
     base = base.withColumns({
         "class": F.floor(4 * F.log2(F.col("size") + F.lit(1.0))).cast("int"),
-        "salt": (md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % salts).cast("int"),
+        "salt": (md5_int(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("tie").cast("string")), 8) % salts).cast("int"),
     })
     bucket = ["skey", "class", "salt"]
     counts = base.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.first("source", ignorenulls=True).alias("source"))
@@ -79,7 +88,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     plan = starts.join(targets(sizes, weights, cap).drop("source"), "skey").select(
         *bucket, "start", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), offset.alias("u")
     )
-    ranked = base.withColumn("k", F.row_number().over(Window.partitionBy(*bucket).orderBy("size", "doc_id")))
+    ranked = base.withColumn("k", F.row_number().over(Window.partitionBy(*bucket).orderBy("size", "doc_id", "tie")))
     k = F.col("start") + F.col("k")
     crossed = (F.floor(k * F.col("rate") + F.col("u")) - F.floor((k - 1) * F.col("rate") + F.col("u"))).cast("int")
     out = ranked.join(plan, bucket).withColumn("copies", F.least(crossed, F.lit(cap)))
@@ -87,6 +96,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in columns])
+def sample(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 42) -> DataFrame:
+    """Each row of docs as many times as the mix takes it, with all its columns. Only keys, ids, sources and sizes are
+    ranked; the number of copies goes back to the rows by a join on the key of the whole row. Rows that are the same in
+    every column are taken together."""
+    key = row_key(docs)
+    narrow = materialize(docs.select(key.alias("key"), "doc_id", "source", n_words(F.col("text")).alias("n")), "sized")
+    mixed = mix(narrow, weights, cap, seed, F.col("n"), F.col("key.a")).groupBy("key").agg(F.sum("copies").cast("int").alias("c"), F.count(F.lit(1)).alias("rows"))
+    taken = materialize(mixed.where("c > 0"), "taken")
+    often = materialize(taken.where("rows > 1"), "often")
+    drop(narrow)
+    name, times, copy = fresh(docs.columns, "_key"), fresh(docs.columns, "_c"), fresh(docs.columns, "_copy")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(name, key)
+    joined = lambda some: keyed.join(some.select(F.col("key").alias(name), F.col("c").alias(times)), name)
+    # Copies of repeated rows are dealt out in portions, as there may be any number of them.
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / PORTION).cast("int")), lambda i: F.least(F.lit(PORTION), F.col(times) - i * PORTION))
+    many = joined(often).dropDuplicates([name]).select(*columns, F.explode(parts).alias(times)).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = joined(taken.where("rows = 1")).select(*columns, times).union(many)
+    return both.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col(times))).alias(copy)).select(*columns)

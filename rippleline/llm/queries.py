@@ -18,8 +18,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"))
-    mixed = mixing.mix(materialize(sized, "sized"), size=F.col("n"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"), mixing.text_tie(F.col("text")).alias("tie"))
+    mixed = mixing.mix(materialize(sized, "sized"), size=F.col("n"), tie=F.col("tie"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -75,11 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || left(md5(coalesce(text, '')), 15))::BIGINT AS tie, greatest(64, (count(*) OVER () + 1048575) // 1048576) AS salts
   FROM documents
 ), b AS (
   SELECT *, floor(4 * log2(size + 1.0))::INTEGER AS class,
-         (('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 8))::BIGINT % 64)::INTEGER AS salt
+         (('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || tie), 8))::BIGINT % salts)::INTEGER AS salt
   FROM d
 ), s AS (
   SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM b GROUP BY skey
@@ -100,7 +101,7 @@ WITH d AS (
          ('0x' || left(md5('42:' || skey), 12))::BIGINT / 281474976710656.0::DOUBLE AS u
   FROM r, l
 ), k AS (
-  SELECT *, row_number() OVER (PARTITION BY skey ORDER BY class, salt, size, doc_id NULLS FIRST) AS k FROM b
+  SELECT *, row_number() OVER (PARTITION BY skey ORDER BY class, salt, size, doc_id NULLS FIRST, tie) AS k FROM b
 ), c AS (
   SELECT doc_id, size, source_size, target, k, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
   FROM k JOIN t USING (skey)
