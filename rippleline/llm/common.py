@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -55,6 +56,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+_SPACE = {bytes: re.compile(rb"[\x20\x09-\x0D]"), str: re.compile(r"[\x20\x09-\x0D]")}
+
+
+def stretches(text: str | bytes, size: int = 1 << 20) -> Iterator[str | bytes]:
+    """A long text in stretches that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE[type(text)].search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def row_key(df: DataFrame) -> Column:
     """128 bits of hash of a whole row, as (a, b): rows with the same key are the same in every column."""
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]), {"ignoreNullFields": "false"})

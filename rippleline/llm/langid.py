@@ -12,7 +12,7 @@ modulo `folds` isn't `held_out`. Profiles are bounded: `profile` rows a language
 Edge cases: null texts and texts without a letter are `und` with score 0, as is everything where
 nothing can be learned; ties go to the first language by name; rows with null doc_id are
 predicted (held_out null) but not learned from; repeated rows are each predicted; very long texts are counted
-whole; an empty table gives an empty result; other columns pass through unless a result has their name.
+whole, in stretches; an empty table gives an empty result; other columns pass through unless a result has their name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, released
+from rippleline.llm.common import bounded_batches, fresh, released, stretches
 
 PROFILE, FIT_DOCS, DOC_SALTS, SALTS = 300, 3200, 64, 16
 MIN_SCORE = 0.1
@@ -38,9 +38,14 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a whole text, packed in 21 bits a letter, and their counts."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same codes together."""
+    codes, where = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     c = np.concatenate([[32], _letters()[points], [32]])
     c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
     letter = c != 32
@@ -49,6 +54,16 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([c[letter], two, three[letter[1:-1]]]) if len(c) > 2 else np.zeros(0, np.int64), return_counts=True)
 
 
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a whole text, packed in 21 bits a letter, and their counts. A long text is counted in stretches: both
+    sides of a cut end in a space, as the text does there."""
+    total = None
+    for part in stretches(text or "", 1 << 18):
+        found = _grams(part)
+        total = found if total is None else _sum([total, found])
+    return total or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def ranked(text: str | None, profile: int) -> np.ndarray:
     """The most frequent n-grams in order; ties by code."""
     codes, counts = grams(text)
@@ -79,8 +94,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, profile: int = PROFI
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 by.setdefault(lang, []).append(grams(text.as_py()))
             for lang, found in by.items():
-                codes, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([x for _, x in found]), minlength=len(codes)).astype(np.int64)
+                codes, n = _sum(found)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n)], ["lang", "gram", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -123,7 +137,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PRO
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, classify(F.col("text")).alias("_found")).select(*keep, "_found.lang_pred", "_found.score")
+    found = fresh(docs.columns, "_found")
+    return docs.select(*keep, classify(F.col("text")).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, drop, materialize, release, released
+from rippleline.llm.common import bounded_batches, drop, fresh, materialize, release, released, stretches
 
 COMMON, SALTS = 60, 16
 MAX_CHARS, MAX_WORDS, SLACK = 0.30, 0.455, 0.25
@@ -52,8 +52,16 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
+_OF_CLASS = (_TABLE[:, None] == np.arange(8)).astype(np.int64)
+
+
+def byte_counts(data: np.ndarray) -> np.ndarray:
+    """How often each byte occurs; a long text goes in parts, as counting takes eight times what it counts."""
+    return sum((np.bincount(data[at : at + (1 << 20)], minlength=256) for at in range(0, len(data), 1 << 20)), np.zeros(256, np.int64))
+
+
 def classes(raw: bytes) -> np.ndarray:
-    return np.bincount(_TABLE[np.frombuffer(raw, np.uint8)], minlength=9)[:8]
+    return byte_counts(np.frombuffer(raw, np.uint8)) @ _OF_CLASS
 
 
 class Tokens:
@@ -74,10 +82,9 @@ class Tokens:
             which, doc = which[real], doc[real]
         self.which, self.doc, self.n = which, doc, len(texts)
         raw = texts.cast(pa.binary())
-        sizes = pc.binary_length(raw).to_numpy()
-        start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
-        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[start : start + sizes.sum()]
-        self.chars = np.bincount(np.repeat(np.arange(self.n) * 9, sizes) + _TABLE[data], minlength=9 * self.n).reshape(self.n, 9)[:, :8]
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + self.n + 1].tolist()
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        self.chars = np.array([byte_counts(data[i:j]) for i, j in zip(ends, ends[1:])], np.int64).reshape(self.n, 256) @ _OF_CLASS
 
 
 def _slices(array: pa.Array, rows: int = 500) -> Iterator[pa.Array]:
@@ -85,15 +92,21 @@ def _slices(array: pa.Array, rows: int = 500) -> Iterator[pa.Array]:
         yield array.slice(at, rows)
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """bytes.split() parts at the white space of the contract and nothing else."""
-    return raw.split()
+def numbered(raw: bytes) -> tuple[np.ndarray, int]:
+    """The words of a text as numbers, and how many distinct ones there are; its words are in memory a stretch at a time.
+    bytes.split() parts at the white space of the contract and nothing else."""
+    number: dict[bytes, int] = {}
+    parts = [np.zeros(0, np.int64)]
+    for part in stretches(raw):
+        words = part.split()
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+    return np.concatenate(parts), len(number)
 
 
 def base(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""
-    words = words_of(text.encode("utf-8", "surrogatepass"))
+    ids, distinct = numbered(text.encode("utf-8", "surrogatepass"))
     seen: set[str] = set()
     dup = 0
     for line in text.split("\n"):
@@ -101,18 +114,16 @@ def base(text: str | None) -> tuple[int, int, int, int, int]:
             dup += 1
         elif line.strip(SPACE):
             seen.add(line)
-    return len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), dup, repeated(words)
+    return len(ids), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), dup, repeated(ids, distinct)
 
 
-def repeated(words: list[bytes]) -> int:
+def repeated(ids: np.ndarray, distinct: int) -> int:
     """Words in 3-word windows that occur twice or more."""
-    n = len(words)
+    n = len(ids)
     if n < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    _, pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
-    window = pair[:-1] * len(number) + ids[2:]
+    _, pair = np.unique(ids[:-1] * distinct + ids[1:], return_inverse=True)
+    window = pair[:-1] * distinct + ids[2:]
     _, where, count = np.unique(window, return_inverse=True, return_counts=True)
     often = count[where] > 1
     covered = np.zeros(n, bool)
@@ -224,7 +235,8 @@ def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(f, pa.int64() if f[0] in "nw" else pa.bool_()) for f in _FIELDS]))
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in _FIELDS]
-    return docs.select(*keep, rules(F.col("text")).alias("_found")).select(*keep, *[f"_found.{c}" for c in _FIELDS])
+    found = fresh(docs.columns, "_found")
+    return docs.select(*keep, rules(F.col("text")).alias(found)).select(*keep, *[f"{found}.{c}" for c in _FIELDS])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -22,8 +22,6 @@ names, are kept by deduplicate() and not read by with_components(); an empty tab
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,21 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rippleline.llm.common import bounded_batches, drop, fresh, materialize, row_key
+from rippleline.llm.common import bounded_batches, drop, fresh, materialize, row_key, stretches
 
 BITS, BLOCK, CROWD = 64, 16, 24
 MAX_DISTANCE = 2  # blocks and balls are made for this
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def stretches(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """A long text in stretches that end before white space, so that no word is cut."""
-    at = 0
-    while at < len(raw):
-        cut = _SPACE.search(raw, at + size) if at + size < len(raw) else None
-        end = cut.start() if cut else len(raw)
-        yield raw[at:end]
-        at = end
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:

@@ -11,7 +11,7 @@ farthest); all
 documents are then predicted from their whole texts.
 
 Edge cases: null and empty texts get the probability of no words; labels that are null, and documents
-with several labels, count as their smallest label; without labels all probabilities are 0; documents with null
+with several labels, count as their smallest label; of several texts of one id one is learned from; without labels all probabilities are 0; documents with null
 doc_id are predicted but not learned from; repeated rows are each predicted; an
 empty table gives an empty result; other columns pass through unless a result has their name.
 """
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, materialize
+from rippleline.llm.common import bounded_batches, drop, fresh, materialize
 from rippleline.llm.langid import is_held_out
 
 FIT_DOCS, FEATURES, LEAST, TELLING, FOLDS, SALTS = 8000, 20000, 4, 4.0, 5, 16
@@ -114,12 +114,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
 
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(features(t)))
+        return texts.map(lambda t: sorted(features(t)))
 
     # At most fit_docs rows of ids and labels: bounded whatever the data.
-    one = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sample = materialize(one.select("doc_id", *[f"y{i}" for i in range(len(categories))], tokens("text").alias("words")).dropDuplicates(["doc_id"]), "labelled")
     ys = [f"y{i}" for i in range(len(categories))]
+    one = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # Of several texts of one id the least hash's is taken; a task keeps one of them before the shuffle.
+    one = one.select("doc_id", *ys, tokens("text").alias("words"), F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min_by(F.struct(*ys, "words"), "h").alias("x"))
+    sample = materialize(one.select("doc_id", "x.*"), "labelled")
     rates = sample.agg(F.count(F.lit(1)), *[F.avg(y) for y in ys]).first()
     if not rates[0]:
         return [], []
@@ -136,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
         return rows.map(lambda ws: [known[w] for w in ws if w in known])
 
     rows = sample.select("doc_id", *ys, places("words").alias("at")).toPandas().sort_values("doc_id")
+    drop(sample)
     lengths = rows["at"].map(len).to_numpy()
     doc = np.repeat(np.arange(len(rows)), lengths)
     word = np.concatenate(rows["at"].tolist()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
@@ -161,7 +164,8 @@ def predict(docs: DataFrame, model: tuple[list[str], list[Linear]], categories:
         return pd.DataFrame(found if models else np.zeros((len(texts), len(names))), columns=names)
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "toxic_pred")]
-    out = docs.select(*keep, probabilities(F.col("text")).alias("_found")).select(*keep, *[f"_found.{c}" for c in names])
+    found = fresh(docs.columns, "_found")
+    out = docs.select(*keep, probabilities(F.col("text")).alias(found)).select(*keep, *[f"{found}.{c}" for c in names])
     return out.withColumn("toxic_pred", F.col(names[-1]) >= 0.5)
 
 

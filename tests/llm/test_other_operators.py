@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -67,10 +69,29 @@ def test_mix_targets_and_taken(spark):
         assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 700
     again = mixing.mix(df.repartition(7)).collect()
     assert sorted((x.doc_id or -1, x.size, x.taken) for x in got) == sorted((x.doc_id or -1, x.size, x.taken) for x in again)
-    assert sum(1 for _ in mixing.emit(mixing.mix(df), ["doc_id", "text"]).collect()) == sum(x.copies for x in got)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_sample_keeps_columns_and_copies(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40])), r.choice("aaaab"), 10 * i, "c", 1.5) for i in range(400)]
+    rows += [(7, "w w", "a", 1, "c", 2.0), (7, "v v", "a", 1, "c", 2.0), (7, "v v", "b", 1, "c", 2.0), (None, None, None, None, None, None)] + [(9, "x y z", "b", 5, "r", 0.0)] * 2500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, _copy string, copies double").repartition(3)
+    out = mixing.sample(df)
+    assert out.columns == df.columns
+    got = [tuple(x) for x in out.collect()]
+    assert set(got) <= set(rows)
+    mixed = mixing.mix(df.select("doc_id", "text", "source"))
+    assert len(got) == mixed.agg(F.sum("copies")).first()[0]
+    words = {}
+    for x in got:
+        words[x[2]] = words.get(x[2], 0) + len((x[1] or "").split())
+    for x in mixed.select("source", "target").distinct().collect():
+        assert abs(words.get(x.source, 0) - x.target) <= 0.02 * x.target + 200
+    assert sorted(map(str, got)) == sorted(str(tuple(x)) for x in mixing.sample(df.repartition(5)).collect())
+    assert mixing.sample(df.limit(0)).count() == 0
+
+
 def test_mix_is_native(spark, sf):
     for name in ("op1_mixing", "op6_chat"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
@@ -123,6 +144,15 @@ def test_reply_trees(spark):
         if x.tree != "circle":
             assert x.score == pytest.approx(max(v[3] for (t, _), v in want.items() if t == x.tree))
     assert chat.conversations(spark.createDataFrame([], MESSAGES)).count() == 0
+    again = chat.conversations(spark.createDataFrame(rows + rows[:30] + [(t, i, p, "~", "~", s) for t, i, p, *_, s in rows if p is not None and i % 3 == 0], MESSAGES))
+    assert {(x.tree, x.leaf): x.formatted for x in again.collect()} == {(x.tree, x.leaf): x.formatted for x in made.collect()}
+
+
+def test_branches_are_ranked(spark):
+    rows = [("t", 0, None, "user", "q", 0.0), ("t", 1, 0, "assistant", "a", 1.0), ("t", 2, 0, "assistant", "b", 3.0), ("t", 3, 0, "assistant", "c", 3.0), ("t", 4, 1, "user", "d", 9.0), ("t", 3, 0, "assistant", "c", 3.0)]
+    got = {x.leaf: (x.rank, x.score) for x in chat.conversations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == {4: (1, pytest.approx(10 / 3)), 2: (2, 1.5), 3: (3, 1.5)}
+    assert {x.leaf for x in chat.conversations(spark.createDataFrame(rows, MESSAGES), top=2).collect()} == {4, 2}
 
 
 def test_chat_odd_rows(spark):
@@ -189,6 +219,70 @@ def test_toxicity_odd(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_fit(rows, dense, y, size):
+    """One document at a time, one weight at a time: what toxicity.Linear.fit computes in arrays."""
+    n = len(rows)
+    theta = [0.0] * (size + len(dense[0])) + [math.log((sum(y) + 1) / (n - sum(y) + 1))]
+    m, v = [0.0] * len(theta), [0.0] * len(theta)
+    for t in range(1, toxicity.ROUNDS + 1):
+        g = [toxicity.L2 * x for x in theta[:-1]] + [0.0]
+        for words, extra, label in zip(rows, dense, y):
+            r = (plain_score(theta, words, extra, size) - label) / n
+            for w in words:
+                g[w] += r
+            for i, x in enumerate(extra):
+                g[size + i] += r * x
+            g[-1] += r
+        for i in range(len(theta)):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.99 * v[i] + 0.01 * g[i] ** 2
+            theta[i] -= 0.1 * (m[i] / (1 - 0.9**t)) / (math.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
+    return theta
+
+
+def plain_score(theta, words, extra, size):
+    z = theta[-1] + sum(theta[w] for w in words) + sum(theta[size + i] * x for i, x in enumerate(extra))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_chain_against_plain_loop():
+    """The second model learns from out-of-fold predictions of the first; weights agree to 1e-9."""
+    r, size, n = random.Random(1), 6, 40
+    rows = [sorted(r.sample(range(size), r.randrange(0, 4))) for _ in range(n)]
+    low = [int(0 in w or r.random() < 0.1) for w in rows]
+    toxic = [int(a and 1 in w or r.random() < 0.05) for a, w in zip(low, rows)]
+    fold = [r.randrange(toxicity.FOLDS) for _ in range(n)]
+    doc = np.repeat(np.arange(n), [len(w) for w in rows])
+    word = np.array([x for w in rows for x in w])
+    models = toxicity.chain(doc, word, size, np.array([low, toxic]).T, np.array(fold))
+    first = plain_fit(rows, [[]] * n, low, size)
+    out = [0.0] * n
+    for f in range(toxicity.FOLDS):
+        inside = [i for i in range(n) if fold[i] != f]
+        theta = plain_fit([rows[i] for i in inside], [[]] * len(inside), [low[i] for i in inside], size)
+        for i in range(n):
+            if fold[i] == f:
+                out[i] = plain_score(theta, rows[i], [], size)
+    second = plain_fit(rows, [[x] for x in out], toxic, size)
+    for model, theta in zip(models, (first, second)):
+        assert np.allclose(np.concatenate([model.w, model.dense, [model.bias]]), theta, rtol=0, atol=1e-9)
+
+
+def test_toxicity_predicts_as_a_plain_loop(spark):
+    """The query's words, fit and prediction on a small table, document by document."""
+    rows = [(i, "you idiot fool, " * (i % 4) + "kind word " * (i % 3) + f"x{i % 5}yz") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_found", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 > 1)) for i in range(80)], "doc_id long, quality int, toxic int")
+    vocabulary, models = toxicity.fit(docs, labels)
+    place = {w: i for i, w in enumerate(vocabulary)}
+    got = toxicity.predict(docs, (vocabulary, models)).collect()
+    assert vocabulary and "_found" in got[0].asDict()
+    for x in got:
+        words, extra = [place[w] for w in toxicity.features(x.text) if w in place], []
+        for m in models:
+            extra.append(plain_score([*m.w, *m.dense, m.bias], words, extra, len(vocabulary)))
+        assert [x.p_low_quality, x.p_toxic] == pytest.approx(extra, abs=1e-9) and x.toxic_pred == (extra[1] >= 0.5)
+
+
 def brute_nearest(rows, k=10):
     fine = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = []
@@ -266,11 +360,14 @@ def test_pipeline_against_stages(spark, sf):
             found = brute_components([(x.doc_id, brute_fingerprint(x.text)) for x in before])
             assert sorted(x.doc_id for x in after) == sorted({c for _, _, c in found})
         if name == "mixing sources to target weights":
-            want = {x.doc_id: x.copies for x in mixing.mix(spark.createDataFrame(before, at.schema)).collect()}
-            seen = {}
+            sizes_of, words = {}, {}
+            for x in before:
+                sizes_of[x.source] = sizes_of.get(x.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", x.text))
             for x in after:
-                seen[x.doc_id] = seen.get(x.doc_id, 0) + 1
-            assert seen == {d: n for d, n in want.items() if n}
+                words[x.source] = words.get(x.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", x.text))
+            for source, target in brute_targets(sizes_of).items():
+                assert abs(words.get(source, 0) - target) <= 0.02 * target + 700
+            assert max(Counter(x.doc_id for x in after).values()) <= 3
         at = spark.createDataFrame(after, at.schema)
     want = sorted((x.doc_id, *brute_bpe(x.text)) for x in after)
     assert sorted(map(tuple, QUERIES["pipeline"](spark, sf).collect())) == want

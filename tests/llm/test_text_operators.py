@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rippleline.llm import bpe, langid, quality, simhash, token_shards, wavelet
+from rippleline.llm.common import stretches
 from rippleline.llm.queries import QUERIES, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int, score string, fp string"
@@ -269,6 +270,10 @@ def test_language_query(spark, sf):
 
 
 def brute_ranks(text):
+    return [g for g, _ in sorted(brute_counts(text).items(), key=lambda x: (-x[1], x[0]))[:300]]
+
+
+def brute_counts(text):
     from collections import Counter
 
     s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
@@ -279,7 +284,7 @@ def brute_ranks(text):
             g = s[i : i + n]
             if g.strip() and (n < 3 or g[1] != " "):
                 c[sum(ord(x) << 21 * (n - 1 - k) for k, x in enumerate(g))] += 1
-    return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:300]]
+    return c
 
 
 def test_language_ranks_and_odd(spark, sf):
@@ -295,6 +300,94 @@ def test_language_ranks_and_odd(spark, sf):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def brute_language(docs):
+    """docs: (doc_id, text, lang) -> {doc_id: (language, score)}, by dictionaries."""
+    from collections import Counter
+
+    sums = {}
+    for d, t, lang in docs:
+        if lang is not None and t is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            sums.setdefault(lang, Counter()).update(brute_counts(t))
+    profiles = {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:300])} for lang, c in sorted(sums.items())}
+    out = {}
+    for d, t, _ in docs:
+        mine = brute_ranks(t or "")
+        far = {lang: sum(min(abs(p[g] - i), 300) if g in p else 300 for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(far, key=far.get)
+        out[d] = (best, 1 - far[best] / (300 * len(mine))) if mine else ("und", 0.0)
+    return out
+
+
+def test_language_against_brute_force(spark, sf):
+    t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pydict()
+    want = brute_language(list(zip(t["doc_id"], t["text"], t["lang"])))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op4_language_id"](spark, sf).collect()}
+    assert {d: x for d, (x, _) in got.items()} == {d: x for d, (x, _) in want.items()}
+    assert all(abs(got[d][1] - s) < 1e-12 for d, (_, s) in want.items())
+
+
+def test_language_of_stretches(monkeypatch):
+    text = "\u039f\u03b4\u03c5\u03c3\u03c3\u03b5\u03a5\u03a3 the cat\n\nsat on caf\u00e9 12 mats, \u0130stanbul! " * 40
+    want = brute_ranks(text)
+    for size in (1, 30, 1 << 18):
+        monkeypatch.setattr(langid, "stretches", lambda t, _, size=size: stretches(t, size))
+        assert langid.ranked(text, 300).tolist() == want
+
+
+def brute_verdicts(docs):
+    """docs: (doc_id, text, lang) -> {doc_id: kept}, by dictionaries and the formula of the distance."""
+    from collections import Counter
+
+    fixed = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\x0c\r", ".,;:!?'\"-()", "#*$%&|<>"]
+    of = {c: i for i, x in enumerate(fixed) for c in x}
+
+    def chars(t):
+        c = Counter(of.get(x, 6 if ord(x) < 128 else 7) for x in t)
+        return [c[i] for i in range(8)]
+
+    def words(t):
+        return Counter(re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[.,;:!?\"'()]", " ", t.lower())))
+
+    def distance(p, q):
+        p, q = [x / sum(p) if sum(p) else 0 for x in p], [x / sum(q) for x in q]
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        d = sum(a * np.log2(a / c) for a, c in zip(p, m) if a) + sum(b * np.log2(b / c) for b, c in zip(q, m) if b)
+        return max(d / 2, 0) ** 0.5
+
+    refs = {}
+    for _, t, lang in docs:
+        if lang is not None and t is not None:
+            c, w = refs.setdefault(lang, ([0] * 8, Counter()))
+            refs[lang] = [a + b for a, b in zip(c, chars(t))], w + words(t)
+    places = {lang: [x for x, _ in sorted(w.items(), key=lambda y: (-y[1], y[0]))[: quality.COMMON]] for lang, (_, w) in refs.items()}
+    out = {}
+    for d, t, _ in docs:
+        n, _, _, _, again = brute_quality(t)
+        kept = n >= 50 and 2 * again <= n
+        if kept and len(t) >= quality.MIN_CHARS:
+            loose, w, kept = quality.SLACK / n**0.5, words(t), False
+            for lang, (c, all_words) in refs.items():
+                here = [w[x] for x in places[lang]]
+                there = [all_words[x] for x in places[lang]]
+                near = distance([*here, sum(w.values()) - sum(here)], [*there, sum(all_words.values()) - sum(there)])
+                kept |= distance(chars(t), c) <= quality.MAX_CHARS + loose and near <= quality.MAX_WORDS + loose
+        out[d] = kept
+    return out
+
+
+def test_quality_verdicts_against_brute_force(spark, sf):
+    t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pydict()
+    got = {r.doc_id: r.kept for r in QUERIES["op10_quality"](spark, sf).collect()}
+    assert got == brute_verdicts(list(zip(t["doc_id"], t["text"], t["lang"]))) and len(set(got.values())) == 2
+
+
+def test_clashing_names(spark):
+    rows = [(i, " ".join(f"the cat{j} sat on{j * 7 % 31}" for j in range(30)) + f" {i}", "en") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_found", F.col("doc_id") + 100).withColumn("_FOUND_", F.lit("y"))
+    for made in (langid.predict(df, langid.fit(df)), quality.assess(df), langid.keep_identified(df), quality.keep_good(df)):
+        assert made.columns[:5] == df.columns and {(r.doc_id, r._found, r["_FOUND_"]) for r in made.collect()} == {(i, i + 100, "y") for i in range(8)}
+
+
 def brute_quality(text):
     text = text or ""
     w = WORD.findall(text)
