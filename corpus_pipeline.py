@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rippleline.llm import bpe, langid, mixing, quality, simhash
-from rippleline.llm.common import materialize
+from rippleline.llm.common import drop, materialize
 from rippleline.llm.queries import vocabulary
 
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return mixing.sample(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{i}")
+        made = materialize(stage(spark, docs, sf_dir), f"stage{i}")
+        drop(docs)
+        docs = made
     return docs
