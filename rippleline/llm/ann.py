@@ -2,20 +2,25 @@
 
 A vector's two halves are quantised separately, so a pair of centroids is a cell. A query visits cells in
 order of the summed distance of its halves to the centroids, by a heap over the two sorted
-lists, until they hold enough vectors: a `share` of all, and at least `candidates`. These are reranked by exact
+lists, until they hold a `share` of all vectors (and LEAST times k, which matters for the smallest tables). These are reranked by exact
 distance. Vectors without structure need a large share for a recall of 0.9; those with clusters a small one.
 
 Centroids are fitted on at most `fit_rows` vectors, chosen by hash; every vector is indexed. Equal
 vectors are one entry that keeps its k + 1 smallest ids: no result can need more, so a vector
 that is there a million times costs as much as any other. Cell counts are bounded by
-centroids^2 and go to every task. Reranking goes by blocks: entries of neighbouring cells, up to about ENTRY_BLOCK, against
-up to about QUERY_BLOCK queries that visit one of these cells. A crowded cell is spread over several blocks. No row is made for a
-pair; a block gives the k + 1 nearest of each query.
+centroids^2 and go to every task.
+
+Reranking goes by pairs of blocks: entries of neighbouring cells against queries of neighbouring cells. An entry goes to a block of queries
+only if one of them visits the entry's block, and a query to the blocks it visits, with the cells it visits there. A crowded cell is
+spread over several blocks. No row is made for a pair of vectors; a pair of blocks gives the k + 1 nearest of each query.
+
+Distances are Euclidean, in double precision, of the vectors as they are (floats are widened, nothing is narrowed). Where squares would
+overflow or vanish, differences are scaled first.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another length than
-most, take no part; rows are told apart by vec_id and vector, so repeated rows are one; rows with
-null vec_id take no part; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty
-table gives an empty result; other columns are not read.
+most, take no part; rows are told apart by vec_id and vector, so repeated rows are one, and rows of one vec_id with other vectors are
+candidates for each other; rows with null vec_id take no part; ties go to the smaller vec_id; fewer candidates than k give fewer rows;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rippleline.llm.common import materialize
+from rippleline.llm.common import drop, materialize
 
-K, CENTROIDS, SHARE, CANDIDATES, FIT_ROWS, ROUNDS = 10, 64, 0.5, 4000, 16384, 12
-ENTRY_BLOCK, QUERY_BLOCK = 8192, 1024
+K, CENTROIDS, SHARE, FIT_ROWS, ROUNDS, LEAST = 10, 256, 0.35, 16384, 10, 4
+#: Rows of a block: at least the first, and more once there are so many rows that blocks would be more than BLOCKS; at most the last.
+BLOCK, BLOCKS, LARGEST = 512, 256, 1 << 15
 
 
 def usable(v: Column) -> Column:
@@ -44,9 +50,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarray:
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = nearest(x, centres)
-        for i in range(k):
-            if (mine := x[near == i]).size:
-                centres[i] = mine.mean(0)
+        n = np.bincount(near, minlength=k)
+        order = np.argsort(near, kind="stable")
+        held = np.flatnonzero(n)
+        if x.shape[1]:
+            centres[held] = np.add.reduceat(x[order], (np.cumsum(n) - n)[held]) / n[held, None]
     return centres
 
 
@@ -55,6 +63,8 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves, within what can be squared."""
+    x = np.clip(x, -1e100, 1e100)
     return x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
 
 
@@ -92,89 +102,115 @@ def layout(held: dict[int, int], cells: int, size: int) -> tuple[np.ndarray, np.
     return first, spread
 
 
-def rerank(q: np.ndarray, seen: np.ndarray, v: np.ndarray, cell: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, entry, distance) of the k nearest entries in visited cells, and of those as near as the last. A product of matrices sifts;
-    what it leaves is measured exactly."""
-    near = (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T
-    near[~seen[:, cell]] = np.inf
-    out = []
-    slack = 1e-9 * (1 + np.abs(q).max() ** 2 * q.shape[1] + np.abs(v).max() ** 2 * v.shape[1])
+def block_size(rows: int) -> int:
+    return min(LARGEST, max(BLOCK, -(-rows // BLOCKS)))
+
+
+def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distance of q to each row of v."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = v - q
+        plain = np.sqrt((diff**2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(plain) | (plain < 1e-140))
+        if len(odd):
+            top = np.abs(diff[odd]).max(1)
+            scale = np.where((top > 0) & np.isfinite(top), top, 1.0)
+            plain[odd] = scale * np.sqrt(((diff[odd] / scale[:, None]) ** 2).sum(1))
+    return plain
+
+
+def rerank(q: np.ndarray, cells: list[np.ndarray], v: np.ndarray, cell: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query, entry, distance) of the k nearest entries in visited cells, smaller ids first among equals. A product of matrices
+    sifts; what it leaves is measured exactly."""
+    scale = max(np.abs(q).max(), np.abs(v).max())
+    a, b = q / scale, v / scale
+    near = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
+    slack, out = 1e-9 * q.shape[1], []
     for i, row in enumerate(near):
-        limit = np.partition(row, k - 1)[k - 1] if k <= len(row) else np.inf
-        found = np.flatnonzero((row <= limit + slack) & np.isfinite(row))
-        exact = np.sqrt(((v[found] - q[i]) ** 2).sum(1))
-        order = np.lexsort((least[found], exact))[:k]
-        out += [(i, int(found[j]), float(exact[j])) for j in order]
+        seen = np.flatnonzero(np.isin(cell, cells[i]))
+        if len(seen) > k:
+            seen = seen[row[seen] <= np.partition(row[seen], k - 1)[k - 1] + slack]
+        exact = distances(q[i], v[seen])
+        order = np.lexsort((least[seen], exact))[:k]
+        out += [(i, int(seen[j]), float(exact[j])) for j in order]
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = CENTROIDS, share: float = SHARE, candidates: int = CANDIDATES, fit_rows: int = FIT_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = CENTROIDS, share: float = SHARE, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score)."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").toPandas()["v"].tolist()
     if not sample:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(x) for x in sample]
     dim = max(sorted(set(lengths)), key=lengths.count)
-    if dim < 2:
-        raise ValueError("vectors need two components")
     fit = np.array([x for x in sample if len(x) == dim], np.float64)
     first, second = (kmeans(h, centroids, ROUNDS) for h in halves(fit))
+    cells = len(first) * len(second)
+
+    def cell_of(v: pd.Series) -> np.ndarray:
+        a, b = halves(np.array(v.tolist(), np.float64).reshape(-1, dim))
+        return (nearest(a, first) * len(second) + nearest(b, second)).astype(np.int32)
 
     @F.pandas_udf(T.IntegerType())
     def cell(v: pd.Series) -> pd.Series:
-        a, b = halves(np.array(v.tolist(), np.float64).reshape(-1, dim))
-        return pd.Series((nearest(a, first) * len(second) + nearest(b, second)).astype(np.int32))
+        return pd.Series(cell_of(v))
 
     fine = fine.where(F.size("v") == dim).distinct()
     numbered = fine.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = numbered.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = materialize(classes.select("v", "ids", cell("v").alias("cell")), "entries")
-    held = dict(tuple(r) for r in entries.groupBy("cell").count().collect())  # at most centroids^2 rows
-
-    cells = len(first) * len(second)
-    place, spread = layout(held, cells, ENTRY_BLOCK)
-    enough = max(candidates, int(np.ceil(share * sum(held.values()))))
-
-    @F.pandas_udf("seen binary, blocks array<int>")
-    def visit(vs: pd.Series) -> pd.DataFrame:
+    asked = materialize(fine.where(is_query).select("vec_id", "v"), "asked")
+    wanted = materialize(asked.select(F.col("v").alias("q")).distinct().select("q", cell("q").alias("cell")), "wanted")
+    # At most centroids^2 rows each.
+    held, asking = (dict(tuple(r) for r in t.groupBy("cell").count().collect()) for t in (entries, wanted))
+    n, n_asked = sum(held.values()), sum(asking.values())
+    place, spread = layout(held, cells, block_size(n))
+    part, parts = layout(asking, cells, block_size(n_asked))
+    enough = max(LEAST * k, int(np.ceil(share * n)))
+
+    @F.pandas_udf("array<struct<block int, cells binary>>")
+    def visit(vs: pd.Series) -> pd.Series:
         rows = []
         for v in vs:
-            at = visits(np.asarray(v, np.float64), first, second, held, enough)
-            seen = np.zeros(cells, bool)
-            seen[at] = True
-            rows.append((np.packbits(seen).tobytes(), sorted({int(place[c]) + i for c in at for i in range(spread[c])})))
-        return pd.DataFrame(rows, columns=["seen", "blocks"])
+            at = np.sort(np.array(visits(np.asarray(v, np.float64), first, second, held, enough), np.int32))
+            by = {}
+            for c, b, m in zip(at.tolist(), place[at].tolist(), spread[at].tolist()):
+                for i in range(b, b + m):
+                    by.setdefault(i, []).append(c)
+            rows.append([{"block": b, "cells": np.array(x, "<i4").tobytes()} for b, x in by.items()])
+        return pd.Series(rows)
 
-    @F.pandas_udf(T.IntegerType())
-    def block(cell: pd.Series, salt: pd.Series) -> pd.Series:
-        c = cell.to_numpy()
-        return pd.Series((place[c] + salt.to_numpy() % spread[c]).astype(np.int32))
+    def dealt(base: np.ndarray, over: np.ndarray, column: str) -> Column:
+        @F.pandas_udf(T.IntegerType())
+        def block(c: pd.Series, salt: pd.Series) -> pd.Series:
+            return pd.Series((base[c.to_numpy()] + salt.to_numpy() % over[c.to_numpy()]).astype(np.int32))
+
+        return block("cell", F.pmod(F.xxhash64(column), F.lit(1 << 30)))
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["q", "ids", "score", "own"]
         if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "ids": [], "score": []})
+            return pd.DataFrame({x: [] for x in names})
         q, v = (np.stack(x.to_list()).astype(np.float64) for x in (left["q"], right["v"]))
-        seen = np.unpackbits(np.frombuffer(b"".join(left["seen"]), np.uint8).reshape(len(left), -1), axis=1)[:, :cells].astype(bool)
-        least = np.array([x[0] for x in right["ids"]])
-        found = rerank(q, seen, v, right["cell"].to_numpy(), least, k + 1)
-        return pd.DataFrame({"q": [left["q"].iat[i] for i, _, _ in found], "ids": [right["ids"].iat[j] for _, j, _ in found], "score": [x for _, _, x in found]})
-
-    asked = materialize(fine.where(is_query).select("vec_id", "v"), "asked")
-    queries = materialize(asked.select(F.col("v").alias("q")).distinct().withColumn("_x", visit("q")).select("q", "_x.seen", "_x.blocks"), "queries")
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    left = queries.select("q", "seen", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"), F.explode("blocks").alias("block"))
-    salt = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
-    # All queries in `parts` blocks against all entries: one part each, until there are more than QUERY_BLOCK queries.
-    right = entries.select("v", "ids", "cell", block("cell", salt).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    near = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(compare, "q array<float>, ids array<long>, score double")
+        visited = [np.frombuffer(x, "<i4") for x in left["cells"]]
+        found = rerank(q, visited, v, right["cell"].to_numpy(), np.array([x[0] for x in right["ids"]]), k + 1)
+        i, j = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+        return pd.DataFrame({"q": left["q"].iloc[i].tolist(), "ids": right["ids"].iloc[j].tolist(), "score": [x[2] for x in found], "own": (q[i] == v[j]).all(1)}, columns=names)
+
+    # Visits take some hundredths of a second each, so queries are dealt out evenly, however few bytes they are.
+    routed = wanted.select("q", dealt(part, parts, "q").alias("part")).repartition(partitions, "q").withColumn("at", F.explode(visit("q")))
+    left = materialize(routed.select("q", "part", "at.block", "at.cells"), "visits")
+    pairs = left.select(F.col("part").alias("_part"), F.col("block").alias("_block")).distinct()
+    right = entries.select("v", "ids", "cell", dealt(place, spread, "v").alias("at")).join(pairs, F.col("at") == F.col("_block")).select("v", "ids", "cell", "_part", "_block")
+    near = left.groupBy("part", "block").cogroup(right.groupBy("_part", "_block")).applyInPandas(compare, "q array<double>, ids array<long>, score double, own boolean")
     closest = Window.partitionBy("q").orderBy("score", F.col("ids")[0])
     near = near.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= k + 1)
-    spread = near.select("q", F.explode("ids").alias("vec_id"), "score")
-    spread = spread.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
-    results = spread.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))  # k + 1 each
-    mine = asked.withColumnRenamed("vec_id", "query_id").join(results, F.col("v") == F.col("q"))
-    others = F.slice(F.filter(F.array_sort("near"), lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    results = materialize(near.groupBy("q").agg(F.collect_list(F.struct("score", "ids", "own")).alias("near")), "nearest")  # k + 1 each
+    drop(entries, wanted, left)
+    each = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["score"].alias("score"), i.alias("vec_id"), x["own"].alias("own")))))
+    mine = asked.withColumnRenamed("vec_id", "query_id").join(results.select("q", each.alias("near")), F.col("v") == F.col("q"))
+    others = F.slice(F.array_sort(F.filter("near", lambda x: ~(x["own"] & (x["vec_id"] == F.col("query_id"))))), 1, k)
     return mine.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

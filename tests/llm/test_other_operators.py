@@ -283,26 +283,31 @@ def test_toxicity_predicts_as_a_plain_loop(spark):
         assert [x.p_low_quality, x.p_toxic] == pytest.approx(extra, abs=1e-9) and x.toxic_pred == (extra[1] >= 0.5)
 
 
-def brute_nearest(rows, k=10):
-    fine = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+def brute_distance(a, b):
+    d = math.fsum((x - y) * (x - y) for x, y in zip(a, b))
+    return math.sqrt(d) if 1e-280 < d < 1e300 else math.dist(a, b)
+
+
+def brute_nearest(rows, k=10, dim=8):
+    """rows: (vec_id, vector). A query's candidates are all distinct rows but itself."""
+    fine = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = []
     for q, v in fine:
         if q % 100 == 0:
-            d = sorted((float(np.sqrt(sum((float(np.float32(a)) - float(np.float32(b))) ** 2 for a, b in zip(v, w)))), i) for i, w in fine if i != q)
+            d = sorted((brute_distance(v, w), i) for i, w in fine if (i, w) != (q, v))
             out += [(q, r + 1, i, x) for r, (x, i) in enumerate(d[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8192, 16])
+@pytest.mark.parametrize("block", [512, 16])
 def test_neighbours_exact_when_all_is_visited(spark, monkeypatch, block):
-    monkeypatch.setattr(ann, "ENTRY_BLOCK", block)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ann, "BLOCK", block)
     r = random.Random(3)
     near = [[r.gauss(0, 1) for _ in range(8)] for _ in range(5)]
-    rows = [(i * 25, [round(x + r.gauss(0, 0.2), 1) for x in r.choice(near)]) for i in range(160)]
-    rows += [(10_000 + i, [1.0] * 8) for i in range(40)] + [(10_100, [1.0] * 8), (10_100, [1.0] * 8)]
+    rows = [(i * 25, [round(8 * (x + r.gauss(0, 0.2))) / 8 for x in r.choice(near)]) for i in range(160)]
+    rows += [(10_000 + i, [1.0] * 8) for i in range(40)] + [(10_100, [1.0] * 8), (10_100, [1.0] * 8), (10_100, [1.0] * 7 + [1.5]), (10_200, [1.0] * 7 + [1.5])]
     rows += [(1, None), (100_000, [0.0] * 8), (2, [None] * 8), (3, [float("nan")] + [1.0] * 7), (4, [float("inf")] + [1.0] * 7), (5, [1.0] * 3), (None, [2.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 100 == 0, share=1.0).collect()))
     want = brute_nearest(rows)
     assert [x[:3] for x in got] == [x[:3] for x in want]
@@ -312,19 +317,33 @@ def test_neighbours_exact_when_all_is_visited(spark, monkeypatch, block):
     assert len(few) == 2
 
 
-def test_neighbours_recall(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("dim", [1, 2])
+def test_neighbours_in_double_precision(spark, dim):
+    """Components that floats can't tell apart, that squares overflow with, and that they vanish with."""
+    values = [0.1, 0.1 + 1e-9, 0.1 + 2e-9, 1e300, -1e300, 2e300, 1e-50, 3e-50, 1e-200, 2.5e-200, 1.0, 1e16, 1e16 + 2]
+    rows = [(100 * i if i % 2 else i, [0.2] * (dim - 1) + [v]) for i, v in enumerate(values)] + [(700, [0.0] * (dim - 1) + [5e-201])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 100 == 0, k=4).collect()))
+    want = brute_nearest(rows, 4, dim)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], rel=1e-12, abs=0)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_neighbours_recall(spark, size):
+    """The registered query, with its parameters, against all distances."""
+    sf = f"/root/testdata/{size}"
     t = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
     x, ids = np.array(t["embedding"], np.float64), np.array(t["vec_id"])
     got = {}
-    for row in ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 100 == 0, candidates=100).collect():
+    for row in QUERIES["op8_neighbours"](spark, sf).collect():
         got.setdefault(row.query_id, set()).add(row.vec_id)
     hits = []
     for i in np.flatnonzero(ids % 100 == 0):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
         hits.append(len(got[ids[i]] & set(ids[np.argsort(d, kind="stable")[:10]])) / 10)
-    assert np.mean(hits) >= 0.9
+    assert np.mean(hits) >= 0.9 and all(len(v) == 10 for v in got.values())
 
 
 def test_visits_go_by_summed_distance():
