@@ -82,7 +82,7 @@ def opened(path: str, mode: str):
     store, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
     if mode == "wb":
         store.create_dir(at.rpartition("/")[0], recursive=True)
-        with store.open_output_stream(at) as f:
+        with store.open_output_stream(at, compression=None) as f:
             yield f
     else:
         with store.open_input_file(at) as f:

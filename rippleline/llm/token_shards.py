@@ -1,17 +1,18 @@
 """Token-id shards: documents in ascending doc_id order, a wavelet matrix a shard.
 
 Documents are range-partitioned by doc_id; a task encodes its run and closes a shard when
-it holds `shard_tokens` ids, give or take a batch, so memory doesn't follow the data. Shards are rows of a
-Parquet table in the shared folder (partition, k, base, image binary): an image is a complete
-file (see wavelet), and Spark's committer makes retries and lost executors harmless on any store.
+it holds `shard_tokens` ids, give or take a batch, so memory doesn't follow the data. A shard is a file of its own (see wavelet) in the
+shared folder, under a name that has its partition, its number and the attempt of its task; a manifest (partition, k, base,
+tokens, path), which Spark commits, says which files count. So retries, speculation and lost executors leave files that nothing reads,
+and no file is ever written over.
 
 The library encodes each distinct stretch of text once per process: a text without adjacent white space is
 cut before its spaces and new lines, where byte-level BPE with its own pattern always has a token
 boundary, and before stops and commas that follow a letter or digit. Other texts, and those that may hold a special token, are encoded as they are.
 
 Edge cases: null text is empty, and an empty document is just the end id; null doc_ids
-come first, equal doc_ids in the order of their texts; repeated rows are each written;
-a document is never split over shards, however long; an empty table gives an empty result;
+come first, equal doc_ids are in the order of a hash of their texts, so that a hot one spreads over tasks; repeated rows are each
+written; a document is never split over shards, however long; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleline.llm.bpe import tokenizer
-from rippleline.llm.common import bounded_batches, materialize, released
+from rippleline.llm.common import bounded_batches, materialize, opened, released, table_path
 from rippleline.llm.wavelet import Wavelet, build
 
 SHARD_TOKENS = 1 << 21
@@ -38,7 +39,8 @@ _APART = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|<\||\x01"
 _TIGHT = r"[^\p{L}\p{N}][.,]"
 _BARE = "\x01"
 _SPACE = re.compile(r"\s")
-_KNOWN = 3 << 19  # stretches that a process remembers, about 200 bytes each
+_KNOWN, _ENTRY = 300 << 20, 200  # bytes of stretches that a process remembers, and what each takes besides its text and ids
+_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")  # always a boundary of tokens
 
 
 class Encoder:
@@ -48,10 +50,25 @@ class Encoder:
     def __init__(self, definition: str, wide: str):
         self.library, self.wide = tokenizer(definition), np.dtype(wide)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.wide).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_long(self, text: str, size: int = 1 << 18) -> bytes:
+        """A text of any length, in portions: what the library returns takes some hundred bytes a token."""
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + size)
+            end = cut.start() if cut else len(text)
+            out += self._encode([text[at:end]])
+            at = end
+        return b"".join(out)
+
+    def _remember(self, parts: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(parts, ids))
+        self.held += sum(map(len, parts)) + sum(map(len, ids)) + _ENTRY * len(parts)
+
     def _learn(self, parts: list[str]) -> None:
         """Encode stretches, many in one text with new lines between, as a new line is always a token of its own there.
         Those that hold white space go one by one."""
@@ -64,10 +81,10 @@ class Encoder:
             ends = [*(np.flatnonzero(ids == mark[0]) * ids.itemsize).tolist(), len(raw)]
             if len(ends) == len(some):
                 starts = [0, *(x + ids.itemsize for x in ends[:-1])]
-                self.known.update(zip(some, [raw[i:j] for i, j in zip(starts, ends)]))
+                self._remember(some, [raw[i:j] for i, j in zip(starts, ends)])
         rest = [p for p in parts if p not in self.known]
         for some in [rest[i : i + 4096] for i in range(0, len(rest), 4096)]:
-            self.known.update(zip(some, self._encode([p if p[:1] == "\n" else p[1:] if p[:1] == _BARE else " " + p for p in some])))
+            self._remember(some, self._encode([p if p[:1] == "\n" else p[1:] if p[:1] == _BARE else " " + p for p in some]))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has)."""
@@ -84,11 +101,12 @@ class Encoder:
         pieces = lists.flatten()
         # What a text begins with has no space before it; texts that aren't cut are all beginning.
         whole = pc.if_else(apart, texts, pieces.take(pa.array(first))).to_pylist()
-        begin = [x for i in range(0, len(whole), 64) for x in self._encode(whole[i : i + 64])]
+        begin = [self._encode_long(x) for x in whole]
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > _KNOWN:
+        if self.held > _KNOWN:
             self.known.clear()
+            self.held = 0
         got = list(map(self.known.get, distinct))
         if None in got:
             self._learn([p for p, x in zip(distinct, got) if x is None])
@@ -114,10 +132,14 @@ def encoder(definition: str, wide: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode and write; the table of shards."""
+_MANIFEST = "part int, k int, base long, tokens long, path string"
+
+
+def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, out: str | None = None) -> DataFrame:
+    """Encode, and write files below `out` (by default a new folder in the shared one); the manifest."""
     spark = docs.sparkSession
-    bounded_batches(spark, "8m")  # the larger a batch, the fewer distinct stretches it has
+    bounded_batches(spark)
+    folder = out or table_path(spark, "token-shards")
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     size = max(tokenizer(definition.value).get_vocab_size(with_added_tokens=True), end_id + 1)
@@ -125,18 +147,17 @@ def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD
     wide = "<u2" if bits <= 16 else "<u4"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = encoder(definition.value, wide)
-        part = TaskContext.get().partitionId()
+        texts, task = encoder(definition.value, wide), TaskContext.get()
         k = base = held = 0
         ids: list = []
         parts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
 
-        def close():
-            image = build(np.concatenate(parts), ids, np.concatenate(lengths), bits)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([base], pa.int64()), pa.array([held], pa.int64()), pa.array([image], pa.binary())], ["part", "k", "base", "tokens", "image"]
-            )
+        def close() -> pa.RecordBatch:
+            name = f"{folder}/shard-{task.partitionId():06d}-{k:06d}-{task.taskAttemptId()}.rlwm"
+            with opened(name, "wb") as f:
+                f.write(build(np.concatenate(parts), ids, np.concatenate(lengths), bits))
+            return pa.RecordBatch.from_pylist([{"part": task.partitionId(), "k": k, "base": base, "tokens": held, "path": name}], _SCHEMA)
 
         for batch in batches:
             got, n = texts.batch(batch.column(1))
@@ -151,12 +172,16 @@ def write(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(released(shards), "part int, k int, base long, tokens long, image binary"), "token-shards")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    ordered = keyed.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "text")
+    return materialize(ordered.mapInArrow(released(shards), _MANIFEST), "token-manifest")
+
+
+_SCHEMA = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("base", pa.int64()), ("tokens", pa.int64()), ("path", pa.string())])
 
 
 def _documents(shards: DataFrame, finish: Callable[[memoryview], object], kind: str) -> DataFrame:
-    """(doc_id, start, n_tokens, value) from the written shards; value is made of a document's ids. Only one row a
+    """(doc_id, start, n_tokens, value) from the files of a manifest; value is made of a document's ids. Only one row a
     partition takes part in the running sum of starts."""
     runs = shards.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -164,20 +189,23 @@ def _documents(shards: DataFrame, finish: Callable[[memoryview], object], kind:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, image in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = Wavelet(image.as_py())
-                raw = memoryview(w.tokens()).cast("B")
-                ends = np.cumsum(w.lengths)
-                at = ends - w.lengths
-                ids, starts_at = pa.array(w.doc_ids, pa.int64(), mask=w.doc_null), pa.array(at + first)
+            for first, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with Wavelet.open(path) as w:
+                    raw = memoryview(w.tokens()).cast("B")
+                    ids, lengths = pa.array(w.doc_ids, pa.int64(), mask=w.doc_null), w.lengths
+                ends = np.cumsum(lengths)
+                at = ends - lengths
+                starts_at = pa.array(at + first)
                 for i in range(0, len(at), 2048):
                     made = [finish(raw[4 * x : 4 * y]) for x, y in zip(at[i : i + 2048].tolist(), ends[i : i + 2048].tolist())]
                     value = pa.array(made, pa.int64() if kind == "long" else pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids[i : i + 2048], starts_at[i : i + 2048], pa.array(w.lengths[i : i + 2048]), value], ["doc_id", "start", "n_tokens", "value"])
+                    yield pa.RecordBatch.from_arrays([ids[i : i + 2048], starts_at[i : i + 2048], pa.array(lengths[i : i + 2048]), value], ["doc_id", "start", "n_tokens", "value"])
 
     # One row a partition of the write: bounded by the number of partitions, whatever the data.
-    placed = shards.join(F.broadcast(starts), "part").select((F.col("first") + F.col("base")).alias("first"), "image")
-    return placed.mapInArrow(released(documents), f"doc_id long, start long, n_tokens long, value {kind}")
+    placed = shards.join(F.broadcast(starts), "part").select((F.col("first") + F.col("base")).alias("first"), "path")
+    # The manifest is small and the files aren't: they are dealt out by number.
+    dealt = placed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(released(documents), f"doc_id long, start long, n_tokens long, value {kind}")
 
 
 def read(shards: DataFrame) -> DataFrame:

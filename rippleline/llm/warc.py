@@ -3,7 +3,8 @@
 Each response record gives a `metadata` record (title, language, links, and what the server said) and a
 `conversion` record (its plain text). Both keep the link to their response in WARC-Refers-To, its
 WARC-Target-URI, WARC-Date and payload digest, and carry digests of their own. Record ids
-come from the response's id, so a task that runs again makes the same records.
+come from the response's id, so a task that runs again makes the same records. They are written to .warc.gz
+files, a gzip member each, and read back from them.
 
 Edge cases: a null page is an empty one; a null url has no WARC-Target-URI; repeated pages give repeated
 records with the same ids; broken markup is read as far as it goes; bytes that aren't UTF-8 are
@@ -15,16 +16,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import itertools
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rippleline.llm.common import bounded_batches
+from rippleline.llm.common import bounded_batches, materialize, opened, released, table_path
 
 VERSION = "WARC/1.1"
+ROW_ID = "X-Row-ID"  # an extension header: the row that a response was made of
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard name space of URLs
 
@@ -65,7 +70,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 def response(page_id: int | None, url: str | None, page: str | None) -> bytes:
     payload = (page or "").encode("utf-8", "replace")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    uri = [("WARC-Target-URI", url)] if url is not None else []
+    uri = ([("WARC-Target-URI", url)] if url is not None else []) + ([(ROW_ID, str(page_id))] if page_id is not None else [])
     return serialize(
         [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(page_id), url or "", digest(payload))), ("WARC-Date", DATE), *uri,
          ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(http + payload)), ("Content-Type", "application/http; msgtype=response")],
@@ -84,7 +89,7 @@ def derive(record: bytes) -> tuple[bytes, bytes]:
     head, block = parse(record)
     http, _, payload = block.partition(b"\r\n\r\n")
     page = payload.decode("utf-8", "replace")
-    kept = [(k, head[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in head]
+    kept = [(k, head[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date", ROW_ID) if k.lower() in head]
     source = [("WARC-Refers-To", head["warc-record-id"]), *kept, ("WARC-Source-Payload-Digest", head.get("warc-payload-digest") or digest(payload))]
     title, lang = _TITLE.search(page), _LANG.search(page)
     status, *fields = http.decode("utf-8", "replace").split("\r\n")
@@ -99,23 +104,83 @@ def derive(record: bytes) -> tuple[bytes, bytes]:
     return made[0], made[1]
 
 
+_MANIFEST = "path string, records long, bytes long"
 _SCHEMA = "page_id long, kind string, record_id string, refers_to string, target_uri string, date string, source_digest string, block_digest string, content_length long, record binary"
+SHARD_BYTES = 256 << 20
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, without a time, so that the same record is the same bytes."""
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
+def members(read: Callable[[int], bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """The records of a .warc.gz, one at a time."""
+    unpack, parts, chunk = zlib.decompressobj(31), [], read(size)
+    while chunk:
+        parts.append(unpack.decompress(chunk))
+        chunk = unpack.unused_data
+        if unpack.eof:
+            yield b"".join(parts)
+            unpack, parts = zlib.decompressobj(31), []
+        chunk = chunk or read(size)
+    if any(parts):
+        raise ValueError("a record is cut off")
+
+
+def write(pages: DataFrame, out: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(page_id, url, html) -> .warc.gz files of two records a page below `out` (by default a new folder in the shared one); the manifest
+    (path, records, bytes), which Spark commits. Names have the attempt of a task, so a lost one leaves files that nothing reads."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    folder = out or table_path(spark, "warc")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, todo = TaskContext.get(), (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for k in itertools.count():
+            if (row := next(todo, None)) is None:
+                return
+            name, records, size = f"{folder}/derived-{task.partitionId():06d}-{k:06d}-{task.taskAttemptId()}.warc.gz", 0, 0
+            with opened(name, "wb") as f:
+                while row is not None:
+                    for record in derive(response(*row)):
+                        size += f.write(member(record))
+                        records += 1
+                    row = next(todo, None) if size < shard_bytes else None
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
+
+    return materialize(pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(released(shards), _MANIFEST), "warc-manifest")
+
+
+def read(shards: DataFrame) -> DataFrame:
+    """The records of the files of a manifest, with what their headers say."""
+    fields = {"kind": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "date": "warc-date", "source_digest": "warc-source-payload-digest", "block_digest": "warc-block-digest"}
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple[dict[str, str], bytes, bytes]]) -> pa.RecordBatch:
+            ids = pa.array([int(h[ROW_ID.lower()]) if ROW_ID.lower() in h else None for h, _, _ in rows], pa.int64())
+            texts = [pa.array([h.get(x) for h, _, _ in rows], pa.string()) for x in fields.values()]
+            return pa.RecordBatch.from_arrays([ids, *texts, pa.array([len(b) for _, b, _ in rows], pa.int64()), pa.array([r for _, _, r in rows], pa.binary())], ["page_id", *fields, "content_length", "record"])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with opened(path, "rb") as f:
+                    rows, held = [], 0
+                    for record in members(f.read):
+                        rows.append((*parse(record), record))
+                        held += len(record)
+                        if held > 1 << 22 or len(rows) >= 1000:
+                            yield made(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield made(rows)
+
+    # The manifest is small and the files aren't: they are dealt out by number.
+    dealt = shards.select("path").repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(released(records), _SCHEMA)
 
 
 def derivatives(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> two records a page; the columns are read back from the records."""
-
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                rows = []
-                for page_id, url, page in frame.iloc[at : at + 500].itertuples(index=False):
-                    page_id = None if pd.isna(page_id) else int(page_id)
-                    for record in derive(response(page_id, url, page)):
-                        h, body = parse(record)
-                        rows.append((page_id, h["warc-type"], h["warc-record-id"], h["warc-refers-to"], h.get("warc-target-uri"), h.get("warc-date"), h["warc-source-payload-digest"], h["warc-block-digest"], len(body), record))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
-                yield out.astype({"page_id": "Int64"})
-
-    bounded_batches(pages.sparkSession)
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInPandas(build, _SCHEMA)
+    """(page_id, url, html) -> two records a page, written to files and read back from them."""
+    return read(write(pages))

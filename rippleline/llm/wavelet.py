@@ -1,70 +1,96 @@
-"""Wavelet matrix over token ids: a succinct file image with access, count and occurrence lookup.
+"""Wavelet matrix over token ids: a succinct file with access, count and occurrence lookup.
 
-Layout, little-endian: magic, version, bits, docs, tokens; then ids and token counts of its documents;
-then for each bit-plane from the highest: zeros, rank directory (ones before each
-block of 2^BLOCK bits), and the zstd-compressed blocks with the offset of each. A look-up reads one block
-a plane.
+Layout, little-endian: magic, version, bits, documents, tokens, blocks a plane; for each bit-plane from the highest its zeros,
+its rank directory (ones before each block of BLOCK_BITS bits) and the offset of each block in the file; ids, null flags and token
+counts of the documents; then the zstd-compressed blocks, plane after plane. A look-up reads the head, the directories and one
+or two blocks a plane, whatever the size of the file.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import zstandard
 
-MAGIC, VERSION = b"RLWM", 1
+from rippleline.llm.common import opened
+
+MAGIC, VERSION = b"RLWM", 2
 BLOCK_BITS = 1 << 16
-_HEAD = struct.Struct("<4sHHQQ")
+_HEAD = struct.Struct("<4sHHQQQ")
 
 
 def build(values: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray | list[int], bits: int) -> bytes:
     """A file image of the ids of whole documents."""
     values = np.asarray(values, np.uint32)
-    pack = zstandard.ZstdCompressor(level=1)
+    pack, step, n = zstandard.ZstdCompressor(level=1), BLOCK_BITS // 8, len(values)
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
-    out = [_HEAD.pack(MAGIC, VERSION, bits, len(ids), len(values)), ids.tobytes(), nulls.tobytes(), np.asarray(lengths).astype("<u8").tobytes()]
+    blocks = -(-n // BLOCK_BITS)
+    at = _HEAD.size + bits * 8 * (1 + 2 * (blocks + 1)) + 17 * len(ids)
+    directories, data = [], []
     values = values.astype(np.uint16) if bits <= 16 else values
     for b in range(bits - 1, -1, -1):
         ones = (values & values.dtype.type(1 << b)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
-        step = BLOCK_BITS // 8
-        blocks = [pack.compress(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
-        rank = np.concatenate([[0], np.cumsum([int(ones[i : i + BLOCK_BITS].sum()) for i in range(0, len(ones), BLOCK_BITS)])])
-        where = np.concatenate([[0], np.cumsum([len(x) for x in blocks])])
-        out += [struct.pack("<QQ", len(ones) - int(ones.sum()), len(blocks)), rank.astype("<u8").tobytes(), where.astype("<u8").tobytes(), *blocks]
+        made = [pack.compress(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
+        rank = np.concatenate([[0], np.cumsum([int(ones[i : i + BLOCK_BITS].sum()) for i in range(0, n, BLOCK_BITS)])])
+        where = np.concatenate([[at], at + np.cumsum([len(x) for x in made])])
+        at = int(where[-1])
+        directories.append(np.concatenate([[n - int(ones.sum())], rank, where]).astype("<u8").tobytes())
+        data += made
         values = np.concatenate([values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))])
-    return b"".join(out)
+    return b"".join([_HEAD.pack(MAGIC, VERSION, bits, len(ids), n, blocks), *directories, ids.tobytes(), nulls.tobytes(), np.asarray(lengths).astype("<u8").tobytes(), *data])
 
 
 class Wavelet:
-    """Reads a file image; planes stay compressed."""
+    """Reads a file, or an image of one, through `read(offset, size)`; planes stay compressed."""
 
-    def __init__(self, image: bytes):
-        self.image = memoryview(image)
-        magic, version, self.bits, docs, self.n = _HEAD.unpack_from(image)
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        magic, version, self.bits, self.n_docs, self.n, blocks = _HEAD.unpack(read(0, _HEAD.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file of this version")
-        at = _HEAD.size
-        self.doc_ids = np.frombuffer(image, "<i8", docs, at)
-        self.doc_null = np.frombuffer(image, np.uint8, docs, at + 8 * docs).astype(bool)
-        self.lengths = np.frombuffer(image, "<u8", docs, at + 9 * docs).astype(np.int64)
-        at += 17 * docs
-        self.planes = []
-        for _ in range(self.bits):
-            zeros, blocks = struct.unpack_from("<QQ", image, at)
-            at += 16
-            rank = np.frombuffer(image, "<u8", blocks + 1, at).astype(np.int64)
-            where = np.frombuffer(image, "<u8", blocks + 1, at + 8 * (blocks + 1)).astype(np.int64)
-            at += 16 * (blocks + 1)
-            self.planes.append((zeros, rank, where, at))
-            at += int(where[-1])
+        width = 1 + 2 * (blocks + 1)
+        rows = np.frombuffer(read(_HEAD.size, self.bits * 8 * width), "<u8").astype(np.int64).reshape(self.bits, width)
+        self.planes = [(int(r[0]), r[1 : blocks + 2], r[blocks + 2 :]) for r in rows]
+        self._docs_at = _HEAD.size + self.bits * 8 * width
         self._open = zstandard.ZstdDecompressor()
 
+    @classmethod
+    def of(cls, image: bytes) -> Wavelet:
+        return cls(lambda offset, size: image[offset : offset + size])
+
+    @classmethod
+    @contextmanager
+    def open(cls, path: str) -> Iterator[Wavelet]:
+        """A file by its path; a look-up reads only what it needs."""
+        with opened(path, "rb") as f:
+            yield cls(lambda offset, size: f.read_at(size, offset))
+
+    @cached_property
+    def _documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw, n = self.read(self._docs_at, 17 * self.n_docs), self.n_docs
+        return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool), np.frombuffer(raw, "<u8", n, 9 * n).astype(np.int64)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._documents[0]
+
+    @property
+    def doc_null(self) -> np.ndarray:
+        return self._documents[1]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._documents[2]
+
     def _block(self, plane: int, block: int) -> np.ndarray:
-        _, _, where, at = self.planes[plane]
-        raw = self._open.decompress(self.image[at + int(where[block]) : at + int(where[block + 1])])
+        where = self.planes[plane][2]
+        raw = self._open.decompress(self.read(int(where[block]), int(where[block + 1] - where[block])))
         return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
 
     def _rank1(self, plane: int, i: int) -> int:
@@ -84,8 +110,9 @@ class Wavelet:
     def access(self, i: int) -> int:
         value = 0
         for p, (zeros, *_) in enumerate(self.planes):
-            bit = int(self._block(p, i // BLOCK_BITS)[i % BLOCK_BITS])
-            ones = self._rank1(p, i)
+            block, rest = divmod(i, BLOCK_BITS)
+            bits = self._block(p, block)
+            bit, ones = int(bits[rest]), int(self.planes[p][1][block]) + int(bits[:rest].sum())
             value, i = value << 1 | bit, zeros + ones if bit else i - ones
         return value
 
@@ -120,12 +147,15 @@ class Wavelet:
         return [self.select(value, k) for k in range(self.count(value))]
 
     def tokens(self) -> np.ndarray:
-        """All ids in order: planes are undone from the lowest up."""
+        """All ids in order: planes are undone from the lowest up, each read in one go."""
         wide = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, wide)
         for p in range(self.bits - 1, -1, -1):
-            zeros, rank, *_ = self.planes[p]
-            ones = np.concatenate([self._block(p, b) for b in range(len(rank) - 1)])[: self.n].astype(bool) if self.n else np.zeros(0, bool)
+            zeros, _, where = self.planes[p]
+            first = int(where[0])
+            raw = self.read(first, int(where[-1]) - first)
+            bits = b"".join([self._open.decompress(raw[i - first : j - first]) for i, j in zip(where[:-1].tolist(), where[1:].tolist())])
+            ones = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[: self.n].astype(bool)
             before = np.empty(self.n, wide)
             before[np.flatnonzero(~ones)] = values[:zeros]
             before[np.flatnonzero(ones)] = values[zeros:] | wide(1 << (self.bits - 1 - p))

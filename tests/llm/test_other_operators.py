@@ -1,7 +1,12 @@
 """Mixing, WARC, chat, toxicity, neighbours and the pipeline."""
 
 import base64
+import email.parser
+import email.policy
+import gzip
 import hashlib
+import html.parser
+import io
 import math
 import random
 import re
@@ -189,6 +194,86 @@ def test_warc_records(spark, sf):
     assert warc.derivatives(df.limit(0)).count() == 0
 
 
+class Walk(html.parser.HTMLParser):
+    """Plain text, title, language and links by the standard parser's events."""
+
+    HIDDEN = {"script", "style", "template", "noscript"}
+    BLOCKS = set("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul head body html".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.inside, self.name, self.lang, self.links = [], 0, False, "", "", []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        self.hidden += tag in self.HIDDEN
+        self.inside |= tag == "title"
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+        if tag == "html" and a.get("lang"):
+            self.lang = a["lang"].lower()
+        if tag == "a" and a.get("href") is not None and not self.hidden:
+            self.links.append(a["href"])
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN
+        self.inside &= tag != "title"
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+            self.name += data if self.inside else ""
+
+    def text(self):
+        return "\n".join(x for x in (" ".join(y.split()) for y in "".join(self.out).split("\n")) if x)
+
+
+def second_parser(raw):
+    """A record by the standard library's parser of headers."""
+    version, _, rest = raw.partition(b"\r\n")
+    head, _, body = rest.partition(b"\r\n\r\n")
+    fields = email.parser.BytesParser(policy=email.policy.HTTP).parsebytes(head + b"\r\n\r\n")
+    assert version == b"WARC/1.1" and body[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+    return {k: str(v) for k, v in fields.items()}, body[: int(fields["Content-Length"])]
+
+
+def test_warc_against_second_parser(spark, tmp_path):
+    """Files that gzip opens; headers, text, title, links by other parsers than the operator's."""
+    sf = "/root/testdata/sf0.01"
+    made = warc.write(spark.read.parquet(f"{sf}/pages.parquet").repartition(3), out=f"file://{tmp_path}/warc", shard_bytes=20_000)
+    files = {r.path.removeprefix("file://"): r.records for r in made.collect()}
+    assert len(files) > 3 and {str(p) for p in (tmp_path / "warc").iterdir()} == set(files)
+    pages = {p["page_id"]: p for p in pq.read_table(f"{sf}/pages.parquet").to_pylist()}
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    seen, refers = Counter(), {}
+    for path, n in files.items():
+        with open(path, "rb") as f:
+            records = list(warc.members(f.read, 1000))
+        assert b"".join(records) == gzip.open(path).read() and len(records) == n
+        for raw in records:
+            h, body = second_parser(raw)
+            p = pages[int(h["X-Row-ID"])]
+            walk = Walk(p["html"])
+            assert h["WARC-Target-URI"] == p["url"] and h["WARC-Block-Digest"] == sha1(body) and h["WARC-Source-Payload-Digest"] == sha1(p["html"].encode())
+            if h["WARC-Type"] == "conversion":
+                assert h["Content-Type"].startswith("text/plain") and body.decode() == walk.text()
+            else:
+                facts = [tuple(x.split(": ", 1)) for x in body.decode().split("\r\n")[:-1]]
+                assert h["Content-Type"] == "application/warc-fields" and ("title", " ".join(walk.name.split())) in facts and ("language", walk.lang) in facts
+                assert [v for k, v in facts if k == "outlink"] == walk.links
+                assert ("http-header", f"Content-Length: {len(p['html'].encode())}") in facts
+            seen[p["page_id"], h["WARC-Type"]] += 1
+            refers.setdefault(p["page_id"], set()).add(h["WARC-Refers-To"])
+    assert seen == {(i, k): 1 for i in pages for k in ("conversion", "metadata")} and all(len(x) == 1 for x in refers.values())
+    assert {(r.page_id, r.kind): r.record_id for r in warc.read(made).collect()}.keys() == seen.keys()
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(warc.member(b"x" * 1000)[:-12]).read))
+
+
 def test_warc_text():
     page = '<html lang="EN"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- no --><script>var a="</p>";</script><p>One<br>two <b>three</b>&lt;x&gt;<a href="/y?a=1&amp;b">l</a></body>'
     meta, text = warc.derive(warc.response(1, "http://x", page))

@@ -180,7 +180,8 @@ def test_token_shards_odd(spark):
     path = vocabulary("byte_bpe_50k.json")
     got = token_shards.read(token_shards.write(df, path, shard_tokens=700)).collect()
     want, start = [], 0
-    for d, text in sorted(rows, key=lambda r: tuple((x is not None, x) for x in r)):  # nulls come first
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):  # nulls come first
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
         want.append((d, start, len(ids), np.array(ids, "<u4").tobytes()))
         start += len(ids)
@@ -189,10 +190,11 @@ def test_token_shards_odd(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 200_000])
-def test_wavelet_lookups(n):
+def test_wavelet_lookups(n, tmp_path):
     r = np.random.default_rng(n)
     values = (r.zipf(1.3, n) % 50_000).astype(np.uint32)
-    w = wavelet.Wavelet(wavelet.build(values, [5, None], [n, 0], 16))
+    image = wavelet.build(values, [5, None], [n, 0], 16)
+    w = wavelet.Wavelet.of(image)
     assert (w.tokens() == values).all() and w.n == n and w.doc_null.tolist() == [False, True]
     for i in r.integers(0, n, 12) if n else []:
         v = int(values[i])
@@ -204,10 +206,46 @@ def test_wavelet_lookups(n):
     assert w.count(49_999) == (values == 49_999).sum() and w.count(1 << 20) == 0
     with pytest.raises(IndexError):
         w.select(65_000, 0)
+    (tmp_path / "a.rlwm").write_bytes(image)
+    with wavelet.Wavelet.open(str(tmp_path / "a.rlwm")) as f:
+        taken, whole = [], f.read
+        f.read = lambda offset, size: taken.append(size) or whole(offset, size)
+        if n == 200_000:
+            assert f.access(123_456) == values[123_456] and sum(taken) < len(image) / 2
+        assert (f.tokens() == values).all() and f.doc_ids.tolist() == [5, 0]
     if n == 7:
         assert w.occurrences(int(values[0])) == np.flatnonzero(values == values[0]).tolist()
 
 
+def test_token_files_by_path(spark, sf, tmp_path):
+    """Files can be opened by the paths of the manifest, and hold what the documents say."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    some = sample(sf)[:40]
+    made = token_shards.write(spark.createDataFrame(some, "doc_id long, text string"), vocabulary("byte_bpe_50k.json"), shard_tokens=3000, out=f"file://{tmp_path}/shards").orderBy("part", "k").collect()
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted(r.path.rpartition("/")[2] for r in made)
+    at = 0
+    for r in made:
+        with wavelet.Wavelet.open(r.path) as w:
+            ids = [i for d in w.doc_ids for i in [*t.encode(dict(some)[d] or "", add_special_tokens=False).ids, 0]]
+            assert w.n == r.tokens == len(ids) and w.access(len(ids) // 2) == ids[len(ids) // 2] and w.count(0) == len(w.doc_ids) == ids.count(0)
+            assert w.select(ids[5], 0) == ids.index(ids[5])
+        at += len(ids)
+    assert at == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in some)
+
+
+def test_long_texts_in_portions():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    texts = [" ".join(random.Random(i).choices(["ab", "Cd9", "x,", "  ", "\n", "it's", "\u00e9t\u00e9", "<|endoftext|>", "7"], k=500)) for i in range(20)]
+    e = token_shards.Encoder(open(path, encoding="utf-8").read(), "<u2")
+    t = Tokenizer.from_file(path)
+    for x in texts:
+        assert np.frombuffer(e._encode_long(x, 20), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 @functools.cache
 def library():
     from tokenizers import Tokenizer
