@@ -1,6 +1,7 @@
 """From a configuration to answers, on a small tree."""
 
 import argparse
+import os
 
 import pytest
 
@@ -163,4 +164,20 @@ def test_stream(spark, tmp_path):
     (src / "b.rs").write_text('c.subscribe(&["two"]);\n')
     (src / "skip.txt").write_text('FutureRecord::to("no");\n')
     run()
-    assert {(r.kind, r.dst) for r in ingest.current_edges(spark, out).collect()} == {("Publishes", "one"), ("Consumes", "two")}
+    now = lambda: {(r.kind, r.dst) for r in ingest.current_edges(spark, out).collect()}
+    up = lambda: ingest.catch_up(spark, str(src), "svc", out, 1)
+    assert now() == {("Publishes", "one"), ("Consumes", "two")} and up() == (0, 0)
+    (src / "a.rs").write_text("fn nothing() {}\n")  # a new version without edges
+    (src / "b.rs").write_text('c.subscribe(&["three"]);\n')
+    (src / "c d+e%.rs").write_text('FutureRecord::to("four");\n')
+    os.utime(src / "a.rs", (2_000_000_000, 2_000_000_000))
+    os.utime(src / "b.rs", (1_000_000_000, 1_000_000_000))  # older than what it replaces
+    run()
+    assert ("Publishes", "four") in now()
+    assert up() == (2, 0) and now() == {("Consumes", "three"), ("Publishes", "four")}
+    (src / "a.rs").write_text("")
+    (src / "b.rs").unlink()
+    (src / "vendor").mkdir()
+    (src / "vendor/d.rs").write_text('FutureRecord::to("no");\n')
+    assert up() == (0, 2) and now() == {("Publishes", "four")} and up() == (0, 0)
+    assert ingest.catch_up(spark, str(src), "svc", str(tmp_path / "other")) == (2, 0)
