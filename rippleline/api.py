@@ -11,7 +11,7 @@ from rippleline.operators import graph, lookup
 from rippleline.operators.diff import Affected, affected, hunks
 from rippleline.sources.config import Config
 from rippleline.sources.dictionary import dictionary_query
-from rippleline.sources.store import Store, load, save, versions
+from rippleline.sources.store import Store, load, prune, save, versions
 from rippleline.sync import Report, sync
 
 
@@ -39,6 +39,7 @@ class Engine:
     def sync(self) -> Report:
         made, report = sync(self.spark, self.config)
         save(made, self.config.store)
+        prune(self.spark, self.config.store)
         return report
 
     def find(self, name: str) -> Row:
@@ -81,8 +82,9 @@ class Engine:
         s = self.store
         out = [render.kind_line(s.nodes)]
         if full:
-            sample = lambda kind: ", ".join(r.key for r in s.nodes.where(F.col("kind") == kind).orderBy("id").limit(5).select(F.concat_ws(".", "schema", "name").alias("key")).collect())
-            missing = [r.service for r in s.sql_coverage.where("not has_dump").orderBy("service").collect()]
+            first = sorted(graph.samples(s.nodes).collect(), key=lambda r: r.id)
+            sample = lambda kind: ", ".join(r.key for r in first if r.kind == kind)
+            missing = [r.service for r in lookup.without_dump(s.sql_coverage).orderBy("service").collect()]
             coverage = f"MISSING dictionary dump for [{', '.join(missing)}] — Calls/Touches absent there; an empty impact doesn't mean that nothing depends on it" if missing else "complete"
             out += [f"sample procs: {sample('Procedure')}", f"sample topics: {sample('Topic')}", f"synced: {render.age_of(s.meta)}", f"unresolved topic sites: {s.unresolved.count()}", f"SQL coverage: {coverage}"]
         return "\n".join([*out, f"topic bridges: {self.bridges()}"])

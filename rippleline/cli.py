@@ -40,7 +40,7 @@ def run(args: argparse.Namespace, spark, diff: str = "") -> tuple[str, int]:
     try:
         if args.command == "sync":
             r = engine.sync()
-            counters = f"services={r.services} defs={r.defs} edges={r.edges} unresolved_topics={r.unresolved} invokes_noise_dropped={r.invokes_dropped} code_dynamic_tables={r.dynamic_tables} redis_dynamic_keys={r.dynamic_keys}"
+            counters = f"services={r.services} defs={r.defs} edges={r.edges} unresolved_topics={r.unresolved} invokes_noise_dropped={r.invokes_dropped} code_dynamic_tables={r.dynamic_tables} redis_dynamic_keys={r.dynamic_keys}" + (f" unreadable_files={r.unreadable}" if r.unreadable else "")
             sites = [f"  {x.loc}:{x.line}" for x in engine.store.unresolved.orderBy("seq").limit(20).collect()]
             more = [f"  … and {r.unresolved - 20} more"] if r.unresolved > 20 else []
             return "\n".join([f"synced: {counters}", *(["unresolved call sites (declare them in topics.toml):"] if sites else []), *sites, *more]), 0

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleline.functions.text import ascii_upper
-from rippleline.operators.graph import dense_ids, rank_first
-from rippleline.runtime import materialize
+from rippleline.operators.graph import numbered, rank_first
+from rippleline.runtime import drop, materialize
 from rippleline.schema import SQL_KINDS, edge_kinds
 
 
@@ -65,27 +65,30 @@ def _references(raw: DataFrame, kinds: DataFrame) -> DataFrame:
     )
 
 
+def gate(raw: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw edges to what may be noise, names(key, bare) of what is known -> (admitted, one row with invokes_dropped). An edge is let in if
+    its target is known by its full key or by its bare name: two left joins, and a flag."""
+    schema, bare = _split(F.col("dst"))
+    known = names.select(F.col("key").alias("_t")).union(names.select("bare")).distinct()
+    wanted = raw.withColumn("_key", F.concat_ws(".", schema, bare)).withColumn("_bare", bare)
+    flagged = wanted.join(known.select(F.col("_t").alias("_key"), F.lit(True).alias("_by_key")), "_key", "left").join(known.select(F.col("_t").alias("_bare"), F.lit(True).alias("_by_bare")), "_bare", "left")
+    ok = F.col("_by_key").isNotNull() | F.col("_by_bare").isNotNull()
+    return flagged.where(ok).select(*raw.columns), flagged.agg(F.count_if(~ok).alias("invokes_dropped"))
+
+
 def assemble(services: DataFrame, defs: DataFrame, raw: DataFrame, registry: DataFrame) -> Assembled:
     """services(seq, service), raw definitions, raw edges (all phases but the registry's), registry."""
     spark = raw.sparkSession
     kinds = edge_kinds(spark)
-    raw = materialize(raw.unionByName(registry_edges(registry, raw)), "raw-edges")
+    raw = materialize(raw, "raw")
     defs = materialize(defs.withColumn("key", F.concat_ws(".", "schema", "title")).withColumn("seq", F.array(F.lit("0"), F.format_string("%06d", "source_ord"), F.col("path"), F.format_string("%09d", "pos"))), "defs")
 
-    # Invokes are let in only if they name a known procedure or function.
-    names = defs.select("key", F.col("title").alias("bare"))
+    # Invokes are let in only if they name a known procedure or function, and come after all others, as their targets must be there first.
     is_invoke = F.col("kind") == "Invokes"
-    invoke_schema, invoke_bare = _split(F.col("dst"))
-    wanted = raw.where(is_invoke).withColumn("_key", F.concat_ws(".", invoke_schema, invoke_bare)).withColumn("_bare", invoke_bare)
-    targets = names.select(F.col("key").alias("_t")).union(names.select("bare")).distinct()
-    admitted = wanted.join(targets, (F.col("_t") == F.col("_key")), "left_semi").unionByName(
-        wanted.join(targets, F.col("_t") == F.col("_key"), "left_anti").join(targets, F.col("_t") == F.col("_bare"), "left_semi")
-    )
-    dropped = wanted.join(targets, F.col("_t") == F.col("_key"), "left_anti").join(targets, F.col("_t") == F.col("_bare"), "left_anti").agg(F.count(F.lit(1)).alias("invokes_dropped"))
-    # They come after all others, as their targets must be there first.
-    edges = raw.where(~is_invoke).unionByName(admitted.drop("_key", "_bare").withColumn("seq", F.concat(F.array(F.lit("4")), "seq")))
+    admitted, dropped = gate(raw.where(is_invoke), defs.select("key", F.col("title").alias("bare")))
+    edges = raw.where(~is_invoke).unionByName(registry_edges(registry, raw)).unionByName(admitted.withColumn("seq", F.concat(F.array(F.lit("4")), "seq")))
     edges = materialize(edges, "admitted")
-    ends = materialize(_references(edges, kinds), "ends")
+    ends = _references(edges, kinds)
 
     # Who owns a bare SQL name: a definition before any reference, then what comes first.
     at_def = F.struct(F.lit(0).alias("later"), "seq", F.lit(0).alias("side"))
@@ -99,33 +102,29 @@ def assemble(services: DataFrame, defs: DataFrame, raw: DataFrame, registry: Dat
     bound = materialize(bound.unionByName(ends.where("grp <> 'sql'").select("seq", "side", "kind", "grp", "key")), "bound")
 
     # Nodes: definitions, services, then what edges name, each by its first appearance.
-    key_schema, key_bare = F.col("schema"), F.col("bare")
     from_defs = defined.select(F.lit("sql").alias("grp"), "key", "bare", "schema", "kind", F.struct(F.lit("0").alias("phase"), F.col("at.seq").alias("seq"), F.col("at.side").alias("side")).alias("at"))
     from_services = services.select(F.lit("Service").alias("grp"), F.col("service").alias("key"), F.col("service").alias("bare"), F.lit(None).cast("string").alias("schema"), F.lit("Service").alias("kind"), F.struct(F.lit("1").alias("phase"), "seq", F.lit(0).alias("side")).alias("at"))
     schema, bare = _split(F.col("key"))
     is_sql = F.col("grp") == "sql"
     from_edges = bound.select("grp", "key", F.when(is_sql, bare).otherwise(F.col("key")).alias("bare"), F.when(is_sql, schema).alias("schema"), "kind", F.struct(F.lit("2").alias("phase"), "seq", "side").alias("at"))
     first = rank_first(from_defs.union(from_services).union(from_edges), ["grp", "key"], ["at"])
-    ids = dense_ids(first.withColumn("full", F.struct("grp", "key")), "full", "at")
-    numbered = materialize(ids.select("full.grp", "full.key", "id").join(first, ["grp", "key"]), "numbered")
+    named = materialize(numbered(first, ["at", "grp", "key"]).drop("at"), "numbered")
 
     # Chunks: one a definition; a node points to its first.
-    chunk_ids = dense_ids(defs.select(F.col("seq").alias("place")), "place", "place")
-    chunks = defs.join(chunk_ids, defs["seq"] == chunk_ids["place"]).join(numbered.where("grp = 'sql'").select("key", F.col("id").alias("node")), "key")
-    chunks = chunks.select("id", "service", "path", "kind", "title", "line_start", "line_end", "signature", "body", "node")
+    chunks = numbered(defs, ["seq"]).join(named.where("grp = 'sql'").select("key", F.col("id").alias("node")), "key")
+    chunks = materialize(chunks.select("id", "service", "path", "kind", "title", "line_start", "line_end", "signature", "body", "node"), "chunks")
     of_node = chunks.groupBy("node").agg(F.min("id").alias("chunk"))
-    nodes = numbered.join(of_node, numbered["id"] == of_node["node"], "left").select("id", key_bare.alias("name"), key_schema.alias("schema"), "kind", "chunk")
-
-    # Edges: ids of both ends, no loops, the first evidence of each (kind, src, dst).
-    named = numbered.select("grp", "key", F.col("id").alias("node"))
-    placed = bound.join(named, ["grp", "key"]).select("seq", "side", "node")
-    src, dst = placed.where("side = 0").select("seq", F.col("node").alias("src_id")), placed.where("side = 1").select("seq", F.col("node").alias("dst_id"))
-    tied = edges.select("seq", "kind", "path", "line").join(src, "seq").join(dst, "seq").where("src_id <> dst_id")
-    unique = rank_first(tied.select("kind", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "seq", "path", "line"), ["kind", "src", "dst"], ["seq"])
-    unique = materialize(unique, "unique-edges")
-    edge_ids = dense_ids(unique.select(F.col("seq").alias("place")), "place", "place")
-    plain = unique.join(edge_ids, unique["seq"] == edge_ids["place"]).select("id", "src", "dst", "kind", "path", "line")
-    return Assembled(nodes, provenance(plain, nodes, registry), chunks, dropped)
+    nodes = named.join(of_node, named["id"] == of_node["node"], "left").select("id", F.col("bare").alias("name"), "schema", "kind", "chunk")
+    nodes = materialize(nodes, "nodes")
+
+    # Edges: ids of both ends, no loops, the first evidence of each (kind, src, dst). Both ends of an edge meet in one aggregation by seq.
+    placed = bound.join(named.select("grp", "key", F.col("id").alias("node")), ["grp", "key"])
+    both = placed.groupBy("seq").agg(F.max(F.when(F.col("side") == 0, F.col("node"))).alias("src"), F.max(F.when(F.col("side") == 1, F.col("node"))).alias("dst"))
+    tied = edges.select("seq", "kind", "path", "line").join(both, "seq").where("src <> dst")
+    unique = numbered(rank_first(tied, ["kind", "src", "dst"], ["seq"]), ["seq"]).select("id", "src", "dst", "kind", "path", "line")
+    unique = materialize(provenance(unique, nodes, registry), "edges")
+    drop(bound)
+    return Assembled(nodes, unique, chunks, dropped)
 
 
 def provenance(edges: DataFrame, nodes: DataFrame, registry: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ Two executions:
 - `first_reached` keeps discovery order and stops at `cap` nodes. All it holds on the driver is at most cap
   nodes; a level is one filter of the step table by the frontier's keys, one partial aggregation, and
   one top-k. Nothing is shuffled but candidate steps of the frontier.
-- `reach` has no cap and any number of starts. Levels are joins of written tables, whose known sizes let the
-  planner broadcast a small frontier and shuffle a large one.
+- `first_reached_of_each` does the same for any number of starts at once, each with its own cap and guard.
+- `reach` has no cap and any number of starts. Steps are written once, in buckets; levels are joins of written tables, whose known
+  sizes let the planner broadcast a small frontier and shuffle a large one.
 
 Discovery order is that of a first-in first-out search that scans a node's outgoing edges by id, then its
 incoming ones: within a level, by order of the node it was reached from, direction, edge id.
@@ -18,13 +19,14 @@ incoming ones: within a level, by order of the node it was reached from, directi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.runtime import materialize
+from rippleline.runtime import bucketed, drop, materialize
 from rippleline.schema import impact_forward, is_weak
 
 CAP = 200
@@ -104,28 +106,72 @@ def first_reached(steps: DataFrame, start: Any, max_depth: int, cap: int = CAP)
     return found
 
 
+def guarded_steps(edges: DataFrame, include_weak: bool = False) -> DataFrame:
+    """impact_steps() with the provenance that a guard asks for, for searches whose starts each have a guard of their own."""
+    none = F.array().cast(edges.schema["provenance"].dataType)
+    rows = _usable(edges, include_weak)
+    forward = impact_forward(F.col("kind"))
+    return rows.select(
+        F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("cur"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("nxt"),
+        F.when(forward, F.lit(0)).otherwise(F.lit(1)).alias("dir"), F.col("id").alias("edge_id"), F.when(F.col("kind") == "Publishes", F.coalesce("provenance", none)).otherwise(none).alias("needs"),
+    )
+
+
+def origins(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts(origin) -> (origin, tables): origin_tables() of each."""
+    kind = nodes.select(F.col("id").alias("origin"), "kind").join(starts.select("origin").distinct(), "origin")
+    touched = edges.where("kind = 'Touches'").select(F.col("src").alias("origin"), "dst").join(kind.where(F.col("kind").isin("Procedure", "Function")), "origin").groupBy("origin").agg(F.array_sort(F.collect_set("dst")).alias("t"))
+    none = F.array().cast(edges.schema["provenance"].dataType)
+    found = kind.join(touched, "origin", "left").select("origin", F.when(F.col("kind") == "Table", F.array("origin")).otherwise(F.coalesce("t", none)).alias("tables"))
+    return starts.select("origin").distinct().join(found, "origin", "left").select("origin", F.coalesce("tables", none).alias("tables"))
+
+
+def first_reached_of_each(steps: DataFrame, starts: DataFrame, max_depth: int, cap: int = CAP) -> DataFrame:
+    """guarded_steps() and (origin, tables) -> (origin, ord, node, via, depth): first_reached() of every origin at once, each with its guard
+    and its cap. A level is a join and a top-k an origin, however many origins there are."""
+    none = F.lit(None).cast(steps.schema["edge_id"].dataType)
+    level = materialize(starts.select("origin", "tables", F.col("origin").alias("node"), F.lit(0).cast("long").alias("ord"), none.alias("via"), F.lit(0).alias("depth")), "level")
+    levels = [level]
+    for depth in range(1, max_depth + 1):
+        visited = functools.reduce(DataFrame.union, levels).select("origin", "node")
+        full = visited.groupBy("origin").agg((F.count(F.lit(1)) - 1).alias("had"))
+        closed = (F.size("tables") > 0) & (F.size("needs") > 0) & ~F.arrays_overlap("needs", "tables")
+        fresh = (
+            steps.join(level.select("origin", "tables", "node", "ord"), F.col("cur") == F.col("node")).where(~closed)
+            .groupBy("origin", "nxt").agg(F.min(F.struct("ord", "dir", "edge_id")).alias("at"), F.first("tables").alias("tables"))
+            .withColumnRenamed("nxt", "node").join(visited, ["origin", "node"], "left_anti").join(full, "origin")
+            .withColumn("r", F.row_number().over(Window.partitionBy("origin").orderBy("at"))).where(F.col("r") + F.col("had") <= cap)
+        )
+        level = materialize(fresh.select("origin", "tables", "node", (F.col("had") + F.col("r")).alias("ord"), F.col("at.edge_id").alias("via"), F.lit(depth).alias("depth")), "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return functools.reduce(DataFrame.union, levels).where("depth > 0").select("origin", "ord", "node", "via", "depth")
+
+
+def laid_out(steps: DataFrame) -> DataFrame:
+    """Steps written once, in buckets by where they start: a level's join then moves its frontier, never the steps."""
+    return bucketed(steps.select("cur", "nxt").distinct(), "cur", "steps")
+
+
 def reach(steps: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """starts(origin, node) -> (origin, node, depth): all that each origin reaches, at its least depth.
     Starts aren't reported for their own origin."""
-    step = steps.select("cur", "nxt")
-    levels = [starts.select("origin", "node", F.lit(0).alias("depth")).distinct()]
-    visited, frontier = None, levels[0]
+    step = laid_out(steps) if max_depth > 1 else steps.select("cur", "nxt")
+    frontier = starts.select("origin", "node", F.lit(0).alias("depth")).distinct()
+    visited = frontier
     for depth in range(1, max_depth + 1):
-        past = levels[0] if visited is None else visited
         fresh = (
             frontier.join(step, F.col("node") == F.col("cur")).select("origin", F.col("nxt").alias("node")).distinct()
-            .join(past.select("origin", "node"), ["origin", "node"], "left_anti")
+            .join(visited.select("origin", "node"), ["origin", "node"], "left_anti")
             .select("origin", "node", F.lit(depth).alias("depth"))
         )
         frontier = materialize(fresh, "frontier")
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        visited = past.union(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out.where("depth > 0")
+        visited = visited.union(frontier)
+    drop(step)
+    return visited.where("depth > 0")
 
 
 def with_order(reached: list[tuple[Any, Any, int]], like: DataFrame) -> DataFrame:
@@ -195,8 +241,36 @@ def rank_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first.select(*keys, *[f"first.{c}" for c in rest])
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
+    """rows with ids from 0 in the order of columns that tell them apart. Rows are range-partitioned and sorted where they are; what one task
+    sees of all rows is a count a partition."""
+    spark, width = rows.sparkSession, 33  # monotonically_increasing_id: the partition above, the row's place in it below
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    counts = placed.groupBy(F.shiftright("_at", width).alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    table = spark.createDataFrame(starts, "_part long, _start long")
+    within = F.col("_at") - F.shiftleft("_part", width)
+    at = placed.withColumn("_part", F.shiftright("_at", width)).join(F.broadcast(table), "_part")
+    return at.select(*rows.columns, (F.col("_start") + within).alias(name))
+
+
 def dense_ids(rows: DataFrame, key: str, order: str, name: str = "id") -> DataFrame:
-    """Ids from 0 by first appearance: (key, id). One global order is what is asked for, so the last step is
-    one sort; what it sorts is one row a key."""
+    """Ids from 0 by first appearance: (key, id)."""
     first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("_first", key)) - 1).cast("long").alias(name))
+    return numbered(first, ["_first", key], name).select(key, name)
+
+
+def samples(nodes: DataFrame, most: int = 5) -> DataFrame:
+    """(kind, id, key) of the first nodes of each kind; tasks keep as many each."""
+    first = Window.partitionBy("kind").orderBy("id")
+    return nodes.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select("kind", "id", F.concat_ws(".", "schema", "name").alias("key"))
+
+
+def kind_line(nodes: DataFrame) -> DataFrame:
+    """One row: services, procs, funcs, tables and topics, and the line that says so."""
+    kinds = (("services", "Service"), ("procs", "Procedure"), ("funcs", "Function"), ("tables", "Table"), ("topics", "Topic"))
+    one = nodes.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds])
+    return one.withColumn("line", F.concat_ws(" ", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n, _ in kinds]))

@@ -24,6 +24,11 @@ def suggest(nodes: DataFrame, query: str, limit: int = SUGGESTIONS) -> DataFrame
     return keys.withColumn("score", similarity(F.col("key"), F.lit(query)).cast("int")).where("score > 0").orderBy(F.desc("score"), "key").limit(limit)
 
 
+def without_dump(coverage: DataFrame) -> DataFrame:
+    """(service) of those without a dictionary dump, each once."""
+    return coverage.where(~F.coalesce("has_dump", F.lit(False))).select("service").distinct()
+
+
 def find_or_suggest(nodes: DataFrame, query: str) -> tuple[Row | None, str]:
     """The node, or None and a message with the closest keys."""
     if (found := find(nodes, query).first()) is not None:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleline.functions import text as tx
-from rippleline.operators import graph, lookup
+from rippleline.operators import assemble, diff, embedded_sql, graph, lookup, plsql
 from rippleline.plans.tradegraph import trade_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,11 +99,6 @@ def impact_key_readers_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, graph.impact_steps(trade_graph(spark, sf_dir).edges), "K:view", 3)
 
 
-@register("impact_by_depth", _walk("R0", 5, select="depth, count(*)::BIGINT AS n_nodes FROM (SELECT node, min(depth)::INTEGER AS depth FROM r WHERE depth > 0 AND node <> '{0}' GROUP BY node) GROUP BY depth"))
-def impact_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact_region(spark, sf_dir).groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
-
-
 @register("upstream_region_d2", _walk("R1", 2, forward="false"))
 def upstream_region_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, graph.upstream_steps(trade_graph(spark, sf_dir).edges), "R1", 2)
@@ -114,14 +109,41 @@ def downstream_supplier_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, graph.downstream_steps(trade_graph(spark, sf_dir).edges), "S1", 3)
 
 
-@register("reach_via_top200")
-def reach_via_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discovery order with the edge each node was reached by; the search stops at its 200th node by definition."""
+def _capped(starts: str, depth: int, guarded: bool, tail: str) -> str:
+    """A first-in first-out search of each start, cut off at its 200th node, level by level. starts: SQL with (origin, place, tables)."""
+    shut = "len(tables) > 0 AND len(needs) > 0 AND NOT list_has_any(needs, tables)" if guarded else "false"
+    parts = [EDGES, NODES, """steps AS (SELECT CASE WHEN kind = 'Publishes' THEN src ELSE dst END AS cur, CASE WHEN kind = 'Publishes' THEN dst ELSE src END AS nxt, CASE WHEN kind = 'Publishes' THEN 0 ELSE 1 END AS dir,
+  kind || '|' || src || '|' || dst AS edge_id, CASE WHEN kind = 'Publishes' THEN prov ELSE [] END AS needs, kind AS via_kind FROM edges WHERE src <> dst AND kind <> 'Owns')""",
+             f"starts AS ({starts})", "l0 AS (SELECT origin, tables, origin AS node, 0::BIGINT AS ord, NULL::VARCHAR AS via, NULL::VARCHAR AS via_kind, 0 AS depth FROM starts)"]
+    for d in range(1, depth + 1):
+        parts += [
+            f"""c{d} AS (SELECT origin, tables, nxt AS node, edge_id AS via, steps.via_kind, dir, p.ord AS po, row_number() OVER (PARTITION BY origin, nxt ORDER BY p.ord, dir, edge_id) AS r
+  FROM steps JOIN l{d - 1} p ON cur = p.node WHERE p.depth = {d - 1} AND NOT ({shut}) AND NOT EXISTS (SELECT 1 FROM l{d - 1} v WHERE v.origin = p.origin AND v.node = nxt))""",
+            f"""n{d} AS (SELECT origin, tables, node, via, via_kind, row_number() OVER (PARTITION BY origin ORDER BY po, dir, via) + (SELECT count(*) - 1 FROM l{d - 1} v WHERE v.origin = c{d}.origin) AS ord FROM c{d} WHERE r = 1)""",
+            f"l{d} AS (SELECT * FROM l{d - 1} UNION ALL SELECT origin, tables, node, ord, via, via_kind, {d} FROM n{d} WHERE ord <= 200)",
+        ]
+    return "WITH " + ",\n".join(parts) + f", found AS (SELECT * FROM l{depth} WHERE depth > 0) {tail}"
+
+
+def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = trade_graph(spark, sf_dir)
     steps = graph.impact_steps(g.edges)
-    reached = graph.with_order(graph.first_reached(steps, "R0", 5), steps)
-    named = g.nodes.select(F.col("id").alias("node"), "name", F.col("kind").alias("node_kind"))
-    return named.join(F.broadcast(reached), "node").select("ord", "node", "name", "node_kind", "depth", "via")
+    return graph.decorate(graph.with_order(graph.first_reached(steps, "R0", 5), steps), g.nodes, g.edges)
+
+
+_R0 = "SELECT 'R0' AS origin, 0 AS place, ['R0'] AS tables"
+
+
+@register("reach_via_top200", _capped(_R0, 5, False, """SELECT ord, node, name AS key, name, nodes.kind AS node_kind, depth, via, via_kind, CASE via_kind WHEN 'Touches' THEN 'nation' WHEN 'Publishes' THEN 'lineitem' WHEN 'Consumes' THEN 'lineitem'
+  WHEN 'Invokes' THEN CASE WHEN via LIKE 'Invokes|S%' THEN 'supplier' ELSE 'customer' END ELSE 'events' END AS path, 1 AS line FROM found JOIN nodes ON node = id"""))
+def reach_via_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery order with the edge each node was reached by; the search stops at its 200th node by definition."""
+    return _decorated(spark, sf_dir)
+
+
+@register("impact_by_depth", _capped(_R0, 5, False, "SELECT depth, string_agg(name || ':' || nodes.kind || ' via:' || via_kind, '; ' ORDER BY ord) AS reached FROM found JOIN nodes ON node = id GROUP BY depth"))
+def impact_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.by_depth(_decorated(spark, sf_dir))
 
 
 _ORIGINS = ("N0", "N7", "N14")
@@ -141,11 +163,32 @@ def multi_source_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multi(spark, sf_dir).groupBy("node").agg(F.min("depth").alias("depth"))
 
 
-@register("cross_service_targets", f"""{_MULTI.replace("WITH RECURSIVE", "WITH RECURSIVE " + NODES + ",", 1)}
-SELECT DISTINCT node, name FROM r JOIN nodes ON node = id WHERE depth > 0 AND kind = 'Service' AND node NOT IN (SELECT origin FROM r)""")
+_STARTS = f"SELECT 'N' || n_nationkey AS origin, n_nationkey AS place, ['R' || n_regionkey] AS tables FROM nation WHERE 'N' || n_nationkey IN {_ORIGINS}"
+_BLAST = """, firsts AS (SELECT node, depth, row_number() OVER (PARTITION BY node ORDER BY place, ord) AS r FROM found JOIN starts USING (origin))
+SELECT node, name, kind, depth, kind = 'Service' AND node NOT IN (SELECT origin FROM starts) AS "cross" FROM firsts JOIN nodes ON node = id WHERE r = 1"""
+
+
+def _blast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = trade_graph(spark, sf_dir)
+    changed = spark.createDataFrame([(n, int(n[1:])) for n in _ORIGINS], "node string, at int")
+    return diff.blast_radius(changed, g.nodes, g.edges, 4)
+
+
+@register("affected_blast", _capped(_STARTS, 4, True, _BLAST))
+def affected_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What several changed symbols reach, each with its guard and cap, at the depth of the first occurrence."""
+    return _blast(spark, sf_dir).select("node", "name", "kind", "depth", "cross")
+
+
+@register("cross_service_targets", _capped(_STARTS, 4, True, _BLAST.replace("SELECT node, name, kind, depth, ", ", b AS (SELECT node, name, ") + ') SELECT node, name FROM b WHERE "cross"'))
 def cross_service_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    services = trade_graph(spark, sf_dir).nodes.where("kind = 'Service'").select(F.col("id").alias("node"), "name")
-    return _multi(spark, sf_dir).select("node").distinct().join(services, "node").join(_starts(spark, *_ORIGINS).select("node"), "node", "left_anti")
+    return _blast(spark, sf_dir).where("cross").select("node", "name")
+
+
+@register("origin_tables_of_all", f"""WITH {EDGES}, {NODES} SELECT id AS origin, CASE WHEN kind = 'Table' THEN id WHEN kind IN ('Procedure', 'Function') THEN coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges e WHERE e.kind = 'Touches' AND e.src = id), '') ELSE '' END AS tables FROM nodes""")
+def origin_tables_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = trade_graph(spark, sf_dir)
+    return graph.origins(g.nodes, g.edges, g.nodes.select(F.col("id").alias("origin"))).select("origin", F.array_join("tables", ",").alias("tables"))
 
 
 @register("kind_counts", f"WITH {NODES} SELECT kind, count(*)::BIGINT AS n FROM nodes GROUP BY kind")
@@ -153,18 +196,16 @@ def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade_graph(spark, sf_dir).nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("kind_line", f"""WITH {NODES} SELECT count(*) FILTER (kind = 'Service')::BIGINT AS services, count(*) FILTER (kind = 'Procedure')::BIGINT AS procs,
-  count(*) FILTER (kind = 'Function')::BIGINT AS funcs, count(*) FILTER (kind = 'Table')::BIGINT AS tables, count(*) FILTER (kind = 'Topic')::BIGINT AS topics FROM nodes""")
+@register("kind_line", f"""WITH {NODES}, one AS (SELECT count(*) FILTER (kind = 'Service')::BIGINT AS services, count(*) FILTER (kind = 'Procedure')::BIGINT AS procs,
+  count(*) FILTER (kind = 'Function')::BIGINT AS funcs, count(*) FILTER (kind = 'Table')::BIGINT AS tables, count(*) FILTER (kind = 'Topic')::BIGINT AS topics FROM nodes)
+  SELECT *, 'services=' || services || ' procs=' || procs || ' funcs=' || funcs || ' tables=' || tables || ' topics=' || topics AS line FROM one""")
 def kind_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = (("services", "Service"), ("procs", "Procedure"), ("funcs", "Function"), ("tables", "Table"), ("topics", "Topic"))
-    return trade_graph(spark, sf_dir).nodes.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds])
+    return graph.kind_line(trade_graph(spark, sf_dir).nodes)
 
 
-@register("kind_samples", f"WITH {NODES} SELECT kind, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS r FROM nodes) WHERE r <= 5")
+@register("kind_samples", f"WITH {NODES} SELECT kind, id, name AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS r FROM nodes) WHERE r <= 5")
 def kind_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five of each kind; partial limits keep five a task."""
-    first = Window.partitionBy("kind").orderBy("id")
-    return trade_graph(spark, sf_dir).nodes.withColumn("r", F.row_number().over(first)).where("r <= 5").select("kind", "id")
+    return graph.samples(trade_graph(spark, sf_dir).nodes)
 
 
 @register("edge_kind_counts", f"WITH {EDGES} SELECT kind, count(*)::BIGINT AS n, count(*) FILTER (len(prov) > 0)::BIGINT AS with_provenance FROM edges GROUP BY kind")
@@ -193,21 +234,20 @@ def topic_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("topic_bridge_summary", _BRIDGES + """, one AS (
   SELECT count(*) FILTER (has_pub AND has_con)::BIGINT AS bridges, count(*) FILTER (has_pub AND has_con AND has_prov)::BIGINT AS guarded,
          coalesce(string_agg(name, ', ' ORDER BY topic) FILTER (has_pub AND has_con AND NOT has_prov), '') AS names, count(*) FILTER (has_pub AND has_con AND NOT has_prov)::BIGINT AS coarse FROM named
-) SELECT bridges, guarded, coarse, sha256(names) AS names_sha256 FROM one""")
+) SELECT bridges, guarded, coarse, sha256(names) AS names_sha256, sha256(CASE WHEN bridges = 0 THEN 'none' WHEN coarse = 0 THEN bridges || ' producer→consumer, all provenance-guarded'
+  ELSE bridges || ' producer→consumer; ' || guarded || ' guarded, ' || coarse || ' COARSE (impact may over-report consumers — declare [svc.provenance] in topics.toml): [' || names || ']' END) AS summary_sha256 FROM one""")
 def topic_bridge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = graph.bridge_summary(topic_bridges(spark, sf_dir))
-    return one.select("bridges", "guarded", F.size("coarse").cast("long").alias("coarse"), F.sha2(F.array_join("coarse", ", "), 256).alias("names_sha256"))
+    return one.select("bridges", "guarded", F.size("coarse").cast("long").alias("coarse"), F.sha2(F.array_join("coarse", ", "), 256).alias("names_sha256"), F.sha2("summary", 256).alias("summary_sha256"))
 
 
-@register("topic_producers_consumers", f"""WITH {EDGES}, {NODES} SELECT dst AS topic,
-  coalesce(string_agg(name, '; ' ORDER BY src) FILTER (edges.kind = 'Publishes'), '') AS producers,
-  coalesce(string_agg(name, '; ' ORDER BY src) FILTER (edges.kind = 'Consumes'), '') AS consumers
-FROM edges JOIN nodes ON src = id WHERE edges.kind IN ('Publishes', 'Consumes') GROUP BY dst""")
+@register("topic_producers_consumers", f"""WITH {EDGES}, {NODES} SELECT
+  coalesce(string_agg(name || ' (lineitem:1)', '; ' ORDER BY edges.kind || '|' || src || '|' || dst) FILTER (edges.kind = 'Publishes'), '') AS producers,
+  coalesce(string_agg(name || ' (lineitem:1)', '; ' ORDER BY edges.kind || '|' || src || '|' || dst) FILTER (edges.kind = 'Consumes'), '') AS consumers
+FROM edges JOIN nodes ON src = id WHERE edges.kind IN ('Publishes', 'Consumes') AND dst = 'P1'""")
 def topic_producers_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = trade_graph(spark, sf_dir)
-    ends = g.edges.where(F.col("kind").isin("Publishes", "Consumes")).join(g.nodes.select(F.col("id").alias("src"), "name"), "src")
-    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("src", "name")))), lambda x: x["name"]), "; ")
-    return ends.groupBy(F.col("dst").alias("topic")).agg(listed("Publishes").alias("producers"), listed("Consumes").alias("consumers"))
+    return graph.topic_ends(g.edges, g.nodes, "P1")
 
 
 @register("suggest_parts", """WITH k AS (SELECT DISTINCT upper(p_name) AS key, p_name FROM part), s AS (
@@ -242,79 +282,68 @@ def intern_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("registry_fill_gaps", """WITH declared AS (SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100)
-SELECT 'S' || s_suppkey AS service, 'P' || p_partkey AS topic FROM declared
+SELECT 'Publishes' AS kind, 'S' || s_suppkey AS service, 'P' || p_partkey AS topic, '<registry>' AS path FROM declared
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey)""")
 def registry_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared pairs that no line shows."""
+    """Each supplier declares the parts of its own remainder; lines show some of them."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    declared = t("supplier").select("s_suppkey", (F.col("s_suppkey") % 100).alias("m")).join(t("part").select("p_partkey", (F.col("p_partkey") % 100).alias("m")), "m")
-    seen = t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
-    gaps = declared.join(seen, ["s_suppkey", "p_partkey"], "left_anti")
-    return gaps.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("service"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("topic"))
+    parts = t("part").groupBy((F.col("p_partkey") % 100).alias("m")).agg(F.collect_list(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("publishes"))
+    registry = t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("service"), (F.col("s_suppkey") % 100).alias("m")).join(parts, "m").withColumn("consumes", F.array().cast("array<string>"))
+    seen = t("lineitem").select(F.lit("Publishes").alias("kind"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"))
+    return assemble.registry_edges(registry, seen).select("kind", F.col("src").alias("service"), F.col("dst").alias("topic"), "path")
 
 
-@register("known_target_gate", """SELECT count(*) FILTER (EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id))::BIGINT AS admitted,
-  count(*) FILTER (NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id))::BIGINT AS dropped FROM events""")
+@register("known_target_gate", """WITH k AS (SELECT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) AS known FROM events)
+SELECT 'admitted' AS what, count(*) FILTER (known)::BIGINT AS n FROM k UNION ALL SELECT 'dropped', count(*) FILTER (NOT known)::BIGINT FROM k""")
 def known_target_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("known"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").join(known, "user_id", "left")
-    return events.agg(F.count_if(F.col("known").isNotNull()).alias("admitted"), F.count_if(F.col("known").isNull()).alias("dropped"))
+    """Events call procedures that customers define, some by a full name and some by a bare one."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.format_string("OWN.C%d", "c_custkey").alias("key"), F.format_string("C%d", "c_custkey").alias("bare"))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.format_string("own.c%d", "user_id").alias("full"), F.format_string("c%d", "user_id").alias("short"), "event_id")
+    admitted, dropped = assemble.gate(raw.select(F.when(F.col("event_id") % 2 == 0, F.col("full")).otherwise(F.col("short")).alias("dst")), names)
+    return admitted.agg(F.count(F.lit(1)).alias("n")).select(F.lit("admitted").alias("what"), "n").union(dropped.select(F.lit("dropped"), "invokes_dropped"))
 
 
-@register("provenance_attach", """SELECT 'S' || l_suppkey AS service, string_agg(DISTINCT 'R' || (p_partkey % 5), ',' ORDER BY 'R' || (p_partkey % 5)) AS provenance
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 2 = 0 GROUP BY 1""")
+@register("provenance_attach", "SELECT DISTINCT l_suppkey AS service, l_partkey AS topic, p_partkey % 5 AS region FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 2 = 0")
 def provenance_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    published = trade_graph(spark, sf_dir).edges.where("kind = 'Publishes'").select(F.col("src").alias("service"), F.explode("provenance").alias("table"))
-    return published.groupBy("service").agg(F.array_join(F.array_sort(F.collect_set("table")), ",").alias("provenance"))
-
-
-_SEGMENTS = """segments AS (SELECT conv_id, turn AS line_start, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, last) AS line_end
-  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE role = 'user')"""
-
-
-@register("chunk_segments", f"WITH {_SEGMENTS} SELECT * FROM segments")
-def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A segment runs from a user's turn to the turn before the next one."""
-    conv = Window.partitionBy("conv_id")
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role").withColumn("last", F.max("turn").over(conv))
-    return turns.where("role = 'user'").select("conv_id", F.col("turn").alias("line_start"), F.coalesce(F.lead("turn").over(conv.orderBy("turn")) - 1, "last").alias("line_end"))
-
-
-@register("hunk_overlap", f"""WITH {_SEGMENTS}, hunks AS (SELECT item_id % 50 AS conv_id, item_id % 7 AS h_start, item_id % 7 + item_id % 3 AS h_end, item_id FROM benchmark)
-SELECT item_id, s.conv_id, line_start, line_end FROM hunks h JOIN segments s ON h.conv_id = s.conv_id AND h_end >= line_start AND h_start <= line_end""")
-def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges meet on their file first, then by overlap."""
-    i = F.col("item_id")
-    hunks = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((i % 50).alias("conv_id"), (i % 7).alias("h_start"), (i % 7 + i % 3).alias("h_end"), "item_id")
-    return chunk_segments(spark, sf_dir).join(hunks, "conv_id").where("h_end >= line_start and h_start <= line_end").select("item_id", "conv_id", "line_start", "line_end")
-
-
-@register("line_explode", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id, count(*)::BIGINT AS n_lines, max(length(line))::BIGINT AS longest, sum(line_no * length(line))::BIGINT AS weight FROM l GROUP BY doc_id""")
+    """Suppliers declare a region's table for parts of even size, and one table that isn't there."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    supplier, part, topics, tables = t("supplier"), t("part"), 10**12, 2 * 10**12
+    node = lambda df, at, name, kind: df.select(at.cast("long").alias("id"), name.alias("name"), F.lit(None).cast("string").alias("schema"), F.lit(kind).alias("kind"))
+    nodes = node(supplier, F.col("s_suppkey"), F.format_string("S%d", "s_suppkey"), "Service").union(node(part, F.col("p_partkey") + topics, F.format_string("P%d", "p_partkey"), "Topic")).union(node(t("region"), F.col("r_regionkey") + tables, F.format_string("REGION_%d", "r_regionkey"), "Table"))
+    pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    edges = pairs.select(F.monotonically_increasing_id().alias("id"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") + topics).alias("dst"), F.lit("Publishes").alias("kind"), F.lit("x").alias("path"), F.lit(1).alias("line"))
+    even = pairs.join(part.where("p_size % 2 = 0"), F.col("l_partkey") == F.col("p_partkey"))
+    entry = F.struct(F.format_string("P%d", "p_partkey"), F.array(F.format_string("region_%d", F.col("p_partkey") % 5), F.lit("no_such")))
+    registry = even.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(entry)).alias("provenance")).select(F.format_string("S%d", "l_suppkey").alias("service"), "provenance")
+    found = assemble.provenance(edges, nodes, registry)
+    return found.where(F.size("provenance") > 0).select(F.col("src").alias("service"), (F.col("dst") - topics).alias("topic"), (F.col("provenance")[0] - tables).alias("region"))
+
+
+@register("line_explode", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), m AS (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS lines FROM l)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(list_max(list_transform(lines, lambda x: length(x))), 0)::BIGINT AS longest, sha256(array_to_string(lines, '|')) AS lines_sha256 FROM m""")
 def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("line")).cast("long").alias("longest"), F.sum((F.col("pos") + 1) * F.length("line")).alias("weight"))
+    found = tx.lines(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(found).cast("long").alias("n_lines"), F.coalesce(F.array_max(F.transform(found, F.length)), F.lit(0)).cast("long").alias("longest"), F.sha2(F.array_join(found, "|"), 256).alias("lines_sha256"))
 
 
-@register("comment_strip_html", r"""SELECT page_id, length(regexp_replace(html, '(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'))::BIGINT AS n,
-  sha256(regexp_replace(html, '(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g')) AS body FROM pages""")
-def comment_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stripped = F.regexp_replace("html", r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", stripped.alias("s")).select("page_id", F.length("s").cast("long").alias("n"), F.sha2("s", 256).alias("body"))
+@register("comment_strip", r"""SELECT doc_id, 'a' || chr(10) || 'b  ' || chr(10) || chr(10) || ' c' || doc_id || '  ' AS stripped FROM documents""")
+def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of lines and blocks, new lines kept; the block's text is the document's, without what would end it."""
+    inside = F.regexp_replace(F.regexp_replace("text", r"[*/\n]", " "), "--", "  ")
+    made = F.concat(F.lit("a-- it's\nb /* "), inside, F.lit("\n\n*/ c"), F.col("doc_id").cast("string"), F.lit(" /* open"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", plsql.blank_comments_udf(made).alias("stripped"))
 
 
-@register("literal_extract_urls", """WITH u AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS target FROM pages)
-SELECT page_id, count(*)::BIGINT AS n, string_agg(target, ' ' ORDER BY target) AS targets FROM u GROUP BY 1""")
+@register("literal_extract_urls", """SELECT page_id, 0 AS pos, url AS text, 1 AS line FROM pages UNION ALL SELECT page_id, 1, 'raw "q" ' || page_id, 2 FROM pages""")
 def literal_extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", found.alias("f")).where(F.size("f") > 0).select("page_id", F.size("f").cast("long").alias("n"), F.array_join("f", " ").alias("targets"))
-
-
-_SQLISH = r"(?i)^\s*(?:with\s|select\s|insert\s+into\s|update\s+[a-z_\x22]|delete\s+from\s|merge\s+into\s|begin\s|call\s|exec(?:ute)?\s)"
+    """Each page as a source file that fetches its address."""
+    content = F.concat(F.lit('fetch("'), F.col("url"), F.lit('") // "no"\nuse(`raw "q" '), F.col("page_id").cast("string"), F.lit("`)\n"))
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("s").alias("service"), F.lit(0).alias("source_ord"), F.col("page_id").cast("string").alias("path"), F.lit("go").alias("lang"), content.alias("content"))
+    return embedded_sql.string_literals(files).select(F.col("path").cast("long").alias("page_id"), "pos", "text", "line")
 
 
 @register("sql_shape_filter", rf"""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'select ' WHEN 1 THEN 'Insert  into ' WHEN 2 THEN 'insert ' ELSE '' END || text AS text FROM documents)
-SELECT doc_id FROM s WHERE regexp_matches(text, '{_SQLISH}')""")
+SELECT doc_id FROM s WHERE regexp_matches(text, '{tx.LOOKS_LIKE_SQL}')""")
 def sql_shape_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     verb = F.when(F.col("doc_id") % 4 == 0, "select ").when(F.col("doc_id") % 4 == 1, "Insert  into ").when(F.col("doc_id") % 4 == 2, "insert ").otherwise("")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(verb, "text").alias("text"))
@@ -330,11 +359,6 @@ def table_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.array_sort(tx.table_refs(q)), ",").alias("tables"))
 
 
-@register("json_prop", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
-
-
 @register("signature_cut", r"""WITH b AS (SELECT doc_id, replace(text, chr(10), ' ') AS flat, string_split(text, chr(10))[1] AS line FROM documents),
 c AS (SELECT doc_id, CASE WHEN regexp_matches(flat, '(?i) (as|is|return) ') THEN regexp_extract(flat, '(?is)^(.*?) (as|is|return) ', 1) ELSE line END AS s FROM b)
 SELECT doc_id, left(trim(s, ' '), 256) AS signature FROM c""")
@@ -347,17 +371,7 @@ def key_pattern_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", tx.key_pattern(F.regexp_replace("url", "[0-9]+", "%d")).alias("pattern"))
 
 
-@register("coverage_missing", """SELECT source, count(*)::BIGINT AS missing, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents d
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY source""")
+@register("coverage_missing", """SELECT DISTINCT source AS service FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    missing = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti")
-    return missing.groupBy("source").agg(F.count(F.lit(1)).alias("missing"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
-
-
-@register("sync_report", f"""WITH {EDGES}, {NODES} SELECT (SELECT count(*) FROM nodes WHERE kind = 'Service')::BIGINT AS services, (SELECT count(*) FROM nodes WHERE kind IN ('Procedure', 'Function'))::BIGINT AS defs,
-  (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT count(*) FROM edges WHERE len(prov) > 0)::BIGINT AS guarded""")
-def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = trade_graph(spark, sf_dir)
-    n = g.nodes.agg(F.count_if(F.col("kind") == "Service").alias("services"), F.count_if(F.col("kind").isin("Procedure", "Function")).alias("defs"))
-    return n.join(F.broadcast(g.edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.size("provenance") > 0).alias("guarded"))))
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.lit(True).alias("has_dump")).distinct()
+    return lookup.without_dump(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("service")).join(known, "doc_id", "left"))

@@ -54,9 +54,7 @@ def affected_json(report: Affected) -> str:
 
 
 def kind_line(nodes: DataFrame) -> str:
-    kinds = (("services", "Service"), ("procs", "Procedure"), ("funcs", "Function"), ("tables", "Table"), ("topics", "Topic"))
-    row = nodes.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds]).first()
-    return " ".join(f"{n}={row[n]}" for n, _ in kinds)
+    return graph.kind_line(nodes).first().line
 
 
 def age_of(meta: DataFrame) -> str:

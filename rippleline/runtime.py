@@ -55,10 +55,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """materialize() in buckets by a column, as many as there are shuffle partitions, sorted by it: joins on it don't move this side."""
+    spark = df.sparkSession
+    path, n = table_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "rippleline_" + path.rpartition("/")[2].replace("-", "_")
+    with _setting(spark, _CLEANUP, "true"):
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._rippleline_path, out._rippleline_table = path, table  # type: ignore[attr-defined]
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables written by materialize() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_rippleline_path", None)
+        if table := getattr(df, "_rippleline_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path:
             spark = df.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -69,9 +69,11 @@ def parse_registry(text: str) -> list[tuple[str, list[str], list[str], dict[str,
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """registry(service, publishes, consumes, provenance); a missing file is an empty registry."""
+    """registry(service, publishes, consumes, provenance); a missing file is an empty registry. The path may be on any store
+    that Spark reads."""
     text = ""
-    if path and os.path.isfile(path):
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            text = spark.read.text(path, wholetext=True).first().value
     return spark.createDataFrame(parse_registry(text), REGISTRY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from rippleline.operators import cache_keys, embedded_sql, messages, plsql
 from rippleline.operators.assemble import assemble
 from rippleline.runtime import materialize
-from rippleline.schema import FILES, RAW_DEFS, RAW_EDGES, STORE_VERSION
+from rippleline.schema import FILES, RAW_DEFS, RAW_EDGES
 from rippleline.sources.config import Config, read_registry
 from rippleline.sources.dictionary import dump_edges, dump_path, read_dump
-from rippleline.sources.files import read_tree
+from rippleline.sources.files import read_tree, scan_tree, unreadable
 from rippleline.sources.store import Store
 
 
@@ -27,6 +28,7 @@ class Report:
     invokes_dropped: int
     dynamic_tables: int
     dynamic_keys: int
+    unreadable: int
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
@@ -36,8 +38,30 @@ def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
     return out
 
 
+def build(spark: SparkSession, sql_files: DataFrame, code_files: DataFrame, dumps: list[DataFrame], services: DataFrame, registry: DataFrame, coverage: DataFrame) -> tuple[Store, DataFrame]:
+    """files of SQL and of code, raw edges of dumps, services(seq, service), registry, coverage(service, has_dump) -> the store's tables and
+    one row of counters. Files are read once, and each extractor works on the same written table of them."""
+    files = materialize(code_files, "files")
+    defs = materialize(plsql.definitions(sql_files).select(*[c.split()[0] for c in RAW_DEFS.split(", ")]), "definitions")
+    sites = messages.topic_sites(files)
+    sql = materialize(embedded_sql.sql_literals(embedded_sql.string_literals(files)), "sql-literals")
+    keys = materialize(cache_keys.accesses(cache_keys.calls(files), cache_keys.wrappers(files)), "key-accesses")
+    raw = _union([plsql.owns(defs), plsql.dynamic_edges(defs), *dumps, messages.topic_edges(sites), messages.invokes(files), embedded_sql.sql_edges(sql), cache_keys.key_edges(keys)], spark, RAW_EDGES)
+    made = assemble(services, defs, raw, registry)
+    unresolved = materialize(messages.unresolved(sites), "unresolved")
+    every = F.count(F.lit(1))
+    counted = {
+        "services": made.nodes.agg(F.count_if(F.col("kind") == "Service")), "defs": defs.agg(every), "edges": made.edges.agg(every), "unresolved": unresolved.agg(every),
+        "invokes_dropped": made.invokes_dropped, "dynamic_tables": embedded_sql.dynamic_count(sql), "dynamic_keys": keys.agg(F.count_if(F.col("key").isNull())),
+    }
+    rows = [df.toDF("n").select(F.lit(name).alias("name"), "n") for name, df in counted.items()]
+    counters = functools.reduce(DataFrame.union, rows).agg(*[F.sum(F.when(F.col("name") == x, F.col("n"))).alias(x) for x in counted])
+    meta = spark.createDataFrame([(int(time.time()),)], "synced_at long")
+    return Store(made.nodes, made.edges, made.chunks, unresolved, coverage, meta), counters
+
+
 def sync(spark: SparkSession, config: Config) -> tuple[Store, Report]:
-    """Files are read once, and each extractor works on the same written table of them."""
+    """Read what a configuration names, and build."""
     fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     exists = lambda p: fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p))
     sql_parts, code_parts, dumps, coverage, services = [], [], [], {}, []
@@ -50,21 +74,11 @@ def sync(spark: SparkSession, config: Config) -> tuple[Store, Report]:
                 dumps.append(dump_edges(read_dump(spark, dump), source.service, i))
             coverage.setdefault(source.service, found)
         else:
-            code_parts.append(read_tree(spark, source.path, source.service, i))
+            code_parts.append(scan_tree(spark, source.path, source.service, i))
             services.append((["2", f"{i:06d}"], source.service))
-    files = materialize(_union(code_parts, spark, FILES), "files")
-    defs = materialize(plsql.definitions(_union(sql_parts, spark, FILES)).select(*[c.split()[0] for c in RAW_DEFS.split(", ")]), "definitions")
-    sites = materialize(messages.topic_sites(files), "sites")
-    sql = materialize(embedded_sql.sql_literals(embedded_sql.string_literals(files)), "sql-literals")
-    keys = materialize(cache_keys.accesses(cache_keys.calls(files), cache_keys.wrappers(files)), "key-accesses")
-    registry = read_registry(spark, config.registry)
-    raw = _union([plsql.owns(defs), plsql.dynamic_edges(defs), *dumps, messages.topic_edges(sites), messages.invokes(files), embedded_sql.sql_edges(sql), cache_keys.key_edges(keys)], spark, RAW_EDGES)
-    made = assemble(spark.createDataFrame(services, "seq array<string>, service string"), defs, raw, registry)
-    nodes, edges, chunks = (materialize(x, n) for x, n in ((made.nodes, "nodes"), (made.edges, "edges"), (made.chunks, "chunks")))
-    unresolved = materialize(messages.unresolved(sites), "unresolved")
-    one = nodes.agg(F.count_if(F.col("kind") == "Service").alias("services")).first()
-    dynamic_keys = keys.where("key is null").count()
-    report = Report(one.services, defs.count(), edges.count(), unresolved.count(), made.invokes_dropped.first()[0], embedded_sql.dynamic_count(sql).first()[0], dynamic_keys)
+    scanned = materialize(_union(code_parts, spark, FILES), "scanned")
     covered = spark.createDataFrame(list(coverage.items()), "service string, has_dump boolean")
-    meta = spark.createDataFrame([(STORE_VERSION, int(time.time()))], "version int, synced_at long").drop("version")
-    return Store(nodes, edges, chunks, unresolved, covered, meta), report
+    named = spark.createDataFrame(services, "seq array<string>, service string")
+    store, counters = build(spark, _union(sql_parts, spark, FILES), scanned.where("content is not null"), dumps, named, read_registry(spark, config.registry), covered)
+    skipped = unreadable(scanned).agg(F.coalesce(F.sum("unreadable"), F.lit(0))).first()[0]
+    return store, Report(**counters.first().asDict(), unreadable=skipped)

@@ -68,6 +68,21 @@ def test_order_depth_via_and_cap(spark, case):
     assert len(got) <= cap and start not in {n for n, _, _ in got} and len({n for n, _, _ in got}) == len(got)
 
 
+@pytest.mark.parametrize("cap", [3, 200])
+def test_searches_of_many_starts_at_once(spark, cap):
+    """Each origin's order, depth, edges, guard and cap are those of its own search."""
+    import random
+
+    r = random.Random(cap)
+    rows = [(i, r.randrange(30), r.randrange(30), r.choice(KINDS), [r.randrange(3)] if r.random() < 0.4 else []) for i in range(120)]
+    tables = {0: [], 5: [1], 7: [0, 2], 29: [2], 99: []}
+    starts = spark.createDataFrame(list(tables.items()), "origin long, tables array<long>")
+    got = {}
+    for x in graph.first_reached_of_each(graph.guarded_steps(table(spark, rows)), starts, 4, cap).orderBy("origin", "ord").collect():
+        got.setdefault(x.origin, []).append((x.node, x.via, x.depth))
+    assert got == {s: f for s, t in tables.items() if (f := fifo(rows, s, 4, "impact", False, t, cap))}
+
+
 def test_uncapped_reach_of_many_starts(spark):
     import random
 
@@ -109,6 +124,15 @@ def test_bridges_and_degree(spark):
     assert (ends.producers, ends.consumers) == ("a (p:1)", "b (p:1)")
 
 
+def test_ids_and_edges_need_no_single_partition(spark, tmp_path):
+    """Ids are dense and in order over many partitions, and no exchange of rows goes to one."""
+    rows = spark.range(0, 5000, 1, 7).selectExpr("cast((id * 7919) % 5000 as string) k", "(id * 31) % 5000 at")
+    made = graph.numbered(rows, ["at", "k"])
+    assert [x.id for x in made.orderBy("at", "k").collect()] == list(range(5000))
+    assert "SinglePartition" not in made._jdf.queryExecution().toString()
+    assert graph.numbered(rows.limit(0), ["at"]).count() == 0
+
+
 def test_first_of_each_key_and_dense_ids(spark):
     rows = spark.createDataFrame([("x", 5, "late"), ("y", 1, "only"), ("x", 2, "first"), ("z", 9, None)], "k string, at int, v string").withColumn("o", F.col("at"))
     assert {r.k: r.v for r in graph.rank_first(rows, ["k"], ["o"]).collect()} == {"x": "first", "y": "only", "z": None}
