@@ -37,7 +37,7 @@ from rippleline.llm.common import drop, materialize
 
 K, CENTROIDS, SHARE, FIT_ROWS, ROUNDS, LEAST = 10, 256, 0.35, 16384, 10, 4
 #: Rows of a block: at least the first, and more once there are so many rows that blocks would be more than BLOCKS; at most the last.
-BLOCK, BLOCKS, LARGEST = 512, 256, 1 << 15
+BLOCK, BLOCKS, LARGEST = 1024, 256, 1 << 15
 
 
 def usable(v: Column) -> Column:

@@ -384,7 +384,7 @@ def brute_nearest(rows, k=10, dim=8):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [1024, 16])
 def test_neighbours_exact_when_all_is_visited(spark, monkeypatch, block):
     monkeypatch.setattr(ann, "BLOCK", block)
     r = random.Random(3)
