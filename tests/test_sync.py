@@ -170,8 +170,9 @@ def test_stream(spark, tmp_path):
     (src / "a.rs").write_text("fn nothing() {}\n")  # a new version without edges
     (src / "b.rs").write_text('c.subscribe(&["three"]);\n')
     (src / "c d+e%.rs").write_text('FutureRecord::to("four");\n')
-    os.utime(src / "a.rs", (2_000_000_000, 2_000_000_000))
-    os.utime(src / "b.rs", (1_000_000_000, 1_000_000_000))  # older than what it replaces
+    was = os.stat(src / "c d+e%.rs").st_mtime
+    os.utime(src / "a.rs", (was + 50, was + 50))
+    os.utime(src / "b.rs", (was - 50, was - 50))  # older than what it replaces
     run()
     assert ("Publishes", "four") in now()
     assert up() == (2, 0) and now() == {("Consumes", "three"), ("Publishes", "four")}
