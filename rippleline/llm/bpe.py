@@ -297,9 +297,9 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.mapInArrow(released(rare), "d long, place long, word binary").join(others.select("word", "ids"), "word")
-    found = found.select("d", F.shiftright("place", 32).cast("int").alias("h"), "place", "ids").repartition("d", "h")
+    h = F.shiftright("place", 32).cast("int")
     # Each place of a document once, however often the document is there; no shuffle in between.
-    places = found.groupBy("d", "h", "place").agg(F.first("ids").alias("ids"))
+    places = found.select("d", "place", "ids").repartition("d", h).groupBy("d", h.alias("h"), "place").agg(F.first("ids").alias("ids"))
     by_doc = places.groupBy("d", "h").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
     known = texts.mapInArrow(released(common), "d long, h int, ranks binary")
     doc_id = F.when(F.col("h").bitwiseAND(1) == 0, F.col("d"))
