@@ -151,7 +151,7 @@ def first_reached_of_each(steps: DataFrame, starts: DataFrame, max_depth: int, c
 
 def laid_out(steps: DataFrame) -> DataFrame:
     """Steps written once, in buckets by where they start: a level's join then moves its frontier, never the steps."""
-    return bucketed(steps.select("cur", "nxt").distinct(), "cur", "steps")
+    return bucketed(steps.select("cur", "nxt"), "cur", "steps")
 
 
 def reach(steps: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
