@@ -38,6 +38,8 @@ from rippleline.llm.common import drop, materialize
 K, CENTROIDS, SHARE, FIT_ROWS, ROUNDS, LEAST = 10, 256, 0.35, 16384, 10, 4
 #: Rows of a block: at least the first, and more once there are so many rows that blocks would be more than BLOCKS; at most the last.
 BLOCK, BLOCKS, LARGEST = 1024, 256, 1 << 15
+#: Pairs of centroids are taken from the heap in tiles of this side.
+TILE = 16
 
 
 def usable(v: Column) -> Column:
@@ -68,24 +70,43 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
 
 
-def visits(q: np.ndarray, first: np.ndarray, second: np.ndarray, held: dict[int, int], candidates: int) -> list[int]:
-    """Cells in order of summed distance until they hold enough vectors."""
+def counts(held: dict[int, int], cells: int) -> np.ndarray:
+    out = np.zeros(cells, np.int64)
+    out[list(held)] = list(held.values())
+    return out
+
+
+def visits(q: np.ndarray, first: np.ndarray, second: np.ndarray, held: np.ndarray | dict[int, int], candidates: int) -> list[int]:
+    """Cells that hold vectors (held: how many, by cell), in order of summed distance, until they hold enough. The heap holds tiles of pairs of the two sorted
+    lists, by their least sum. Once the tiles that were taken hold enough, the sum of the last cell needed is a bound: tiles
+    that begin within it are taken too, so no nearer cell is missed."""
+    if isinstance(held, dict):
+        held = counts(held, len(first) * len(second))
     a, b = halves(q[None])
     d, e = ((first - a) ** 2).sum(1), ((second - b) ** 2).sum(1)
     i, j = np.argsort(d, kind="stable"), np.argsort(e, kind="stable")
-    d, e, out, total = d[i], e[j], [], 0
+    d, e, i = d[i], e[j], i * len(second)
+    sums, cells, total, bound = [np.zeros(0)], [np.zeros(0, np.int64)], 0, np.inf
     heap = [(d[0] + e[0], 0, 0)]
-    while heap and total < candidates:
+    while heap and heap[0][0] <= bound:
         _, x, y = heapq.heappop(heap)
-        cell = int(i[x]) * len(second) + int(j[y])
-        if n := held.get(cell, 0):
-            out.append(cell)
-            total += n
-        if y + 1 < len(e):
-            heapq.heappush(heap, (d[x] + e[y + 1], x, y + 1))
-        if y == 0 and x + 1 < len(d):  # each pair is reached from one side only
-            heapq.heappush(heap, (d[x + 1] + e[0], x + 1, 0))
-    return out
+        s, c = d[x : x + TILE, None] + e[y : y + TILE], i[x : x + TILE, None] + j[y : y + TILE]
+        n = held[c]
+        some = n > 0
+        sums.append(s[some])
+        cells.append(c[some])
+        total += int(n.sum())
+        if bound == np.inf and total >= candidates:
+            s, n = np.concatenate(sums), held[np.concatenate(cells)]
+            order = np.argsort(s, kind="stable")
+            bound = s[order[np.searchsorted(np.cumsum(n[order]), candidates)]]
+        if y + TILE < len(e):
+            heapq.heappush(heap, (d[x] + e[y + TILE], x, y + TILE))
+        if y == 0 and x + TILE < len(d):  # each tile is reached from one side only
+            heapq.heappush(heap, (d[x + TILE] + e[0], x + TILE, 0))
+    s, c = np.concatenate(sums), np.concatenate(cells)
+    c = c[np.argsort(s, kind="stable")]
+    return c[: int(np.searchsorted(np.cumsum(held[c]), candidates)) + 1].tolist()
 
 
 def layout(held: dict[int, int], cells: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +147,12 @@ def rerank(q: np.ndarray, cells: list[np.ndarray], v: np.ndarray, cell: np.ndarr
     a, b = q / scale, v / scale
     near = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
     slack, out = 1e-9 * q.shape[1], []
+    known, code = np.unique(cell, return_inverse=True)
     for i, row in enumerate(near):
-        seen = np.flatnonzero(np.isin(cell, cells[i]))
+        at = np.minimum(np.searchsorted(known, cells[i]), len(known) - 1)
+        visited = np.zeros(len(known), bool)
+        visited[at[known[at] == cells[i]]] = True
+        seen = np.flatnonzero(visited[code])
         if len(seen) > k:
             seen = seen[row[seen] <= np.partition(row[seen], k - 1)[k - 1] + slack]
         exact = distances(q[i], v[seen])
@@ -170,17 +195,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = CE
     place, spread = layout(held, cells, block_size(n))
     part, parts = layout(asking, cells, block_size(n_asked))
     enough = max(LEAST * k, int(np.ceil(share * n)))
+    filled = counts(held, cells)
 
     @F.pandas_udf("array<struct<block int, cells binary>>")
     def visit(vs: pd.Series) -> pd.Series:
         rows = []
         for v in vs:
-            at = np.sort(np.array(visits(np.asarray(v, np.float64), first, second, held, enough), np.int32))
-            by = {}
-            for c, b, m in zip(at.tolist(), place[at].tolist(), spread[at].tolist()):
-                for i in range(b, b + m):
-                    by.setdefault(i, []).append(c)
-            rows.append([{"block": b, "cells": np.array(x, "<i4").tobytes()} for b, x in by.items()])
+            at = np.sort(np.array(visits(np.asarray(v, np.float64), first, second, filled, enough), "<i4"))
+            # Places follow cells, so cells of one block are neighbours; a cell that is spread has its blocks to itself.
+            alone = at[spread[at] > 1]
+            at = at[spread[at] == 1]
+            runs = np.split(at, np.flatnonzero(np.diff(place[at])) + 1) if len(at) else []
+            row = [{"block": int(place[x[0]]), "cells": x.tobytes()} for x in runs]
+            rows.append(row + [{"block": int(place[c]) + i, "cells": c.tobytes()} for c in alone for i in range(spread[c])])
         return pd.Series(rows)
 
     def dealt(base: np.ndarray, over: np.ndarray, column: str) -> Column:

@@ -441,6 +441,23 @@ def test_visits_go_by_summed_distance():
     assert len(ann.visits(q, first, second, {c: 1 for c in range(0, 30, 2)}, 4)) == 4
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_visits_over_many_tiles(seed):
+    """Lists of many tiles, empty and crowded cells: the cells of all sums sorted, up to the one that makes it enough."""
+    r = np.random.default_rng(seed)
+    m, n = int(r.integers(1, 90)), int(r.integers(1, 90))
+    first, second, q = r.normal(size=(m, 3)), r.normal(size=(n, 4)), r.normal(size=7)
+    held = {int(c): int(r.integers(1, 50)) for c in r.choice(m * n, int(r.integers(1, m * n + 1)), replace=False)}
+    enough = int(r.integers(1, sum(held.values()) + 20))
+    d = (((first - q[:3]) ** 2).sum(1)[:, None] + ((second - q[3:]) ** 2).sum(1)[None]).ravel()
+    want, total = [], 0
+    for c in sorted(held, key=lambda c: d[c]):
+        if total < enough:
+            want.append(c)
+            total += held[c]
+    assert ann.visits(q, first, second, held, enough) == want == ann.visits(q, first, second, ann.counts(held, m * n), enough)
+
+
 def test_pipeline_against_stages(spark, sf):
     import corpus_pipeline
 
