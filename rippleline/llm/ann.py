@@ -188,7 +188,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = CE
     classes = numbered.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = materialize(classes.select("v", "ids", cell("v").alias("cell")), "entries")
     asked = materialize(fine.where(is_query).select("vec_id", "v"), "asked")
-    wanted = materialize(asked.select(F.col("v").alias("q")).distinct().select("q", cell("q").alias("cell")), "wanted")
+    wanted = materialize(asked.select(F.col("v").alias("q")).distinct().select(F.monotonically_increasing_id().alias("n"), "q", cell("q").alias("cell")), "wanted")
     # At most centroids^2 rows each.
     held, asking = (dict(tuple(r) for r in t.groupBy("cell").count().collect()) for t in (entries, wanted))
     n, n_asked = sum(held.values()), sum(asking.values())
@@ -218,26 +218,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = CE
         return block("cell", F.pmod(F.xxhash64(column), F.lit(1 << 30)))
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["q", "ids", "score", "own"]
+        names = ["n", "ids", "score", "own"]
         if left.empty or right.empty:
             return pd.DataFrame({x: [] for x in names})
         q, v = (np.stack(x.to_list()).astype(np.float64) for x in (left["q"], right["v"]))
         visited = [np.frombuffer(x, "<i4") for x in left["cells"]]
         found = rerank(q, visited, v, right["cell"].to_numpy(), np.array([x[0] for x in right["ids"]]), k + 1)
         i, j = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
-        return pd.DataFrame({"q": left["q"].iloc[i].tolist(), "ids": right["ids"].iloc[j].tolist(), "score": [x[2] for x in found], "own": (q[i] == v[j]).all(1)}, columns=names)
+        return pd.DataFrame({"n": left["n"].iloc[i].tolist(), "ids": right["ids"].iloc[j].tolist(), "score": [x[2] for x in found], "own": (q[i] == v[j]).all(1)}, columns=names)
 
     # Visits take some hundredths of a second each, so queries are dealt out evenly, however few bytes they are.
-    routed = wanted.select("q", dealt(part, parts, "q").alias("part")).repartition(partitions, "q").withColumn("at", F.explode(visit("q")))
-    left = materialize(routed.select("q", "part", "at.block", "at.cells"), "visits")
+    routed = wanted.select("n", "q", dealt(part, parts, "q").alias("part")).repartition(partitions, "n").withColumn("at", F.explode(visit("q")))
+    left = materialize(routed.select("n", "q", "part", "at.block", "at.cells"), "visits")
     pairs = left.select(F.col("part").alias("_part"), F.col("block").alias("_block")).distinct()
     right = entries.select("v", "ids", "cell", dealt(place, spread, "v").alias("at")).join(pairs, F.col("at") == F.col("_block")).select("v", "ids", "cell", "_part", "_block")
-    near = left.groupBy("part", "block").cogroup(right.groupBy("_part", "_block")).applyInPandas(compare, "q array<double>, ids array<long>, score double, own boolean")
-    closest = Window.partitionBy("q").orderBy("score", F.col("ids")[0])
+    near = left.groupBy("part", "block").cogroup(right.groupBy("_part", "_block")).applyInPandas(compare, "n long, ids array<long>, score double, own boolean")
+    closest = Window.partitionBy("n").orderBy("score", F.col("ids")[0])
     near = near.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= k + 1)
-    results = materialize(near.groupBy("q").agg(F.collect_list(F.struct("score", "ids", "own")).alias("near")), "nearest")  # k + 1 each
-    drop(entries, wanted, left)
+    results = materialize(near.groupBy("n").agg(F.collect_list(F.struct("score", "ids", "own")).alias("near")), "nearest")  # k + 1 each
+    drop(entries, left)
     each = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["score"].alias("score"), i.alias("vec_id"), x["own"].alias("own")))))
-    mine = asked.withColumnRenamed("vec_id", "query_id").join(results.select("q", each.alias("near")), F.col("v") == F.col("q"))
+    mine = asked.withColumnRenamed("vec_id", "query_id").join(wanted.select("n", "q"), F.col("v") == F.col("q")).join(results.select("n", each.alias("near")), "n")
     others = F.slice(F.array_sort(F.filter("near", lambda x: ~(x["own"] & (x["vec_id"] == F.col("query_id"))))), 1, k)
     return mine.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
