@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -76,6 +76,13 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(row, *text).alias("a"), F.xxhash64(F.lit("b"), *text, row).alias("b"))
 
 
+def other_columns(df: DataFrame, made: Iterable[str]) -> tuple[list[Column], str]:
+    """The columns of df that a result keeps beside those it makes, and a helper column's name that clashes with none. A column named as one
+    that is made, in whatever case, gives way to it."""
+    taken = {c.lower() for c in made}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], fresh([*df.columns, *made], "_found")
+
+
 @contextmanager
 def opened(path: str, mode: str):
     """A file of a store that tasks share, by its full path (a plain one, or file:, hdfs:, s3:, gs:): "rb" or "wb"."""

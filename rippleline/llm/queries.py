@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleline.llm import ann, bpe, chat, langid, mixing, quality, simhash, token_shards, toxicity, warc
+from rippleline.llm import ann, bpe, changepoints, chat, langid, mixing, ngram_join, quality, runs, simhash, token_shards, toxicity, warc
 from rippleline.llm.common import materialize, n_words, table
 
 
@@ -62,6 +62,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.of_vendors(table(spark, sf_dir, "sale_lines"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.with_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,8 +81,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_shards, op3_simhash, op4_language_id, op5_warc, op6_chat, op7_toxicity, op8_neighbours, op9_bpe, op10_quality, pipeline)
-}
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_token_shards, op3_simhash, op4_language_id, op5_warc, op6_chat, op7_toxicity, op8_neighbours, op9_bpe, op10_quality,
+        op11_word_runs, op12_change_points, op13_ngram_join, pipeline,
+    )
+}
 
 _OP1 = r"""
 WITH d AS (
