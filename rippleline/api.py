@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rippleline import render
 from rippleline.functions.text import lines
-from rippleline.operators import graph, lookup
+from rippleline.operators import adjacency, graph, lookup
+from rippleline.operators.adjacency import Walk
 from rippleline.operators.diff import Affected, affected, hunks
 from rippleline.sources.config import Config
 from rippleline.sources.dictionary import dictionary_query
@@ -31,6 +32,8 @@ class Engine:
         if self.config is not None:
             found = versions(self.spark, self.config.store)
             if found and found[-1] != self._version:
+                if self._store is not None and self._store.steps is not None:
+                    self._store.steps.close()
                 self._store, self._version = load(self.spark, self.config.store), found[-1]
         if self._store is None:
             self._store = load(self.spark, self.config.store if self.config else "")
@@ -48,22 +51,22 @@ class Engine:
             raise NotFound(message)
         return row
 
-    def _reached(self, steps: DataFrame, start: int, depth: int) -> DataFrame:
+    def _reached(self, steps: DataFrame | Walk, start: int, depth: int) -> DataFrame:
         found = graph.first_reached(steps, start, depth)
         return graph.decorate(graph.with_order(found, steps), self.store.nodes, self.store.edges)
 
     def callers(self, name: str, depth: int = 1, include_weak: bool = False) -> DataFrame:
-        start = self.find(name).id
-        return self._reached(graph.upstream_steps(self.store.edges, include_weak), start, depth)
+        start, s = self.find(name).id, self.store
+        return self._reached(s.steps.upstream(include_weak) if s.steps else graph.upstream_steps(s.edges, include_weak), start, depth)
 
     def deps(self, name: str, depth: int = 1, include_weak: bool = False) -> DataFrame:
-        start = self.find(name).id
-        return self._reached(graph.downstream_steps(self.store.edges, include_weak), start, depth)
+        start, s = self.find(name).id, self.store
+        return self._reached(s.steps.downstream(include_weak) if s.steps else graph.downstream_steps(s.edges, include_weak), start, depth)
 
     def impact(self, name: str, depth: int = graph.IMPACT_DEPTH, include_weak: bool = False) -> DataFrame:
-        start = self.find(name).id
-        tables = graph.origin_tables(self.store.nodes, self.store.edges, start)
-        steps = graph.impact_steps(self.store.edges, include_weak, graph.origin_column(tables, self.store.edges))
+        start, s = self.find(name).id, self.store
+        tables = graph.origin_tables(s.nodes, s.steps or s.edges, start)
+        steps = s.steps.impact(include_weak, tables) if s.steps else graph.impact_steps(s.edges, include_weak, graph.origin_column(tables, s.edges))
         return self._reached(steps, start, depth)
 
     def topic(self, name: str) -> tuple[str, str]:
@@ -95,7 +98,8 @@ class Engine:
         if include_path and row.chunk is not None:
             c = s.chunks.where(F.col("id") == row.chunk).select("path", "line_start", "line_end").first()
             out += f" | def {c.path}:{c.line_start}-{c.line_end}"
-        d = s.edges.agg(F.count_if(F.col("dst") == row.id).alias("i"), F.count_if(F.col("src") == row.id).alias("o")).first()
+        ends = s.steps.steps_of(row.id) if s.steps else adjacency.both_ways(s.edges).where(F.col("cur") == row.id)
+        d = ends.agg(F.count_if(F.col("dir") == 1).alias("i"), F.count_if(F.col("dir") == 0).alias("o")).first()
         return f"{out} | in={d.i} out={d.o}"
 
     def chunk(self, name: str, signature_only: bool = True, max_lines: int = 40) -> str:
@@ -114,7 +118,11 @@ class Engine:
         if not diff:
             raise ValueError("no diff given: pipe the output of git diff")
         found = hunks(self.spark, diff)
-        return None if found.isEmpty() else affected(found, self.store.nodes, self.store.edges, self.store.chunks)
+        return None if found.isEmpty() else self._affected(found)
+
+    def _affected(self, found: DataFrame) -> Affected:
+        s = self.store
+        return affected(found, s.nodes, s.edges, s.chunks, steps=s.steps.impact() if s.steps else None)
 
     @staticmethod
     def dictionary_query(schema: str) -> str:

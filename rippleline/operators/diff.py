@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleline.operators import graph
+from rippleline.operators.adjacency import Walk
 from rippleline.operators.graph import CAP, IMPACT_DEPTH, rank_first
 from rippleline.runtime import materialize
 
@@ -66,20 +67,20 @@ class Affected:
     cross_service: list[str]
 
 
-def blast_radius(changed: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = IMPACT_DEPTH, cap: int = CAP) -> DataFrame:
+def blast_radius(changed: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = IMPACT_DEPTH, cap: int = CAP, steps: Walk | None = None) -> DataFrame:
     """(at, node, name, kind, depth, cross): what changed symbols reach, each search capped and guarded as a single one is, in order of first
     occurrence; cross says that it is a service that didn't change itself. All searches run as one, level by level."""
     starts = changed.select(F.col("node").alias("origin"), F.col("at").alias("place"))
-    found = graph.first_reached_of_each(graph.guarded_steps(edges), graph.origins(nodes, edges, starts), depth, cap)
+    found = graph.first_reached_of_each(steps or graph.guarded_steps(edges), graph.origins(nodes, edges, starts), depth, cap)
     first = found.join(starts, "origin").groupBy("node").agg(F.min(F.struct("place", "ord", "depth")).alias("at"))
     named = first.join(nodes.select(F.col("id").alias("node"), "name", "kind"), "node").join(starts.select(F.col("origin").alias("node"), F.lit(True).alias("own")), "node", "left")
     return named.select("at", "node", "name", "kind", F.col("at.depth").alias("depth"), ((F.col("kind") == "Service") & F.col("own").isNull()).alias("cross"))
 
 
-def affected(found: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, depth: int = IMPACT_DEPTH) -> Affected:
+def affected(found: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, depth: int = IMPACT_DEPTH, steps: Walk | None = None) -> Affected:
     """The report of a diff: at most `cap` rows for each changed symbol, so it is put together on the driver."""
     changed = materialize(changed_symbols(found, nodes, edges, chunks), "changed")
-    rows = blast_radius(changed, nodes, edges, depth).orderBy("at").collect()
+    rows = blast_radius(changed, nodes, edges, depth, steps=steps).orderBy("at").collect()
     blast = [{"name": r.name, "kind": r.kind, "depth": r.depth} for r in rows]
     listed = [{k: c[k] for k in ("name", "kind", "file", "lines", "source")} for c in changed.orderBy("at").collect()]
     return Affected(listed, blast, [r.name for r in rows if r.cross])

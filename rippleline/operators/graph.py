@@ -10,8 +10,11 @@ Two executions:
   nodes; a level is one filter of the step table by the frontier's keys, one partial aggregation, and
   one top-k. Nothing is shuffled but candidate steps of the frontier.
 - `first_reached_of_each` does the same for any number of starts at once, each with its own cap and guard.
-- `reach` has no cap and any number of starts. Steps are written once, in buckets; levels are joins of written tables, whose known
-  sizes let the planner broadcast a small frontier and shuffle a large one.
+- `reach` has no cap and any number of starts. Levels are joins of written tables, whose known sizes let the planner broadcast a small
+  frontier and shuffle a large one.
+
+Steps come from a table of edges, or as a Walk over the adjacency that the store keeps (operators/adjacency.py). A Walk is looked up by bucket for a
+small frontier, joined without moving it for a large one, and nothing is written for a query but its frontiers.
 
 Discovery order is that of a first-in first-out search that scans a node's outgoing edges by id, then its
 incoming ones: within a level, by order of the node it was reached from, direction, edge id.
@@ -26,6 +29,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleline.operators.adjacency import Adjacency, Walk
 from rippleline.runtime import bucketed, drop, materialize
 from rippleline.schema import impact_forward, is_weak
 
@@ -67,8 +71,9 @@ def impact_steps(edges: DataFrame, include_weak: bool = False, origin: Column |
     return _steps(guard(_usable(edges, include_weak), origin), impact_forward(F.col("kind")))
 
 
-def origin_tables(nodes: DataFrame, edges: DataFrame, start: Any, most: int = 10_000) -> list:
-    """Tables that a start stands for: itself if a table, what a procedure or function touches directly."""
+def origin_tables(nodes: DataFrame, edges: DataFrame | Adjacency, start: Any, most: int = 10_000) -> list:
+    """Tables that a start stands for: itself if a table, what a procedure or function touches directly. From an adjacency, only the start's
+    own steps are read."""
     found = nodes.where(F.col("id") == F.lit(start)).select("kind").first()
     if found is None:
         return []
@@ -76,7 +81,11 @@ def origin_tables(nodes: DataFrame, edges: DataFrame, start: Any, most: int = 10
         return [start]
     if found.kind not in ("Procedure", "Function"):
         return []
-    rows = edges.where((F.col("src") == F.lit(start)) & (F.col("kind") == "Touches")).select("dst").distinct().limit(most + 1).collect()
+    if isinstance(edges, Adjacency):
+        touched = edges.steps_of(start).where("dir = 0 AND kind = 'Touches'").select(F.col("nxt").alias("dst"))
+    else:
+        touched = edges.where((F.col("src") == F.lit(start)) & (F.col("kind") == "Touches")).select("dst")
+    rows = touched.distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{start} touches more than {most} tables")
     return sorted(r.dst for r in rows)
@@ -86,7 +95,11 @@ def origin_column(tables: Sequence, edges: DataFrame) -> Column:
     return F.array(*[F.lit(t) for t in tables]).cast(edges.schema["provenance"].dataType)
 
 
-def first_reached(steps: DataFrame, start: Any, max_depth: int, cap: int = CAP) -> list[tuple[Any, Any, int]]:
+def _from_nodes(steps: DataFrame | Walk, nodes: list) -> DataFrame:
+    return steps.of(nodes) if isinstance(steps, Walk) else steps.where(F.col("cur").isin(nodes))
+
+
+def first_reached(steps: DataFrame | Walk, start: Any, max_depth: int, cap: int = CAP) -> list[tuple[Any, Any, int]]:
     """[(node, via edge, depth)] in order of discovery, at most cap; the start itself isn't reported."""
     found: list[tuple[Any, Any, int]] = []
     frontier, seen = [start], [start]
@@ -96,7 +109,7 @@ def first_reached(steps: DataFrame, start: Any, max_depth: int, cap: int = CAP)
         key = steps.schema["cur"].dataType
         place = F.element_at(F.create_map(*[F.lit(x).cast(y) for i, n in enumerate(frontier) for x, y in ((n, key), (i, "int"))]), F.col("cur"))
         level = (
-            steps.where(F.col("cur").isin(frontier) & ~F.col("nxt").isin(seen))
+            _from_nodes(steps, frontier).where(~F.col("nxt").isin(seen))
             .groupBy("nxt").agg(F.min(F.struct(place.alias("at"), "dir", "edge_id")).alias("via"))
             .orderBy("via").limit(cap - len(found)).select("nxt", "via.edge_id").collect()
         )
@@ -126,55 +139,75 @@ def origins(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.select("origin").distinct().join(found, "origin", "left").select("origin", F.coalesce("tables", none).alias("tables"))
 
 
-def first_reached_of_each(steps: DataFrame, starts: DataFrame, max_depth: int, cap: int = CAP) -> DataFrame:
-    """guarded_steps() and (origin, tables) -> (origin, ord, node, via, depth): first_reached() of every origin at once, each with its guard
-    and its cap. A level is a join and a top-k an origin, however many origins there are."""
+def top_of_each(candidates: DataFrame, cap: int) -> DataFrame:
+    """candidates(origin, at, had, ...) with their rank r: the first cap - had of each origin. The bound on r alone is what lets each task keep
+    its first `cap` rows before any are moved."""
+    ranked = candidates.withColumn("r", F.row_number().over(Window.partitionBy("origin").orderBy("at")))
+    return ranked.where(F.col("r") <= cap).where(F.col("r") + F.col("had") <= cap)
+
+
+def first_reached_of_each(steps: DataFrame | Walk, starts: DataFrame, max_depth: int, cap: int = CAP) -> DataFrame:
+    """guarded_steps(), or an unguarded Walk, and (origin, tables) -> (origin, ord, node, via, depth): first_reached() of every origin at once, each
+    with its guard and its cap. A level is a join and a top-k an origin, however many origins there are; of an origin's candidates each task
+    hands on the first `cap` at most."""
     none = F.lit(None).cast(steps.schema["edge_id"].dataType)
     level = materialize(starts.select("origin", "tables", F.col("origin").alias("node"), F.lit(0).cast("long").alias("ord"), none.alias("via"), F.lit(0).alias("depth")), "level")
-    levels = [level]
+    levels, size = [level], level.count()
     for depth in range(1, max_depth + 1):
         visited = functools.reduce(DataFrame.union, levels).select("origin", "node")
         full = visited.groupBy("origin").agg((F.count(F.lit(1)) - 1).alias("had"))
         closed = (F.size("tables") > 0) & (F.size("needs") > 0) & ~F.arrays_overlap("needs", "tables")
-        fresh = (
-            steps.join(level.select("origin", "tables", "node", "ord"), F.col("cur") == F.col("node")).where(~closed)
+        candidates = (
+            _expanded(steps, level.select("origin", "tables", "node", "ord"), size).where(~closed)
             .groupBy("origin", "nxt").agg(F.min(F.struct("ord", "dir", "edge_id")).alias("at"), F.first("tables").alias("tables"))
             .withColumnRenamed("nxt", "node").join(visited, ["origin", "node"], "left_anti").join(full, "origin")
-            .withColumn("r", F.row_number().over(Window.partitionBy("origin").orderBy("at"))).where(F.col("r") + F.col("had") <= cap)
         )
+        fresh = top_of_each(candidates, cap)
         level = materialize(fresh.select("origin", "tables", "node", (F.col("had") + F.col("r")).alias("ord"), F.col("at.edge_id").alias("via"), F.lit(depth).alias("depth")), "level")
-        if level.isEmpty():
+        size = level.count()
+        if not size:
             break
         levels.append(level)
     return functools.reduce(DataFrame.union, levels).where("depth > 0").select("origin", "ord", "node", "via", "depth")
 
 
+def _expanded(steps: DataFrame | Walk, frontier: DataFrame, size: int) -> DataFrame:
+    """frontier(node, ...) with the steps from each of its nodes."""
+    return steps.join(frontier, size) if isinstance(steps, Walk) else steps.join(frontier, F.col("cur") == F.col("node")).drop("cur")
+
+
 def laid_out(steps: DataFrame) -> DataFrame:
     """Steps written once, in buckets by where they start: a level's join then moves its frontier, never the steps."""
     return bucketed(steps.select("cur", "nxt"), "cur", "steps")
 
 
-def reach(steps: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+def reach(steps: DataFrame | Walk, starts: DataFrame, max_depth: int) -> DataFrame:
     """starts(origin, node) -> (origin, node, depth): all that each origin reaches, at its least depth.
     Starts aren't reported for their own origin."""
-    step = laid_out(steps) if max_depth > 1 else steps.select("cur", "nxt")
+    if isinstance(steps, Walk):
+        step = Walk(steps.rows.select("slot", "cur", "nxt"), steps.hubs)
+    else:
+        step = laid_out(steps) if max_depth > 1 else steps.select("cur", "nxt")
     frontier = starts.select("origin", "node", F.lit(0).alias("depth")).distinct()
-    visited = frontier
+    visited, size = frontier, frontier.count()
     for depth in range(1, max_depth + 1):
         fresh = (
-            frontier.join(step, F.col("node") == F.col("cur")).select("origin", F.col("nxt").alias("node")).distinct()
+            _expanded(step, frontier.select("origin", "node"), size).select("origin", F.col("nxt").alias("node")).distinct()
             .join(visited.select("origin", "node"), ["origin", "node"], "left_anti")
             .select("origin", "node", F.lit(depth).alias("depth"))
         )
         frontier = materialize(fresh, "frontier")
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
+            drop(frontier)
             break
         visited = visited.union(frontier)
-    drop(step)
+    if not isinstance(step, Walk):
+        drop(step)
     return visited.where("depth > 0")
 
 
-def with_order(reached: list[tuple[Any, Any, int]], like: DataFrame) -> DataFrame:
+def with_order(reached: list[tuple[Any, Any, int]], like: DataFrame | Walk) -> DataFrame:
     """first_reached() as a table (ord, node, via, depth)."""
     spark = like.sparkSession
     kind, via = like.schema["cur"].dataType.simpleString(), like.schema["edge_id"].dataType.simpleString()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rippleline.functions import text as tx
 from rippleline.operators import assemble, diff, embedded_sql, graph, lookup, plsql
-from rippleline.plans.tradegraph import trade_graph
+from rippleline.plans.tradegraph import trade_graph, trade_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,15 +60,22 @@ def _from(spark: SparkSession, steps: DataFrame, start: str, depth: int) -> Data
     return graph.reach(steps, _starts(spark, start), depth).select("node", "depth")
 
 
+@register("graph_adjacency", f"""WITH {EDGES}, s AS (SELECT 0 AS dir, kind, src AS cur FROM edges WHERE src <> dst UNION ALL SELECT 1, kind, dst FROM edges WHERE src <> dst)
+SELECT dir, kind, count(*)::BIGINT AS steps, count(DISTINCT cur)::BIGINT AS nodes FROM s GROUP BY dir, kind""")
+def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency that all searches use, both directions; the first of them to run writes it."""
+    return trade_steps(spark, sf_dir).rows.groupBy("dir", "kind").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("cur").alias("nodes"))
+
+
 @register("impact_region", _walk("R0", 5))
 def impact_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from(spark, graph.impact_steps(trade_graph(spark, sf_dir).edges), "R0", 5)
+    return _from(spark, trade_steps(spark, sf_dir).impact(), "R0", 5)
 
 
 def _guarded(spark: SparkSession, sf_dir: str, start: str, depth: int) -> DataFrame:
-    g = trade_graph(spark, sf_dir)
-    tables = graph.origin_tables(g.nodes, g.edges, start)
-    return _from(spark, graph.impact_steps(g.edges, False, graph.origin_column(tables, g.edges)), start, depth)
+    steps = trade_steps(spark, sf_dir)
+    tables = graph.origin_tables(trade_graph(spark, sf_dir).nodes, steps, start)
+    return _from(spark, steps.impact(origin=tables), start, depth)
 
 
 _GUARD = "kind <> 'Owns' AND (kind <> 'Publishes' OR len(prov) = 0 OR list_has_any(prov, {0}))"
@@ -86,27 +93,27 @@ def impact_nation_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("impact_part_consumers_only", _walk("P1", 1))
 def impact_part_consumers_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from(spark, graph.impact_steps(trade_graph(spark, sf_dir).edges), "P1", 1)
+    return _from(spark, trade_steps(spark, sf_dir).impact(), "P1", 1)
 
 
 @register("impact_weak_order", _walk("O1", 4, where="true"))
 def impact_weak_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from(spark, graph.impact_steps(trade_graph(spark, sf_dir).edges, True), "O1", 4)
+    return _from(spark, trade_steps(spark, sf_dir).impact(True), "O1", 4)
 
 
 @register("impact_key_readers_writers", _walk("K:view", 3))
 def impact_key_readers_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from(spark, graph.impact_steps(trade_graph(spark, sf_dir).edges), "K:view", 3)
+    return _from(spark, trade_steps(spark, sf_dir).impact(), "K:view", 3)
 
 
 @register("upstream_region_d2", _walk("R1", 2, forward="false"))
 def upstream_region_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from(spark, graph.upstream_steps(trade_graph(spark, sf_dir).edges), "R1", 2)
+    return _from(spark, trade_steps(spark, sf_dir).upstream(), "R1", 2)
 
 
 @register("downstream_supplier_d3", _walk("S1", 3, forward="true"))
 def downstream_supplier_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from(spark, graph.downstream_steps(trade_graph(spark, sf_dir).edges), "S1", 3)
+    return _from(spark, trade_steps(spark, sf_dir).downstream(), "S1", 3)
 
 
 def _capped(starts: str, depth: int, guarded: bool, tail: str) -> str:
@@ -127,7 +134,7 @@ def _capped(starts: str, depth: int, guarded: bool, tail: str) -> str:
 
 def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = trade_graph(spark, sf_dir)
-    steps = graph.impact_steps(g.edges)
+    steps = trade_steps(spark, sf_dir).impact()
     return graph.decorate(graph.with_order(graph.first_reached(steps, "R0", 5), steps), g.nodes, g.edges)
 
 
@@ -155,7 +162,7 @@ _MULTI = f"""WITH RECURSIVE {EDGES}, steps AS (
 
 
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(graph.impact_steps(trade_graph(spark, sf_dir).edges), _starts(spark, *_ORIGINS), 3)
+    return graph.reach(trade_steps(spark, sf_dir).impact(), _starts(spark, *_ORIGINS), 3)
 
 
 @register("multi_source_affected", _MULTI + " SELECT node, min(depth)::INTEGER AS depth FROM r WHERE depth > 0 AND node <> origin GROUP BY node")
@@ -171,7 +178,7 @@ SELECT node, name, kind, depth, kind = 'Service' AND node NOT IN (SELECT origin
 def _blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = trade_graph(spark, sf_dir)
     changed = spark.createDataFrame([(n, int(n[1:])) for n in _ORIGINS], "node string, at int")
-    return diff.blast_radius(changed, g.nodes, g.edges, 4)
+    return diff.blast_radius(changed, g.nodes, g.edges, 4, steps=trade_steps(spark, sf_dir).impact())
 
 
 @register("affected_blast", _capped(_STARTS, 4, True, _BLAST))

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleline.runtime import materialize
+from rippleline.operators import adjacency
+from rippleline.operators.adjacency import Adjacency
+from rippleline.runtime import materialize, table_path
 
 
 @dataclass(frozen=True)
@@ -76,3 +78,16 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> TradeGraph:
     if key not in _BUILT:
         _BUILT[key] = TradeGraph(nodes(spark, sf_dir), materialize(edges(spark, sf_dir), "trade-edges"))
     return _BUILT[key]
+
+
+_STEPS: dict[tuple[str, str], Adjacency] = {}
+
+
+def trade_steps(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The graph's adjacency, written once a session as a store keeps it; query graph_adjacency times it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STEPS:
+        path = table_path(spark, "trade-steps")
+        adjacency.write(trade_graph(spark, sf_dir).edges, path)
+        _STEPS[key] = adjacency.read(spark, path)
+    return _STEPS[key]
