@@ -106,8 +106,3 @@ def age(seconds: Column) -> Column:
         .when(seconds < 86400, F.format_string("%dh ago", (seconds / 3600).cast("long")))
         .otherwise(F.format_string("%dd ago", (seconds / 86400).cast("long")))
     )
-
-
-def short_path(path: Column) -> Column:
-    """The last two components... and what the second still holds."""
-    return F.substring_index(path, "/", -3)

@@ -8,9 +8,7 @@ join on (service, method). A key that can't be told is counted, not guessed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from rippleline.functions.text import PRINTF
 from rippleline.operators.graph import rank_first
 from rippleline.operators.lexer import Token, closing, opening, split_args, tokens, unquote
 from rippleline.operators.messages import PATTERNS
+from rippleline.operators.scan import table_function
 
 # Verbs that read and verbs that write.
 READ_VERBS = (
@@ -229,25 +228,19 @@ def scan_calls(lang: str, source: str) -> list[tuple[int, int, str | None, str |
 
 
 def calls(files: DataFrame) -> DataFrame:
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for f in frame.itertuples(index=False):
-                rows = [(f.service, f.source_ord, f.path, *c) for c in scan_calls(f.lang, f.content)]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in CALLS.split(", ")])
+    def scan(service: str, source_ord: int, path: str, lang: str, content: str) -> list[tuple]:
+        return [(service, source_ord, path, *c) for c in scan_calls(lang, content)]
 
-    return files.where(F.col("lang").isin(*PATTERNS)).select("service", "source_ord", "path", "lang", "content").mapInPandas(scan, CALLS)
+    return table_function(files.where(F.col("lang").isin(*PATTERNS)), ("service", "source_ord", "path", "lang", "content"), scan, CALLS)
 
 
 def wrappers(files: DataFrame) -> DataFrame:
     """(service, method, kind, idx): the first definition of a name in a service holds."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for f in frame.itertuples(index=False):
-                rows = [(f.service, f.path, *w) for w in go_wrappers(tokens("go", f.content))]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in WRAPPERS.split(", ")])
+    def scan(service: str, path: str, content: str) -> list[tuple]:
+        return [(service, path, *w) for w in go_wrappers(tokens("go", content))]
 
-    found = files.where("lang = 'go'").select("service", "path", "content").mapInPandas(scan, WRAPPERS)
+    found = table_function(files.where("lang = 'go'"), ("service", "path", "content"), scan, WRAPPERS)
     return rank_first(found, ["service", "method"], ["path", "pos"]).select("service", "method", "kind", "idx")
 
 

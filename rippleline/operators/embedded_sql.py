@@ -3,15 +3,13 @@ Python; classifying and reading them are Column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleline.functions.text import dynamic_tables, looks_like_sql, proc_calls, squeeze, table_refs
 from rippleline.operators.lexer import literals
 from rippleline.operators.messages import PATTERNS
+from rippleline.operators.scan import table_function
 
 _LITERALS = "service string, source_ord int, path string, pos int, text string, line int"
 
@@ -19,13 +17,10 @@ _LITERALS = "service string, source_ord int, path string, pos int, text string,
 def string_literals(files: DataFrame) -> DataFrame:
     """(service, source_ord, path, pos, text, line), one row a literal."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for f in frame.itertuples(index=False):
-                rows = [(f.service, f.source_ord, f.path, i, text, line) for i, (text, line) in enumerate(literals(f.lang, f.content))]
-                yield pd.DataFrame(rows, columns=["service", "source_ord", "path", "pos", "text", "line"])
+    def scan(service: str, source_ord: int, path: str, lang: str, content: str) -> list[tuple]:
+        return [(service, source_ord, path, i, text, line) for i, (text, line) in enumerate(literals(lang, content))]
 
-    return files.where(F.col("lang").isin(*PATTERNS)).select("service", "source_ord", "path", "lang", "content").mapInPandas(scan, _LITERALS)
+    return table_function(files.where(F.col("lang").isin(*PATTERNS)), ("service", "source_ord", "path", "lang", "content"), scan, _LITERALS)
 
 
 def sql_literals(found: DataFrame) -> DataFrame:

@@ -174,12 +174,23 @@ def x_dynamic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accesses(spark, sf_dir).where("key is null").select("service", "kind", "line")
 
 
-@register("x_key_verbs", """SELECT verb, kind FROM (VALUES """ + ", ".join(f"('{v}', '{k}')" for v, k in sorted(cache_keys.VERBS.items())) + """) t(verb, kind)""")
+# Verbs that read and verbs that write, stated apart from those of the operator.
+_VERBS_SQL = """SELECT unnest(string_split('GET GETEX GETRANGE MGET STRLEN EXISTS TYPE TTL PTTL HGET HGETALL HMGET HKEYS HVALS HEXISTS HLEN LRANGE LINDEX LLEN LPOS SMEMBERS SISMEMBER SCARD SRANDMEMBER ZRANGE ZSCORE ZRANK ZCARD ZRANGEBYSCORE ZCOUNT KEYS SCAN BITCOUNT DUMP', ' ')) AS verb, 'ReadsKey' AS kind
+  UNION ALL SELECT unnest(string_split('SET SETEX SETNX SETXX MSET MSETNX GETSET GETDEL APPEND DEL UNLINK EXPIRE EXPIREAT PEXPIRE PERSIST RENAME RENAMENX SETRANGE SETBIT INCR INCRBY DECR DECRBY INCRBYFLOAT HSET HMSET HSETNX HDEL HINCRBY HINCRBYFLOAT LPUSH RPUSH LPUSHX RPUSHX LPOP RPOP LSET LREM LTRIM SADD SREM SPOP SMOVE ZADD ZREM ZINCRBY ZREMRANGEBYSCORE', ' ')), 'WritesKey'"""
+_COMMANDS = (*cache_keys.READ_VERBS, *cache_keys.WRITE_VERBS, "PUBLISH", "AUTH")
+
+
+@register("x_key_verbs", f"""WITH verbs AS ({_VERBS_SQL}), said AS (SELECT {list(_COMMANDS)}[(event_id % {len(_COMMANDS)})::INTEGER + 1] AS verb, 'k:' || event_type || ':' || user_id % 7 AS key FROM events)
+SELECT kind, key, count(*)::BIGINT AS n FROM said JOIN verbs USING (verb) GROUP BY kind, key""")
 def x_key_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every verb, in a command of its own."""
-    lines = [f'redis::cmd("{v.lower()}").arg("k:{v}");' for v in (*cache_keys.READ_VERBS, *cache_keys.WRITE_VERBS, "PUBLISH", "AUTH")]
-    files = spark.createDataFrame([("s", 0, "/s/v.rs", "rust", "\n".join(lines))], FILES)
-    return cache_keys.key_edges(cache_keys.accesses(cache_keys.calls(files), cache_keys.wrappers(files))).select(F.substring("dst", 3, 100).alias("verb"), "kind")
+    """A command for each event, whose verb goes by the event's number; 500 commands a file."""
+    verb = F.element_at(F.array(*[F.lit(v.lower()) for v in _COMMANDS]), (F.col("event_id") % len(_COMMANDS)).cast("int") + 1)
+    line = F.concat(F.lit('redis::cmd("'), verb, F.lit('").arg("k:'), "event_type", F.lit(":"), (F.col("user_id") % 7).cast("string"), F.lit('");'))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 500).alias("f"), "event_id", line.alias("line"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")
+    files = events.groupBy("f").agg(text.alias("content")).select(F.lit("s").alias("service"), F.lit(0).alias("source_ord"), F.format_string("/s/v%d.rs", "f").alias("path"), F.lit("rust").alias("lang"), "content")
+    found = cache_keys.key_edges(cache_keys.accesses(cache_keys.calls(files), cache_keys.wrappers(files)))
+    return found.groupBy("kind", F.col("dst").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _BUILT: dict[tuple[str, str], tuple[Store, DataFrame]] = {}

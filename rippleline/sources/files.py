@@ -42,13 +42,18 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
+def text_of(content: Column) -> Column:
+    """The text of a file's bytes, null where they aren't UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def scan_tree(spark: SparkSession, root: str, service: str, source_ord: int = 0, languages: tuple[str, ...] = ("go", "rust", "cpp")) -> DataFrame:
     """files(service, source_ord, path, lang, content) below a root; content is null where it isn't UTF-8. Other extensions
     go at the listing, and files in skipped folders before they are opened: the filter is on the file's path, which the scan knows."""
     globs = ",".join(e for e, lang in EXTENSIONS.items() if lang in languages)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + globs + "}").load(root)
     named = raw.where(~in_skipped_dir(F.col("_metadata.file_path"), qualified(spark, root))).select(plain_path(F.col("path")).alias("path"), "content")
-    return named.select(F.lit(service).alias("service"), F.lit(source_ord).alias("source_ord"), "path", language(F.col("path")).alias("lang"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    return named.select(F.lit(service).alias("service"), F.lit(source_ord).alias("source_ord"), "path", language(F.col("path")).alias("lang"), text_of(F.col("content")).alias("content"))
 
 
 def unreadable(scanned: DataFrame) -> DataFrame:

@@ -19,14 +19,14 @@ from pyspark.sql.streaming import StreamingQuery
 from rippleline.operators import messages
 from rippleline.runtime import drop, materialize
 from rippleline.schema import FILES
-from rippleline.sources.files import in_skipped_dir, language, plain_path, qualified
+from rippleline.sources.files import in_skipped_dir, language, plain_path, qualified, text_of
 
 
 def stream_files(spark: SparkSession, root: str, service: str, per_batch: int = 1000) -> DataFrame:
-    """files below a root, as they come."""
+    """files below a root, as they come; content is null where it isn't UTF-8."""
     raw = (
-        spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch)
-        .load(root).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", per_batch).load(root).select(F.col("_metadata.file_path").alias("at"), F.col("modificationTime").alias("modified"), text_of(F.col("content")).alias("content"))
     )
     named = raw.withColumn("path", plain_path(F.try_url_decode(F.replace(F.col("at"), F.lit("+"), F.lit("%2B"))))).withColumn("lang", language(F.col("path"))).where(F.col("lang").isin(*messages.PATTERNS) & ~in_skipped_dir(F.col("at"), qualified(spark, root)))
     return named.select(F.lit(service).alias("service"), F.lit(0).alias("source_ord"), "path", "lang", "content", "modified")
@@ -48,7 +48,7 @@ def append_edges(out: str, operator: Callable[[DataFrame], DataFrame] = extract)
     """A foreachBatch sink: the edges of a batch, and the versions of all its files, with edges or without."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _record(out, f"s{batch_id}", operator(batch.drop("modified")), batch)
+        _record(out, f"s{batch_id}", operator(batch.where("content is not null").drop("modified")), batch)
 
     return write
 
@@ -84,8 +84,7 @@ def catch_up(spark: SparkSession, root: str, service: str, out: str, per_batch:
         _record(out, f"g{time.time_ns()}", extract(spark.createDataFrame([], FILES)), gone, True)
     n, rows = 0, changed.select("at").orderBy("at").toLocalIterator()
     while some := [r.at for r in itertools.islice(rows, per_batch)]:
-        content = F.try_validate_utf8(F.col("content").cast("string"))
-        raw = listed.where(F.col("_metadata.file_path").isin(some)).select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("modified"), content.alias("content"))
+        raw = listed.where(F.col("_metadata.file_path").isin(some)).select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("modified"), text_of(F.col("content")).alias("content"))
         batch = raw.select(F.lit(service).alias("service"), F.lit(0).alias("source_ord"), "path", language(F.col("path")).alias("lang"), "content", "modified")
         _record(out, f"c{time.time_ns()}", extract(batch.where("content is not null").drop("modified")), batch)
         n += len(some)

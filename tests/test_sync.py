@@ -8,6 +8,7 @@ import pytest
 from rippleline import cli, render
 from rippleline.api import Engine, NotFound
 from rippleline.sources import config, store
+from rippleline.operators.scan import table_function
 from rippleline.streaming import ingest
 
 CORE = """CREATE PROCEDURE PLACE_ORDER AS
@@ -182,3 +183,24 @@ def test_stream(spark, tmp_path):
     (src / "vendor/d.rs").write_text('FutureRecord::to("no");\n')
     assert up() == (0, 2) and now() == {("Publishes", "four")} and up() == (0, 0)
     assert ingest.catch_up(spark, str(src), "svc", str(tmp_path / "other")) == (1, 0)
+
+
+def test_stream_and_catch_up_agree_on_files_that_are_not_text(spark, tmp_path):
+    src, line = tmp_path / "src", 'var a = &kgo.Record{Topic: "x%s", Value: v}\n'
+    src.mkdir()
+    (src / "bad.go").write_bytes((line % "1").encode() + b'var b = &kgo.Record{Topic: "y\xff", Value: v}\n')
+    (src / "good.go").write_text(line % "2")
+    outs = [str(tmp_path / o) for o in ("streamed", "caught")]
+    ingest.start(ingest.stream_files(spark, str(src), "svc"), outs[0], str(tmp_path / "ck")).awaitTermination()
+    ingest.catch_up(spark, str(src), "svc", outs[1])
+    for out in outs:
+        assert [(e.kind, e.dst) for e in ingest.current_edges(spark, out).collect()] == [("Publishes", "x2")]
+        assert ingest.current_files(spark, out).count() == 2
+
+
+def test_table_function_fills_batches(spark):
+    """Many rows that give few each make few batches, and rows that give many are cut."""
+    rows = spark.range(3000, numPartitions=2)
+    made = table_function(rows, ["id"], lambda i: [(i, str(j)) for j in range(3 if i else 30_000)], "id long, j string")
+    assert made.count() == 30_000 + 3 * 2999 and made.where("id = 7").count() == 3
+    assert table_function(rows.limit(0), ["id"], lambda i: [(i,)], "id long").count() == 0
