@@ -14,7 +14,7 @@ Words are normalised only where the library would do the same: texts of Latin-1
 become words of their own.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; documents
-are told apart by doc_id and a hash of their text, so repeated ids and rows (and null ids) are kept,
+are told apart by doc_id and a hash of their text (see keyed), so repeated ids and rows (and null ids) are kept,
 each with its result, and work on rare words grows with distinct documents, not copies; other columns are not read; an
 empty table gives an empty result.
 """
@@ -30,11 +30,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, materialize, released
+from rippleline.llm.common import bounded_batches, drop, materialize, released
 
 HOT_WORDS = 1 << 18
 _FLUSH = 1 << 18  # distinct words that a task counts before it hands on partial counts
@@ -221,16 +220,27 @@ def pieces(definition: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def _keys(doc_ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """What tells documents apart: an id, or a hash of the text where that is null, and 31 bits of another hash of the
-    text, with whether the id is null."""
-    d, h = [], []
-    for doc_id, text in zip(doc_ids.to_pylist(), texts.to_pylist()):
-        raw = (text or "").encode()
-        one = xxhash.xxh32_intdigest(raw, 7) & 0x7FFFFFFE
-        d.append(doc_id if doc_id is not None else xxhash.xxh64_intdigest(raw, 7) - (1 << 63))
-        h.append(one if doc_id is not None else one | 1)
-    return np.array(d, np.int64), np.array(h, np.int32)
+def tag(text: Column) -> Column:
+    """What tells texts of one id apart at first: 29 bits of a hash; the lowest two are left for marks."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFC).cast("long")).cast("int")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, d, h, text): documents with the same d and h have the same text, and the same id or none.
+
+    d is the id, or where it is null a hash of the text, and h its tag. Where texts of one id share their tag, which a pass over hashes finds, d is a
+    64-bit hash of id and text instead. A null id and such a d are marked in h, so none is taken for an id."""
+    text = F.coalesce("text", F.lit(""))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({
+        "d": F.coalesce("doc_id", F.xxhash64(F.lit("d"), text)), "h": tag(text).bitwiseOR(F.col("doc_id").isNull().cast("int")),
+    })
+    other = F.xxhash64(F.lit("u"), text)
+    shared = materialize(given.select("d", "h", other.alias("u")).groupBy("d", "h").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("d", "h", F.lit(True).alias("shared")), "shared-tags")
+    if shared.isEmpty():
+        drop(shared)
+        return given.select("doc_id", "d", "h", "text")
+    found = given.join(shared, ["d", "h"], "left")
+    return found.select("doc_id", F.when(F.col("shared"), F.xxhash64("d", "h", other)).otherwise(F.col("d")).alias("d"), F.when(F.col("shared"), F.col("h").bitwiseOR(2)).otherwise(F.col("h")).alias("h"), "text")
 
 
 def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
@@ -257,13 +267,13 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, met = ranker(), set()
         for batch in _slices(batches):
-            d, h = _keys(batch.column(0), batch.column(1))
+            d, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # A document that was met before adds nothing; copies in other tasks go when places are grouped.
             new = [i for i, key in enumerate(zip(d.tolist(), h.tolist())) if key not in met and not met.add(key)]
             if len(met) > _MET:
                 met.clear()
             d, h = d[new], h[new]
-            w = Words(batch.column(1).take(pa.array(new, pa.int64())))
+            w = Words(batch.column(2).take(pa.array(new, pa.int64())))
             at = np.flatnonzero(ranked(w) < 0)
             doc = np.searchsorted(w.bounds, at, "right") - 1
             words = w.dictionary.take(pa.array(w.which[at]))
@@ -273,9 +283,8 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = ranker()
         for batch in _slices(batches):
-            w = Words(batch.column(1))
-            d, h = _keys(batch.column(0), batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(pack(ranked(w), w.bounds), pa.binary())], ["d", "h", "ranks"])
+            w = Words(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pack(ranked(w), w.bounds), pa.binary())], ["doc_id", "d", "h", "ranks"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, flat = hot_ids.value
@@ -295,15 +304,14 @@ def _assembled(docs: DataFrame, path: str, hot_words: int, finish: Callable[[pa.
             ids = gather(np.concatenate([flat, extra]), at, n)
             yield finish(batch.column(0), ids, np.concatenate([[0], np.cumsum(n)])[bounds])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(released(rare), "d long, place long, word binary").join(others.select("word", "ids"), "word")
+    texts = keyed(docs)
+    found = texts.select("d", "h", "text").mapInArrow(released(rare), "d long, place long, word binary").join(others.select("word", "ids"), "word")
     h = F.shiftright("place", 32).cast("int")
     # Each place of a document once, however often the document is there; no shuffle in between.
     places = found.select("d", "place", "ids").repartition("d", h).groupBy("d", h.alias("h"), "place").agg(F.first("ids").alias("ids"))
     by_doc = places.groupBy("d", "h").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
-    known = texts.mapInArrow(released(common), "d long, h int, ranks binary")
-    doc_id = F.when(F.col("h").bitwiseAND(1) == 0, F.col("d"))
-    return known.join(by_doc, ["d", "h"], "left").select(doc_id.alias("doc_id"), "ranks", "rest").mapInArrow(released(merge), schema)
+    known = texts.mapInArrow(released(common), "doc_id long, d long, h int, ranks binary")
+    return known.join(by_doc, ["d", "h"], "left").select("doc_id", "ranks", "rest").mapInArrow(released(merge), schema)
 
 
 def _flat(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:

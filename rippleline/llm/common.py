@@ -83,6 +83,13 @@ def other_columns(df: DataFrame, made: Iterable[str]) -> tuple[list[Column], str
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], fresh([*df.columns, *made], "_found")
 
 
+def keeping(docs: DataFrame, judged: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of docs that meet a condition on what `judged` makes of their text; all columns as they were, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("_row")
+    found = judged(docs.select(row, "text")).where(condition)
+    return found.select(*[F.col("text") if c.lower() == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 @contextmanager
 def opened(path: str, mode: str):
     """A file of a store that tasks share, by its full path (a plain one, or file:, hdfs:, s3:, gs:): "rb" or "wb"."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, fresh, released, stretches
+from rippleline.llm.common import bounded_batches, keeping, other_columns, released, stretches
 
 PROFILE, FIT_DOCS, DOC_SALTS, SALTS = 300, 3200, 64, 16
 MIN_SCORE = 0.1
@@ -81,12 +81,13 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, profile: int = PROFI
     """{language: its n-grams in rank order}."""
     bounded_batches(docs.sparkSession)
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"), folds, held_out))
+    pool = pool.select("doc_id", "lang", "text", F.xxhash64("text").alias("th"))
     h = F.xxhash64("doc_id")
-    picked = pool.select("doc_id", "lang", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(DOC_SALTS)).alias("salt"))
-    first = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
-    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, fit_docs // DOC_SALTS)).select("doc_id").distinct()
-    # At most fit_docs ids a language: bounded whatever the data.
-    sample = pool.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id", "left_semi")
+    picked = pool.select("doc_id", "lang", "th", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(DOC_SALTS)).alias("salt"))
+    first = Window.partitionBy("lang", "salt").orderBy("h", "doc_id", "th")
+    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, fit_docs // DOC_SALTS)).select("doc_id", "lang", "th").distinct()
+    # At most fit_docs rows a language: bounded whatever the data. A row that is there several times is learned once.
+    sample = pool.join(F.broadcast(picked), ["doc_id", "lang", "th"], "left_semi").groupBy("doc_id", "lang", "th").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +137,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PRO
         found = [one(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    found = fresh(docs.columns, "_found")
+    keep, found = other_columns(docs, ("lang_pred", "score"))
     return docs.select(*keep, classify(F.col("text")).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
@@ -149,5 +149,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Documents whose language can be told: a prediction, at a score that no mere noise reaches."""
-    found = predict(docs, fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    profiles = fit(docs)
+    return keeping(docs, lambda d: predict(d, profiles), f"lang_pred <> 'und' AND score >= {min_score}")

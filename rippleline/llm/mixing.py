@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     k = F.col("start") + F.col("k")
     crossed = (F.floor(k * F.col("rate") + F.col("u")) - F.floor((k - 1) * F.col("rate") + F.col("u"))).cast("int")
     out = ranked.join(plan, bucket).withColumn("copies", F.least(crossed, F.lit(cap)))
-    keep = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in RESULT]
+    made = {c.lower() for c in RESULT}
+    keep = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 

@@ -39,7 +39,7 @@ from rippleline.llm.simhash import components
 
 N, PERCENT = 3, 90
 BUCKETS, CHUNK = 20, 1 << 12  # bits of the number of buckets; buckets a batch
-SMALL, BLOCK, LARGE_BLOCK = 24, 192, 2048
+SMALL, BLOCK, LARGE_BLOCK = 24, 192, 256
 
 
 def hashes(text: str | None, n: int = N) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, drop, fresh, materialize, release, released, stretches
+from rippleline.llm.common import bounded_batches, drop, keeping, materialize, other_columns, release, released, stretches
 
 COMMON, SALTS = 60, 16
 MAX_CHARS, MAX_WORDS, SLACK = 0.30, 0.455, 0.25
@@ -234,10 +234,10 @@ def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
         release()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(f, pa.int64() if f[0] in "nw" else pa.bool_()) for f in _FIELDS]))
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in _FIELDS]
-    found = fresh(docs.columns, "_found")
+    keep, found = other_columns(docs, _FIELDS)
     return docs.select(*keep, rules(F.col("text")).alias(found)).select(*keep, *[f"{found}.{c}" for c in _FIELDS])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    return assess(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    refs = references(docs)
+    return keeping(docs, lambda d: assess(d, refs), "kept")

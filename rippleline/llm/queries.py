@@ -144,4 +144,36 @@ WITH rows AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM flat
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op6_chat": _OP6}
+_OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT vendor_id, (shipped_at::DATE - DATE '1970-01-01')::BIGINT AS day, sum(quantity)::BIGINT AS total FROM sale_lines
+  WHERE flag IN ('kept', 'swapped') AND quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL
+), v AS (
+  SELECT vendor_id, min(day) AS first, max(day) - min(day) + 1 AS n FROM d GROUP BY vendor_id
+), g AS (
+  SELECT vendor_id, first, n, unnest(range(n)) AS at FROM v
+), t AS (
+  SELECT g.vendor_id, first, n, at, coalesce(total, 0)::HUGEINT AS x FROM g LEFT JOIN d ON d.vendor_id IS NOT DISTINCT FROM g.vendor_id AND d.day = first + at
+), p AS (
+  SELECT *, (sum(x) OVER w)::HUGEINT AS s, (sum(x * x) OVER w)::HUGEINT AS q FROM t WINDOW w AS (PARTITION BY vendor_id ORDER BY at)
+), a AS (
+  SELECT vendor_id, first, n, [0::HUGEINT] || list(s ORDER BY at) AS s, [0::HUGEINT] || list(q ORDER BY at) AS q FROM p GROUP BY vendor_id, first, n
+), r AS (
+  SELECT vendor_id, first, n, s, q, 0::BIGINT AS j, [{'cost': 0::BIGINT, 'k': 0::BIGINT, 'i': 0::BIGINT}] AS b FROM a
+  UNION ALL
+  SELECT vendor_id, first, n, s, q, j + 1, list_append(b, list_min(list_transform(
+    list_filter(range(j + 1), lambda i: (j + 1 - i >= 5 AND (i = 0 OR i >= 5)) OR (i = 0 AND j + 1 = n)),
+    lambda i: {'cost': b[i + 1].cost + CASE WHEN i > 0 THEN 10000 ELSE 0 END + (j + 1 - i) * floor(1000 * ln((1 + ((j + 1 - i) * (q[j + 2] - q[i + 1]) - (s[j + 2] - s[i + 1]) * (s[j + 2] - s[i + 1])) // ((j + 1 - i) * (j + 1 - i)))::DOUBLE))::BIGINT, 'k': b[i + 1].k + 1, 'i': i})))
+  FROM r WHERE j < n
+), z AS (
+  SELECT vendor_id, first, s, q, b, n AS e, b[n + 1].i AS st, b[n + 1].k AS no, b[n + 1].k AS n_segments, b[n + 1].cost AS best_cost FROM r WHERE j = n
+  UNION ALL
+  SELECT vendor_id, first, s, q, b, st, b[st + 1].i, no - 1, n_segments, best_cost FROM z WHERE st > 0
+), y AS (
+  SELECT *, e - st AS m, 1 + ((e - st) * (q[e + 1] - q[st + 1]) - (s[e + 1] - s[st + 1]) * (s[e + 1] - s[st + 1])) // ((e - st) * (e - st)) AS spread FROM z
+)
+SELECT vendor_id, no::INTEGER AS segment_no, first + st AS first_day, m AS n_days, (s[e + 1] - s[st + 1])::BIGINT AS total, spread::BIGINT AS spread,
+       m * floor(1000 * ln(spread::DOUBLE))::BIGINT AS cost, n_segments, best_cost FROM y
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op6_chat": _OP6, "op12_change_points": _OP12}

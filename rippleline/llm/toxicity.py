@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleline.llm.common import bounded_batches, drop, fresh, materialize
+from rippleline.llm.common import bounded_batches, drop, materialize, other_columns
 from rippleline.llm.langid import is_held_out
 
 FIT_DOCS, FEATURES, LEAST, TELLING, FOLDS, SALTS = 8000, 20000, 4, 4.0, 5, 16
@@ -163,8 +163,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[Linear]], categories:
             found = np.column_stack([found, m.score(doc, word, len(texts), found)])
         return pd.DataFrame(found if models else np.zeros((len(texts), len(names))), columns=names)
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "toxic_pred")]
-    found = fresh(docs.columns, "_found")
+    keep, found = other_columns(docs, (*names, "toxic_pred"))
     out = docs.select(*keep, probabilities(F.col("text")).alias(found)).select(*keep, *[f"{found}.{c}" for c in names])
     return out.withColumn("toxic_pred", F.col(names[-1]) >= 0.5)
 
