@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleline.operators import graph
@@ -42,15 +42,46 @@ def _same_path(stored, wanted):
     return stored.endswith(wanted) | wanted.endswith(stored)
 
 
+#: Characters of a path's end that two paths share if one ends with the other and both are as long; lines of a bin.
+TAIL, BIN = 24, 256
+
+
+def _ends(path: Column) -> Column:
+    """The keys that a path is filed under: its base name, and the end of a long one."""
+    base = F.struct(F.lit(False).alias("long"), F.element_at(F.split(path, "/"), -1).alias("end"))
+    return F.when(F.length(path) < TAIL, F.array(base)).otherwise(F.array(base, F.struct(F.lit(True).alias("long"), F.right(path, F.lit(TAIL)).alias("end"))))
+
+
+def _bins(first: Column, last: Column) -> Column:
+    return F.sequence(F.floor(first / BIN), F.floor(F.greatest(first, last) / BIN))
+
+
+def _on_same_path(stored: DataFrame, found: DataFrame, by_line: bool) -> DataFrame:
+    """Pairs of stored(path as `stored`) and hunks(file) where one path ends with the other; by line, only those whose lines overlap.
+
+    An equi-join: two long paths meet on the end they must share, so files of one common name don't all meet; a short path meets others on its
+    base name. With lines, both sides are filed under bins of lines, and a pair counts in the first bin that both are in. Neither side is broadcast
+    unless the planner knows it to be small."""
+    left = stored.withColumn("_key", F.explode(_ends(F.col("stored")))).select("*", "_key.long", "_key.end").drop("_key")
+    right = found.select("pos", "file", "start", F.col("end").alias("until"), F.explode(_ends(F.col("file"))).alias("_key")).select("*", "_key.long", "_key.end").drop("_key")
+    keys = ["long", "end"]
+    both = (F.length("stored") >= TAIL) & (F.length("file") >= TAIL)
+    kept = _same_path(F.col("stored"), F.col("file")) & (F.col("long") == both)
+    if by_line:
+        left = left.withColumn("bin", F.explode(_bins(F.col("line_start"), F.col("line_end"))))
+        right = right.withColumn("bin", F.explode(_bins(F.col("start"), F.col("until"))))
+        keys.append("bin")
+        kept &= (F.col("until") >= F.col("line_start")) & (F.col("start") <= F.col("line_end")) & (F.col("bin") == F.greatest(F.floor(F.col("line_start") / BIN), F.floor(F.col("start") / BIN)))
+    return left.join(right, keys).where(kept).drop("long", "end", "bin").withColumnRenamed("until", "end")
+
+
 def changed_symbols(found: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """(ord, node, name, kind, file, lines, source): definitions that a hunk overlaps, and what edges of a changed file start
-    from. Paths meet on their base name first, so the suffix test is a residual of an equi-join."""
-    base = lambda p: F.element_at(F.split(p, "/"), -1)
-    h = found.select("pos", "file", "start", "end", base(F.col("file")).alias("base"))
-    c = chunks.where("node is not null").select("node", F.col("id").alias("evidence"), F.col("path").alias("stored"), "line_start", "line_end", base(F.col("path")).alias("base"))
-    by_chunk = c.join(F.broadcast(h), "base").where(_same_path(F.col("stored"), F.col("file")) & (F.col("end") >= F.col("line_start")) & (F.col("start") <= F.col("line_end")))
-    e = edges.where("kind <> 'Owns'").select(F.col("src").alias("node"), F.col("id").alias("evidence"), F.col("path").alias("stored"), base(F.col("path")).alias("base"))
-    by_edge = e.join(F.broadcast(h), "base").where(_same_path(F.col("stored"), F.col("file")))
+    from."""
+    c = chunks.where("node is not null").select("node", F.col("id").alias("evidence"), F.col("path").alias("stored"), "line_start", "line_end")
+    by_chunk = _on_same_path(c, found, True)
+    e = edges.where("kind <> 'Owns'").select(F.col("src").alias("node"), F.col("id").alias("evidence"), F.col("path").alias("stored"))
+    by_edge = _on_same_path(e, found, False)
     rows = None
     for rank, (part, source) in enumerate(((by_chunk, "chunk overlap"), (by_edge, "edge path"))):
         some = part.select("node", F.col("stored").alias("file"), F.format_string("%d-%d", "start", "end").alias("lines"), F.lit(source).alias("source"), F.struct("pos", F.lit(rank).alias("rank"), "evidence").alias("at"))
