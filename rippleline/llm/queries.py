@@ -151,13 +151,13 @@ WITH RECURSIVE d AS (
 ), v AS (
   SELECT vendor_id, min(day) AS first, max(day) - min(day) + 1 AS n FROM d GROUP BY vendor_id
 ), g AS (
-  SELECT vendor_id, first, n, unnest(range(n)) AS at FROM v
+  SELECT vendor_id, first, n, unnest(range(n)) AS pos FROM v
 ), t AS (
-  SELECT g.vendor_id, first, n, at, coalesce(total, 0)::HUGEINT AS x FROM g LEFT JOIN d ON d.vendor_id IS NOT DISTINCT FROM g.vendor_id AND d.day = first + at
+  SELECT g.vendor_id, first, n, pos, coalesce(total, 0)::HUGEINT AS x FROM g LEFT JOIN d ON d.vendor_id IS NOT DISTINCT FROM g.vendor_id AND d.day = first + pos
 ), p AS (
-  SELECT *, (sum(x) OVER w)::HUGEINT AS s, (sum(x * x) OVER w)::HUGEINT AS q FROM t WINDOW w AS (PARTITION BY vendor_id ORDER BY at)
+  SELECT *, (sum(x) OVER w)::HUGEINT AS s, (sum(x * x) OVER w)::HUGEINT AS q FROM t WINDOW w AS (PARTITION BY vendor_id ORDER BY pos)
 ), a AS (
-  SELECT vendor_id, first, n, [0::HUGEINT] || list(s ORDER BY at) AS s, [0::HUGEINT] || list(q ORDER BY at) AS q FROM p GROUP BY vendor_id, first, n
+  SELECT vendor_id, first, n, [0::HUGEINT] || list(s ORDER BY pos) AS s, [0::HUGEINT] || list(q ORDER BY pos) AS q FROM p GROUP BY vendor_id, first, n
 ), r AS (
   SELECT vendor_id, first, n, s, q, 0::BIGINT AS j, [{'cost': 0::BIGINT, 'k': 0::BIGINT, 'i': 0::BIGINT}] AS b FROM a
   UNION ALL
