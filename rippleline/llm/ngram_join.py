@@ -39,7 +39,7 @@ from rippleline.llm.simhash import components
 
 N, PERCENT = 3, 90
 BUCKETS, CHUNK = 20, 1 << 12  # bits of the number of buckets; buckets a batch
-SMALL, BLOCK, LARGE_BLOCK = 24, 192, 256
+SMALL, BLOCK, LARGE_BLOCK = 24, 192, 2048
 
 
 def hashes(text: str | None, n: int = N) -> np.ndarray:
@@ -293,13 +293,13 @@ def probe_links(percent: int = PERCENT) -> Callable[[list[tuple]], list[tuple]]:
 
 
 def sketch_pairs(percent: int = PERCENT) -> Callable[[list[tuple]], list[tuple]]:
-    """[(side, class, component, size, sketch)] -> pairs that sizes and sketches don't rule out, of different components; where there are
-    two sides, from one to the other."""
+    """[(side, class, component, size, sketch)] -> pairs that sizes and sketches don't rule out, of different components: of side 0 among
+    themselves, else from side 1 to side 2."""
 
     def work(group: list[tuple]) -> list[tuple]:
         side = np.array([g[0] for g in group], np.int8)
         rid, comp, size = (np.array([g[i] for g in group], np.int64) for i in (1, 2, 3))
-        two, found = side.any() and not side.all(), []
+        two, found = side[0] > 0, []
         for i in range(len(group)):
             fits = (100 * size >= percent * size[i]) & (100 * size[i] >= percent * size) & (comp != comp[i])
             fits &= (side > side[i]) if two else (np.arange(len(group)) > i)
@@ -377,9 +377,9 @@ def _compared(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(token, rid, many, comp) -> pairs of one group that sketches don't rule out. Large groups are cut into blocks, and each two blocks meet."""
     blocks = F.ceil(F.col("many") / LARGE_BLOCK).cast("int")
     cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    # A member of block i meets block j as the first side where i <= j, else as the second; a block meets itself with one side.
+    # Two blocks meet as sides 1 and 2; a block meets itself as side 0.
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sided = met.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rid", "comp")
+    sided = met.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "rid", "comp")
     drawn = sided.join(reps.select("rid", "n", "sketch"), "rid").select("token", "i", "j", "side", "rid", "comp", "n", "sketch")
     return _grouped(drawn, ["token", "i", "j"], sketch_pairs(percent), "a long, b long")
 
