@@ -94,7 +94,8 @@ def keeping(docs: DataFrame, judged: Callable[[DataFrame], DataFrame], condition
 def opened(path: str, mode: str):
     """A file of a store that tasks share, by its full path (a plain one, or file:, s3a:, s3:, gs:, hdfs: where its library is there): "rb" or "wb"."""
     path = re.sub("^s3[an]://", "s3://", path)  # Spark's names for what is s3: here
-    store, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    path = re.sub("^file:/*", "/", path)  # as a path, whose signs aren't encoded
+    store, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
     if mode == "wb":
         store.create_dir(at.rpartition("/")[0], recursive=True)
         with store.open_output_stream(at, compression=None) as f:

@@ -1,6 +1,7 @@
 """Mixing, WARC, chat, toxicity, neighbours and the pipeline."""
 
 import base64
+import codecs
 import email.parser
 import email.policy
 import gzip
@@ -10,12 +11,14 @@ import io
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rippleline.llm import ann, chat, mixing, toxicity, warc
@@ -253,7 +256,7 @@ def test_warc_against_second_parser(spark, tmp_path):
     seen, refers = Counter(), {}
     for path, n in files.items():
         with open(path, "rb") as f:
-            records = list(warc.members(f.read, 1000))
+            records = list(members(f.read()))
         assert b"".join(records) == gzip.open(path).read() and len(records) == n
         for raw in records:
             h, body = second_parser(raw)
@@ -271,8 +274,119 @@ def test_warc_against_second_parser(spark, tmp_path):
             refers.setdefault(p["page_id"], set()).add(h["WARC-Refers-To"])
     assert seen == {(i, k): 1 for i in pages for k in ("conversion", "metadata")} and all(len(x) == 1 for x in refers.values())
     assert {(r.page_id, r.kind): r.record_id for r in warc.read(made).collect()}.keys() == seen.keys()
-    with pytest.raises(ValueError):
-        list(warc.members(io.BytesIO(warc.member(b"x" * 1000)[:-12]).read))
+    whole = warc.member(warc.response(1, "http://x", "<p>x" * 1000))
+    for cut in (whole[:-12], gzip.compress(gzip.decompress(whole)[:-100])):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(cut).read))
+
+
+def members(data):
+    """The gzip members of a file."""
+    while data:
+        unpack = zlib.decompressobj(31)
+        yield unpack.decompress(data)
+        assert unpack.eof
+        data = unpack.unused_data
+
+
+def foreign(http, body, *fields, version="WARC/1.0", kind="response", content="application/http; msgtype=response"):
+    """A record as other crawlers write it."""
+    block = http + b"\r\n\r\n" + body if http is not None else body
+    head = [version, f"WARC-Type: {kind}", "warc-record-id: <urn:uuid:1>", "WARC-Date: 2020-01-02T03:04:05Z", *fields, f"content-length: {len(block)}", f"Content-Type: {content}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def chunked(data, size=7):
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    return b"".join(b"%x;a=b\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\nX-Trailer: y\r\n\r\n"
+
+
+def raw_deflate(data):
+    pack = zlib.compressobj(wbits=-15)
+    return pack.compress(data) + pack.flush()
+
+
+CAFE = "<title>Café</title><p>naïve “x” €"
+OK = b"HTTP/1.1 200 OK\r\n"
+UTF, MARKED = CAFE.encode(), f'<meta http-equiv="x" content="text/html; charset=windows-1251">{"Привет"}'
+
+
+@pytest.mark.parametrize(
+    ("http", "body", "text", "charset"),
+    [
+        (OK + b"Content-Type: text/html; charset=ISO-8859-1", CAFE.encode("cp1252"), "Café\nnaïve “x” €", "windows-1252"),
+        (OK + b'content-type: text/html;\r\n  Charset="latin1"', CAFE.encode("cp1252"), "Café\nnaïve “x” €", "windows-1252"),
+        (OK + b"Content-Type: text/html", UTF, "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Type: text/html; charset=nonsense", UTF, "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Type: text/html; charset=hex", UTF, "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Type: text/html; charset=idna", UTF, "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"X: y", MARKED.encode("cp1251"), "Привет", "windows-1251"),
+        (OK + b"Content-Type: text/html; charset=ascii", codecs.BOM_UTF16_LE + CAFE.encode("utf-16-le"), "Café\nnaïve “x” €", "utf-16-le"),
+        (OK + b"Content-Type: text/html; charset=shift_jis", "<p>日本".encode("shift_jis"), "日本", "shift_jis"),
+        (OK + b"Content-Encoding: gzip", gzip.compress(UTF), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: GZIP", gzip.compress(UTF[:9]) + gzip.compress(UTF[9:]), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: gzip", UTF, "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: deflate", zlib.compress(UTF), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: deflate", raw_deflate(UTF), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: zstd", zstandard.compress(UTF), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: deflate\r\nContent-Encoding: gzip", gzip.compress(zlib.compress(UTF)), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Transfer-Encoding: chunked", chunked(UTF), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Transfer-Encoding: chunked", UTF, "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress(UTF)), "Café\nnaïve “x” €", "utf-8"),
+        (OK + b"Content-Encoding: br", b"\x8b\x02", "", ""),
+        (OK + b"Content-Type: image/png", b"\x89PNG<p>x", "", ""),
+        (OK + b"Content-Type: text/plain; charset=latin-1", b"a <b>\n\n  caf\xe9", "a <b>\n\n  café", "latin-1"),
+        (OK + b"Content-Type: application/json", b'{"a": "<p>"}', '{"a": "<p>"}', "utf-8"),
+        (OK + b"A: b", b"", "", "utf-8"),
+    ],
+)
+def test_warc_payloads(http, body, text, charset):
+    record = foreign(http, body)
+    meta, conversion = warc.derive(record)
+    about = [x.split(": ", 1) for x in second_parser(meta)[1].decode().split("\r\n")[:-1]]
+    assert second_parser(conversion)[1].decode() == text
+    assert ["charset", charset] in about and (["undecoded", "br"] in about) == (b"br" in http[-3:])
+    said = email.parser.BytesParser(policy=email.policy.compat32).parsebytes(http.partition(b"\r\n")[2] + b"\r\n\r\n")
+    assert [" ".join(v.split()) for k, v in about if k == "http-header"] == [" ".join(f"{k}: {v}".split()) for k, v in said.items()]
+    if text.startswith("Café"):
+        assert ["title", "Café"] in about
+
+
+def test_warc_headers():
+    given = ["WARC-IP-Address: 10.0.0.1", "WARC-Warcinfo-ID: <urn:uuid:9>", "WARC-Concurrent-To: <urn:uuid:7>", "WARC-Concurrent-To: <urn:uuid:8>", "WARC-Target-URI: http://a/é",
+             "WARC-Payload-Digest: sha256:abc", "WARC-Block-Digest: md5:def", "WARC-Truncated: length", "X-Other: one\r\n two", "WARC-Segment-Number: 1"]
+    for record in warc.derive(foreign(OK + b"A: b", b"<p>x", *given)):
+        fields, _ = warc.read_record(record)
+        conversion = warc.value(fields, "WARC-Type") == "conversion"
+        source = "Source-" if conversion else ""
+        assert [v for k, v in fields if k == f"WARC-{source}Concurrent-To"] == ["<urn:uuid:7>", "<urn:uuid:8>"] and warc.value(fields, f"WARC-{source}IP-Address") == "10.0.0.1"
+        got = {k: v for k, v in fields}
+        assert got["WARC-Refers-To"] == "<urn:uuid:1>" and got["WARC-Date"] == "2020-01-02T03:04:05Z" and got["WARC-Target-URI"] == "http://a/é" and got["WARC-Warcinfo-ID"] == "<urn:uuid:9>"
+        assert got["WARC-Source-Payload-Digest"] == "sha256:abc" and got["WARC-Source-Block-Digest"] == "md5:def" and got["WARC-Source-Truncated"] == "length" and got["X-Other"] == "one two"
+        assert not {"WARC-Segment-Number", "WARC-Payload-Digest", "WARC-Truncated"} & set(got) and len([k for k, _ in fields if k == "WARC-Block-Digest"]) == 1
+
+
+def test_warc_files_of_a_crawl(spark, tmp_path):
+    """Members of a record, of several and of parts of one; plain files; other kinds of record; names with signs."""
+    ask = foreign(None, b"GET / HTTP/1.1\r\n\r\n", kind="request", content="application/http; msgtype=request")
+    info = foreign(None, b"software: x\r\n", kind="warcinfo", content="application/warc-fields")
+    dns = foreign(None, b"20200102\nx.org. 5 IN A 10.0.0.1\n", kind="response", content="text/dns")
+    pages = [foreign(OK + b"Content-Type: text/html", f"<p>page {i} é{' w' * i * 50}".encode(), f"WARC-Target-URI: http://x/{i}") for i in range(40)]
+    folder = tmp_path / "a crawl%20x"
+    (folder / "below").mkdir(parents=True)
+    (folder / "one.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in [info, ask, *pages[:10]]))
+    (folder / "below" / "all.warc.gz").write_bytes(gzip.compress(b"".join(pages[10:20])))
+    whole = b"".join(pages[20:30])
+    (folder / "cut.warc.gz").write_bytes(b"".join(gzip.compress(whole[i : i + 777]) for i in range(0, len(whole), 777)))
+    (folder / "plain.warc").write_bytes(b"".join([info, *pages[30:], ask, dns]))
+    (folder / "empty.warc.gz").write_bytes(b"")
+    files = warc.files_below(spark, str(folder))
+    assert files.count() == 4 and list(warc.records(io.BytesIO().read)) == []  # Spark lists no empty files
+    assert warc.read(files).count() == 40 + 5
+    got = warc.read(warc.derive_files(files, f"{tmp_path}/out", 500)).collect()
+    assert len(got) == 2 * 41 and all(x.refers_to == "<urn:uuid:1>" for x in got) and len(list((tmp_path / "out").iterdir())) > 10
+    texts = {x.target_uri: second_parser(bytes(x.record) + b"\r\n\r\n")[1].decode() for x in got if x.kind == "conversion"}
+    assert texts == {f"http://x/{i}": f"page {i} é{' w' * i * 50}" for i in range(40)} | {None: "20200102\nx.org. 5 IN A 10.0.0.1\n"}
 
 
 def test_warc_text():
