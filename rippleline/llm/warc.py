@@ -61,7 +61,7 @@ def record_id(*parts: str) -> str:
 
 
 def clean(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
 
 def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -249,8 +249,12 @@ def member(record: bytes) -> bytes:
     return pack.compress(record) + pack.flush()
 
 
-def inflated(read: Callable[[int], bytes], size: int = 1 << 20) -> Iterator[bytes]:
-    """A file in pieces, without its compression if it has one."""
+_LENGTH = re.compile(rb"\ncontent-length[ \t]*:[ \t]*([0-9]+)", re.I)
+_RESPONSE = re.compile(rb"\nwarc-type[ \t]*:[ \t]*response[ \t]*\r?\n", re.I)
+
+
+def inflated(read: Callable[[int], bytes], size: int = 1 << 16) -> Iterator[bytes]:
+    """A file in pieces, without its compression if it has one. What is left of a piece is copied at the end of each gzip member, so pieces are short."""
     chunk = read(size)
     if chunk[:2] != b"\x1f\x8b":
         while chunk:
@@ -282,10 +286,10 @@ def records(read: Callable[[int], bytes]) -> Iterator[bytes]:
             if held:
                 raise ValueError("a record is cut off")
             return
-        size = value(head_of(bytes(held[: end.end()]))[1], "Content-Length")
+        size = _LENGTH.search(held, 0, end.end())
         if size is None or not held.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        stop = end.end() + int(size)
+        stop = end.end() + int(size[1])
         while len(held) < stop:
             if (piece := next(pieces, None)) is None:
                 raise ValueError("a record is cut off")
@@ -343,7 +347,7 @@ def derive_files(files: DataFrame, out: str | None = None, shard_bytes: int = SH
         for path in paths:
             with opened(path, "rb") as f:
                 for record in records(f.read):
-                    if (value(head_of(record)[1], "WARC-Type") or "").lower() == "response":
+                    if _RESPONSE.search(record, 0, _END.search(record).start() + 2):
                         yield from derive(record)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
