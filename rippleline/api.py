@@ -46,7 +46,7 @@ class Engine:
         return report
 
     def find(self, name: str) -> Row:
-        row, message = lookup.find_or_suggest(self.store.nodes, name)
+        row, message = lookup.find_or_suggest(self.store.names or self.store.nodes, name)
         if row is None:
             raise NotFound(message)
         return row
@@ -71,9 +71,10 @@ class Engine:
 
     def topic(self, name: str) -> tuple[str, str]:
         """(producers, consumers)."""
-        row = lookup.find(self.store.nodes, name).first()
+        names = self.store.names or self.store.nodes
+        row = lookup.first(names, name)
         if row is None or row.kind != "Topic":
-            close = [r.key for r in lookup.suggest(self.store.nodes, name).collect()]
+            close = lookup.closest(names, name)
             raise NotFound(f"topic not found: {name}" + (f" — closest: {', '.join(close)}" if close else ""))
         ends = graph.topic_ends(self.store.edges, self.store.nodes, row.id).first()
         return ends.producers, ends.consumers

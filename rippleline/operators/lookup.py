@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from rippleline.functions.text import ascii_lower, similarity
+from rippleline.operators import names
+from rippleline.operators.names import Names
 
 SUGGESTIONS = 5
 
@@ -29,9 +31,21 @@ def without_dump(coverage: DataFrame) -> DataFrame:
     return coverage.where(~F.coalesce("has_dump", F.lit(False))).select("service").distinct()
 
 
-def find_or_suggest(nodes: DataFrame, query: str) -> tuple[Row | None, str]:
+def first(nodes: DataFrame | Names, query: str) -> Row | None:
+    """The node that `find` gives, by the index of names where there is one."""
+    return (names.find(nodes, query) if isinstance(nodes, Names) else find(nodes, query)).first()
+
+
+def closest(nodes: DataFrame | Names, query: str) -> list[str]:
+    """The keys that `suggest` gives."""
+    if isinstance(nodes, Names):
+        return [key for key, _ in names.suggest(nodes, query, SUGGESTIONS)]
+    return [r.key for r in suggest(nodes, query).collect()]
+
+
+def find_or_suggest(nodes: DataFrame | Names, query: str) -> tuple[Row | None, str]:
     """The node, or None and a message with the closest keys."""
-    if (found := find(nodes, query).first()) is not None:
+    if (found := first(nodes, query)) is not None:
         return found, ""
-    close = [r.key for r in suggest(nodes, query).collect()]
+    close = closest(nodes, query)
     return None, f"not found: {query}" + (f" — closest: {', '.join(close)}" if close else "")

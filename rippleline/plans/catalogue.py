@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleline.functions import text as tx
-from rippleline.operators import assemble, diff, embedded_sql, graph, lookup, plsql
-from rippleline.plans.tradegraph import trade_graph, trade_steps
+from rippleline.operators import assemble, diff, embedded_sql, graph, lookup, names, plsql
+from rippleline.plans.tradegraph import trade_graph, trade_names, trade_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +268,28 @@ def suggest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.suggest(parts, "red_widgt")
 
 
+_ASKED = ("supplier#0001", "customer#000000012", "Nation", "red_widgt", "zz", "5")
+
+
+@register("suggest_names", f"""WITH {NODES}, q AS (SELECT unnest({list(_ASKED)}) AS query), t AS (SELECT query, upper(query) AS q, list_filter(regexp_split_to_array(upper(query), '[^A-Z0-9]+'), lambda t: t <> '') AS wanted FROM q),
+  k AS (SELECT DISTINCT name, upper(name) AS key FROM nodes), s AS (
+  SELECT query, name AS key, 4 * len(list_filter(regexp_split_to_array(k.key, '[^A-Z0-9]+'), lambda t: t <> '' AND list_contains(wanted, t))) + CASE WHEN contains(k.key, q) OR contains(q, k.key) THEN 3 ELSE 0 END
+    + list_sum(list_transform([1, 2, 3, 4, 5, 6], lambda i: CASE WHEN length(k.key) >= i AND k.key[1:i] = q[1:i] THEN 1 ELSE 0 END)) AS score FROM k CROSS JOIN t)
+SELECT query, key, score::INTEGER AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, key) <= 5""")
+def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes closest to some names, by the index of all names of the graph."""
+    return names.suggestions(trade_names(spark, sf_dir), list(_ASKED), lookup.SUGGESTIONS)
+
+
+@register("find_names", f"""WITH {NODES}, q AS (SELECT unnest(['region_2', 'NaTiOn_3', 'CUSTOMER#000000012', 'click', '1-urgent', 'none']) AS query)
+SELECT query, id, name, kind FROM q JOIN nodes ON lower(name) = lower(query) QUALIFY row_number() OVER (PARTITION BY query ORDER BY id) = 1""")
+def find_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some names by the index of all names of the graph."""
+    index = trade_names(spark, sf_dir)
+    found = [names.find(index, q).select(F.lit(q).alias("query"), "id", "name", "kind") for q in ("region_2", "NaTiOn_3", "CUSTOMER#000000012", "click", "1-urgent", "none")]
+    return functools.reduce(DataFrame.union, found)
+
+
 @register("find_symbol_ci", f"""WITH {NODES} SELECT id, name, kind FROM (SELECT *, CASE WHEN lower(id) = 'nation_3' THEN 0 WHEN lower(name) = 'nation_3' THEN 1 END AS rank FROM nodes)
 WHERE rank IS NOT NULL ORDER BY rank, id LIMIT 1""")
 def find_symbol_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleline.operators import adjacency
+from rippleline.operators import adjacency, names
 from rippleline.operators.adjacency import Adjacency
+from rippleline.operators.names import Names
 from rippleline.runtime import materialize, table_path
 
 
@@ -80,6 +81,19 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> TradeGraph:
     return _BUILT[key]
 
 
+_NAMES: dict[tuple[str, str], Names] = {}
+
+
+def trade_names(spark: SparkSession, sf_dir: str) -> Names:
+    """The index of the graph's names, written once a session as a store keeps it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _NAMES:
+        path = table_path(spark, "trade-names")
+        names.write(trade_graph(spark, sf_dir).nodes, path)
+        _NAMES[key] = names.read(spark, path)
+    return _NAMES[key]
+
+
 _STEPS: dict[tuple[str, str], Adjacency] = {}
 
 

@@ -33,7 +33,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     was = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     files, so they go at once."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    with _setting(spark, _CLEANUP, "true"):
+    with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rippleline_path = path  # type: ignore[attr-defined]
@@ -60,7 +60,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     path, n = table_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "rippleline_" + path.rpartition("/")[2].replace("-", "_")
-    with _setting(spark, _CLEANUP, "true"):
+    with setting(spark, _CLEANUP, "true"):
         df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._rippleline_path, out._rippleline_table = path, table  # type: ignore[attr-defined]

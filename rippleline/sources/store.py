@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleline.operators import adjacency
+from rippleline.operators import adjacency, names
 from rippleline.operators.adjacency import Adjacency
+from rippleline.operators.names import Names
 from rippleline.schema import STORE_VERSION
 
 TABLES = ("nodes", "edges", "chunks", "unresolved", "sql_coverage", "meta")
@@ -25,6 +26,7 @@ class Store:
     sql_coverage: DataFrame
     meta: DataFrame
     steps: Adjacency | None = None
+    names: Names | None = None
 
 
 def _fs(spark: SparkSession, path: str):
@@ -34,7 +36,7 @@ def _fs(spark: SparkSession, path: str):
 
 def save(store: Store, path: str) -> str:
     """Edges are laid out by kind and then by where they end, so that questions about some kinds read only those; a kind of any size is spread
-    over tasks. Searches use the adjacency, which is written beside them in both directions."""
+    over tasks. Searches use the adjacency, which is written beside them in both directions, and names their index."""
     spark = store.nodes.sparkSession
     version = f"v{time.time_ns():020d}"
     for name in TABLES:
@@ -46,6 +48,7 @@ def save(store: Store, path: str) -> str:
             writer = df.repartitionByRange("kind", "dst", "id").sortWithinPartitions("kind", "dst", "id").write.partitionBy("kind")
         writer.parquet(f"{path}/{version}/{name}")
     adjacency.write(spark.read.parquet(f"{path}/{version}/edges").withColumn("kind", F.col("kind").cast("string")), f"{path}/{version}/steps")
+    names.write(spark.read.parquet(f"{path}/{version}/nodes"), f"{path}/{version}/names")
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{version}/_done")
     return version
 
@@ -70,7 +73,7 @@ def load(spark: SparkSession, path: str) -> Store:
         raise ValueError(f"store version {version}, expected {STORE_VERSION}: run sync again")
     tables = {name: spark.read.parquet(f"{at}/{name}") for name in TABLES}
     tables["edges"] = tables["edges"].select("id", "src", "dst", F.col("kind").cast("string").alias("kind"), "path", "line", "provenance")
-    return Store(**tables, steps=adjacency.read(spark, f"{at}/steps"))
+    return Store(**tables, steps=adjacency.read(spark, f"{at}/steps"), names=names.read(spark, f"{at}/names"))
 
 
 def prune(spark: SparkSession, path: str, keep: int = 2) -> None:
