@@ -99,15 +99,22 @@ class Wavelet:
         block, rest = divmod(i, BLOCK_BITS)
         return int(rank[block]) + (int(self._block(plane, block)[:rest].sum()) if rest else 0)
 
-    def _select(self, plane: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit of that value."""
+    def _select(self, plane: int, bit: int, ks: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) bits of that value, for ascending k; each block is read once."""
         rank = self.planes[plane][1]
         before = rank if bit else np.minimum(np.arange(len(rank)) * BLOCK_BITS, self.n) - rank
-        block = int(np.searchsorted(before, k, "right")) - 1
-        found = np.flatnonzero(self._block(plane, block)[: self.n - block * BLOCK_BITS] == bit)
-        return block * BLOCK_BITS + int(found[k - int(before[block])])
+        blocks = np.searchsorted(before, ks, "right") - 1
+        out = np.empty(len(ks), np.int64)
+        for block in np.unique(blocks).tolist():
+            lo, hi = np.searchsorted(blocks, [block, block + 1])
+            found = np.flatnonzero(self._block(plane, block)[: self.n - block * BLOCK_BITS] == bit)
+            out[lo:hi] = block * BLOCK_BITS + found[ks[lo:hi] - int(before[block])]
+        return out
 
     def access(self, i: int) -> int:
+        """The id at a position; IndexError if there is none, also for a negative one."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         value = 0
         for p, (zeros, *_) in enumerate(self.planes):
             block, rest = divmod(i, BLOCK_BITS)
@@ -125,26 +132,33 @@ class Wavelet:
         return lo, hi
 
     def count(self, value: int, end: int | None = None) -> int:
-        """Occurrences before position `end`."""
+        """Occurrences before position `end`, from 0 to n; none of a value that isn't there."""
+        if end is not None and not 0 <= end <= self.n:
+            raise IndexError(end)
         if value >> self.bits:
             return 0
         lo, hi = self._range(value, self.n if end is None else end)
         return hi - lo
 
-    def select(self, value: int, k: int) -> int:
-        """Position of the k-th occurrence, from 0."""
-        lo, hi = (0, 0) if value >> self.bits else self._range(value, self.n)
-        if not 0 <= k < hi - lo:
-            raise IndexError(k)
-        at = lo + k
+    def _places(self, value: int, at: np.ndarray) -> np.ndarray:
+        """From places in the order of the last plane to positions; both ascend."""
         for p in range(self.bits - 1, -1, -1):
             zeros = self.planes[p][0]
             bit = value >> (self.bits - 1 - p) & 1
             at = self._select(p, bit, at - zeros if bit else at)
         return at
 
+    def select(self, value: int, k: int) -> int:
+        """Position of the k-th occurrence, from 0."""
+        lo, hi = (0, 0) if value >> self.bits else self._range(value, self.n)
+        if not 0 <= k < hi - lo:
+            raise IndexError(k)
+        return int(self._places(value, np.array([lo + k]))[0])
+
     def occurrences(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.count(value))]
+        """All positions of a value: one descent for all of them."""
+        lo, hi = (0, 0) if value >> self.bits else self._range(value, self.n)
+        return self._places(value, np.arange(lo, hi)).tolist()
 
     def tokens(self) -> np.ndarray:
         """All ids in order: planes are undone from the lowest up, each read in one go."""

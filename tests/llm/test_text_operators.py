@@ -213,8 +213,14 @@ def test_wavelet_lookups(n, tmp_path):
         if n == 200_000:
             assert f.access(123_456) == values[123_456] and sum(taken) < len(image) / 2
         assert (f.tokens() == values).all() and f.doc_ids.tolist() == [5, 0]
-    if n == 7:
-        assert w.occurrences(int(values[0])) == np.flatnonzero(values == values[0]).tolist()
+    for v in {0, 1, 49_999, 1 << 20, *values[:5].tolist()}:
+        assert w.occurrences(v) == np.flatnonzero(values == v).tolist()
+    for i in (-1, n, n + 1, 1 << 40):
+        with pytest.raises(IndexError):
+            w.access(i)
+    for end in (-1, n + 1):
+        with pytest.raises(IndexError):
+            w.count(1, end)
 
 
 def test_token_files_by_path(spark, sf, tmp_path):
