@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from rippleline.operators.adjacency import Walk
 from rippleline.operators.diff import Affected, affected, hunks
 from rippleline.sources.config import Config
 from rippleline.sources.dictionary import dictionary_query
-from rippleline.sources.store import Store, load, prune, save, versions
+from rippleline.sources.store import HOLD, Store, acquire, load, prune, release, save, versions
 from rippleline.sync import Report, sync
 
 
@@ -21,24 +25,71 @@ class NotFound(LookupError):
 
 
 class Engine:
-    """Answers from the latest store. Tables are immutable; a newer version is picked up by the next question."""
-
-    def __init__(self, spark: SparkSession, config: Config | None = None, store: Store | None = None):
-        self.spark, self.config = spark, config
-        self._store, self._version = store, None
+    """Answers from the latest store. Tables are immutable; a newer version is picked up by the next question.
+
+    An engine leases the version it reads for `hold` seconds, and anew when half of them are over; with 0 it leases none, as one has to that may
+    only read the store. What a question returned is safe from pruning until the engine takes up a newer version; snapshot() keeps one for longer."""
+
+    def __init__(self, spark: SparkSession, config: Config | None = None, store: Store | None = None, hold: float = HOLD):
+        self.spark, self.config, self.hold = spark, config, hold
+        self._store, self._version, self._lease, self._renew, self._pinned = store, None, None, 0.0, False
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Give back what the engine holds of a store that it has read itself."""
+        if self._version is not None:
+            if self._store.steps is not None:
+                self._store.steps.close()
+            self._store = self._version = None
+        self._give_back()
+
+    def _give_back(self) -> None:
+        if self._lease is not None:
+            release(self.spark, self._lease)
+            self._lease = None
+
+    def _take_up(self) -> None:
+        """Lease and read the newest version. The lease on an older one is given back when the new one is there."""
+        if self.hold > 0:
+            version, lease = acquire(self.spark, self.config.store, self.hold)
+        else:
+            version, lease = versions(self.spark, self.config.store)[-1], None
+        try:
+            if version != self._version:
+                new = load(self.spark, self.config.store, version)
+                if self._store is not None and self._store.steps is not None:
+                    self._store.steps.close()
+                self._store, self._version = new, version
+        except BaseException:
+            if lease is not None:
+                release(self.spark, lease)
+            raise
+        self._give_back()
+        self._lease, self._renew = lease, time.monotonic() + self.hold / 2
 
     @property
     def store(self) -> Store:
-        if self.config is not None:
+        if self.config is not None and not self._pinned:
             found = versions(self.spark, self.config.store)
-            if found and found[-1] != self._version:
-                if self._store is not None and self._store.steps is not None:
-                    self._store.steps.close()
-                self._store, self._version = load(self.spark, self.config.store), found[-1]
+            if found and (found[-1] != self._version or self._lease is not None and time.monotonic() > self._renew):
+                self._take_up()
         if self._store is None:
             self._store = load(self.spark, self.config.store if self.config else "")
         return self._store
 
+    @contextmanager
+    def snapshot(self, hold: float | None = None) -> Iterator[Engine]:
+        """An engine that stays with the version that is newest now, for as many seconds, whatever syncs and prunes come."""
+        with Engine(self.spark, self.config, self._store if self.config is None else None, self.hold if hold is None else hold) as e:
+            _ = e.store
+            e._pinned = True
+            yield e
+
     def sync(self) -> Report:
         made, report = sync(self.spark, self.config)
         save(made, self.config.store)

@@ -15,6 +15,7 @@ from rippleline.sources.dictionary import dictionary_query
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rippleline")
     p.add_argument("--config")
+    p.add_argument("--no-lease", action="store_true", help="write no lease: for a store that may only be read")
     c = p.add_subparsers(dest="command", required=True)
     c.add_parser("sync")
     c.add_parser("serve")
@@ -36,7 +37,16 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark, diff: str = "") -> tuple[str, int]:
     """(what to print, exit code)."""
-    engine = Engine(spark, load_config(args.config) if args.config else discover())
+    with _engine(args, spark) as engine:
+        return _run(engine, args, diff)
+
+
+def _engine(args: argparse.Namespace, spark) -> Engine:
+    config = load_config(args.config) if args.config else discover()
+    return Engine(spark, config, hold=0) if getattr(args, "no_lease", False) else Engine(spark, config)
+
+
+def _run(engine: Engine, args: argparse.Namespace, diff: str) -> tuple[str, int]:
     try:
         if args.command == "sync":
             r = engine.sync()
@@ -73,7 +83,8 @@ def main() -> int:
 
     spark = SparkSession.builder.appName("rippleline").getOrCreate()
     if args.command == "serve":
-        serve(Engine(spark, load_config(args.config) if args.config else discover()), sys.stdin, sys.stdout)
+        with _engine(args, spark) as engine:
+            serve(engine, sys.stdin, sys.stdout)
         return 0
     text, code = run(args, spark, sys.stdin.read() if args.command == "affected" else "")
     print(text)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rippleline.functions.text import ascii_upper
@@ -24,7 +24,7 @@ class Assembled:
     nodes: DataFrame
     edges: DataFrame
     chunks: DataFrame
-    invokes_dropped: DataFrame
+    counts: dict[str, int]
 
 
 def _group(kind):
@@ -65,15 +65,20 @@ def _references(raw: DataFrame, kinds: DataFrame) -> DataFrame:
     )
 
 
-def gate(raw: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw edges to what may be noise, names(key, bare) of what is known -> (admitted, one row with invokes_dropped). An edge is let in if
-    its target is known by its full key or by its bare name: two left joins, and a flag."""
+def flagged(raw: DataFrame, names: DataFrame) -> DataFrame:
+    """Raw edges to what may be noise, names(key, bare) of what is known -> the edges with `known`: whether the target is known by its full key or
+    by its bare name. Two left joins, and a flag."""
     schema, bare = _split(F.col("dst"))
     known = names.select(F.col("key").alias("_t")).union(names.select("bare")).distinct()
     wanted = raw.withColumn("_key", F.concat_ws(".", schema, bare)).withColumn("_bare", bare)
-    flagged = wanted.join(known.select(F.col("_t").alias("_key"), F.lit(True).alias("_by_key")), "_key", "left").join(known.select(F.col("_t").alias("_bare"), F.lit(True).alias("_by_bare")), "_bare", "left")
-    ok = F.col("_by_key").isNotNull() | F.col("_by_bare").isNotNull()
-    return flagged.where(ok).select(*raw.columns), flagged.agg(F.count_if(~ok).alias("invokes_dropped"))
+    found = wanted.join(known.select(F.col("_t").alias("_key"), F.lit(True).alias("_by_key")), "_key", "left").join(known.select(F.col("_t").alias("_bare"), F.lit(True).alias("_by_bare")), "_bare", "left")
+    return found.select(*raw.columns, (F.col("_by_key").isNotNull() | F.col("_by_bare").isNotNull()).alias("known"))
+
+
+def gate(raw: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges whose target is known, one row with invokes_dropped)."""
+    found = flagged(raw, names)
+    return found.where("known").drop("known"), found.agg(F.count_if(~F.col("known")).alias("invokes_dropped"))
 
 
 def assemble(services: DataFrame, defs: DataFrame, raw: DataFrame, registry: DataFrame) -> Assembled:
@@ -85,7 +90,8 @@ def assemble(services: DataFrame, defs: DataFrame, raw: DataFrame, registry: Dat
 
     # Invokes are let in only if they name a known procedure or function, and come after all others, as their targets must be there first.
     is_invoke = F.col("kind") == "Invokes"
-    admitted, dropped = gate(raw.where(is_invoke), defs.select("key", F.col("title").alias("bare")))
+    dropped, services_seen, kept = Observation(), Observation(), Observation()
+    admitted = flagged(raw.where(is_invoke), defs.select("key", F.col("title").alias("bare"))).observe(dropped, F.count_if(~F.col("known")).alias("invokes_dropped")).where("known").drop("known")
     edges = raw.where(~is_invoke).unionByName(registry_edges(registry, raw)).unionByName(admitted.withColumn("seq", F.concat(F.array(F.lit("4")), "seq")))
     edges = materialize(edges, "admitted")
     ends = _references(edges, kinds)
@@ -115,16 +121,16 @@ def assemble(services: DataFrame, defs: DataFrame, raw: DataFrame, registry: Dat
     chunks = materialize(chunks.select("id", "service", "path", "kind", "title", "line_start", "line_end", "signature", "body", "node"), "chunks")
     of_node = chunks.groupBy("node").agg(F.min("id").alias("chunk"))
     nodes = named.join(of_node, named["id"] == of_node["node"], "left").select("id", F.col("bare").alias("name"), "schema", "kind", "chunk")
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes, "nodes", services_seen, services=F.count_if(F.col("kind") == "Service"))
 
     # Edges: ids of both ends, no loops, the first evidence of each (kind, src, dst). Both ends of an edge meet in one aggregation by seq.
     placed = bound.join(named.select("grp", "key", F.col("id").alias("node")), ["grp", "key"])
     both = placed.groupBy("seq").agg(F.max(F.when(F.col("side") == 0, F.col("node"))).alias("src"), F.max(F.when(F.col("side") == 1, F.col("node"))).alias("dst"))
     tied = edges.select("seq", "kind", "path", "line").join(both, "seq").where("src <> dst")
     unique = numbered(rank_first(tied, ["kind", "src", "dst"], ["seq"]), ["seq"]).select("id", "src", "dst", "kind", "path", "line")
-    unique = materialize(provenance(unique, nodes, registry), "edges")
+    unique = materialize(provenance(unique, nodes, registry), "edges", kept, edges=F.count(F.lit(1)))
     drop(bound)
-    return Assembled(nodes, unique, chunks, dropped)
+    return Assembled(nodes, unique, chunks, {**dropped.get, **services_seen.get, **kept.get})
 
 
 def provenance(edges: DataFrame, nodes: DataFrame, registry: DataFrame) -> DataFrame:

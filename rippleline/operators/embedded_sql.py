@@ -3,7 +3,7 @@ Python; classifying and reading them are Column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippleline.functions.text import dynamic_tables, looks_like_sql, proc_calls, squeeze, table_refs
@@ -38,6 +38,11 @@ def sql_edges(sql: DataFrame) -> DataFrame:
     return each.select(seq.alias("seq"), F.col("ref.kind").alias("kind"), F.col("service").alias("src"), F.col("ref.dst").alias("dst"), "path", "line", F.col("ref.from_kind").alias("from_kind"))
 
 
+def dynamic_total() -> Column:
+    """The aggregate of SQL literals that counts table positions filled at run time."""
+    return F.coalesce(F.sum(dynamic_tables(F.col("text"))), F.lit(0)).cast("long")
+
+
 def dynamic_count(sql: DataFrame) -> DataFrame:
     """One row: table positions filled at run time."""
-    return sql.agg(F.coalesce(F.sum(dynamic_tables(F.col("text"))), F.lit(0)).cast("long").alias("dynamic_tables"))
+    return sql.agg(dynamic_total().alias("dynamic_tables"))

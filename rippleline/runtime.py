@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,12 +42,15 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, observation: Observation | None = None, **counters: Column) -> DataFrame:
     """Write once to the shared folder and read back. The lineage ends there, every executor can read it, and its size is
     known to the planner, which then broadcasts it only if it is small. Once written, the table needs no shuffle
-    files, so they go at once."""
+    files, so they go at once. An observation takes aggregates of the rows as they are written: no pass of their own, and counted in
+    the job's last stage, where Spark takes each partition once, also if a task runs again."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    if observation is not None:
+        df = df.observe(observation, *[c.alias(k) for k, c in counters.items()])
     with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rippleline.operators import cache_keys, embedded_sql, messages, plsql
@@ -19,6 +18,9 @@ from rippleline.sources.files import read_tree, scan_tree, unreadable
 from rippleline.sources.store import Store
 
 
+COUNTERS = ("services", "defs", "edges", "unresolved", "invokes_dropped", "dynamic_tables", "dynamic_keys")
+
+
 @dataclass(frozen=True)
 class Report:
     services: int
@@ -40,22 +42,18 @@ def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
 
 def build(spark: SparkSession, sql_files: DataFrame, code_files: DataFrame, dumps: list[DataFrame], services: DataFrame, registry: DataFrame, coverage: DataFrame) -> tuple[Store, DataFrame]:
     """files of SQL and of code, raw edges of dumps, services(seq, service), registry, coverage(service, has_dump) -> the store's tables and
-    one row of counters. Files are read once, and each extractor works on the same written table of them."""
+    one row of counters, which are observed as the tables are written and cost no pass. Files are read once, and each extractor works on the same written table of them."""
     files = materialize(code_files, "files")
-    defs = materialize(plsql.definitions(sql_files).select(*[c.split()[0] for c in RAW_DEFS.split(", ")]), "definitions")
+    every, seen = F.count(F.lit(1)), {name: Observation() for name in ("defs", "unresolved", "dynamic_tables", "dynamic_keys")}
+    defs = materialize(plsql.definitions(sql_files).select(*[c.split()[0] for c in RAW_DEFS.split(", ")]), "definitions", seen["defs"], defs=every)
     sites = messages.topic_sites(files)
-    sql = materialize(embedded_sql.sql_literals(embedded_sql.string_literals(files)), "sql-literals")
-    keys = materialize(cache_keys.accesses(cache_keys.calls(files), cache_keys.wrappers(files)), "key-accesses")
+    sql = materialize(embedded_sql.sql_literals(embedded_sql.string_literals(files)), "sql-literals", seen["dynamic_tables"], dynamic_tables=embedded_sql.dynamic_total())
+    keys = materialize(cache_keys.accesses(cache_keys.calls(files), cache_keys.wrappers(files)), "key-accesses", seen["dynamic_keys"], dynamic_keys=F.count_if(F.col("key").isNull()))
     raw = _union([plsql.owns(defs), plsql.dynamic_edges(defs), *dumps, messages.topic_edges(sites), messages.invokes(files), embedded_sql.sql_edges(sql), cache_keys.key_edges(keys)], spark, RAW_EDGES)
     made = assemble(services, defs, raw, registry)
-    unresolved = materialize(messages.unresolved(sites), "unresolved")
-    every = F.count(F.lit(1))
-    counted = {
-        "services": made.nodes.agg(F.count_if(F.col("kind") == "Service")), "defs": defs.agg(every), "edges": made.edges.agg(every), "unresolved": unresolved.agg(every),
-        "invokes_dropped": made.invokes_dropped, "dynamic_tables": embedded_sql.dynamic_count(sql), "dynamic_keys": keys.agg(F.count_if(F.col("key").isNull())),
-    }
-    rows = [df.toDF("n").select(F.lit(name).alias("name"), "n") for name, df in counted.items()]
-    counters = functools.reduce(DataFrame.union, rows).agg(*[F.sum(F.when(F.col("name") == x, F.col("n"))).alias(x) for x in counted])
+    unresolved = materialize(messages.unresolved(sites), "unresolved", seen["unresolved"], unresolved=every)
+    counts = made.counts | {k: v for o in seen.values() for k, v in o.get.items()}
+    counters = spark.createDataFrame([tuple(counts[x] for x in COUNTERS)], ", ".join(f"{x} long" for x in COUNTERS))
     meta = spark.createDataFrame([(int(time.time()),)], "synced_at long")
     return Store(made.nodes, made.edges, made.chunks, unresolved, coverage, meta), counters
 
