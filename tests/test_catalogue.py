@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rippleline.plans import catalogue, extraction  # noqa: F401
+from rippleline.plans import asked, catalogue, extraction  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
