@@ -26,6 +26,11 @@ def suggest(nodes: DataFrame, query: str, limit: int = SUGGESTIONS) -> DataFrame
     return keys.withColumn("score", similarity(F.col("key"), F.lit(query)).cast("int")).where("score > 0").orderBy(F.desc("score"), "key").limit(limit)
 
 
+def first_coverage(found: DataFrame) -> DataFrame:
+    """found(source_ord, service, has_dump), a row a source -> (service, has_dump): the first source of a service holds."""
+    return found.groupBy("service").agg(F.min_by("has_dump", "source_ord").alias("has_dump"))
+
+
 def without_dump(coverage: DataFrame) -> DataFrame:
     """(service) of those without a dictionary dump, each once."""
     return coverage.where(~F.coalesce("has_dump", F.lit(False))).select("service").distinct()

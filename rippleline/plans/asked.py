@@ -4,12 +4,15 @@ files on disk, and its scan; and what the tree of `extraction` has no case of.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleline import serve
 from rippleline.api import Engine
 from rippleline.operators import cache_keys, messages
+from rippleline.operators.lookup import first_coverage
 from rippleline.plans.catalogue import register
 from rippleline.plans.extraction import _NAT, _SUP, _TREE, built, diff_text
 from rippleline.runtime import table_path
@@ -17,6 +20,7 @@ from rippleline.sources.config import Config
 from rippleline.sources.files import scan_tree
 from rippleline.sources.shared import write_files
 from rippleline.sources.store import save
+from rippleline.sources.tree import pruned_tree
 
 _ENGINES: dict[tuple[str, str], Engine] = {}
 
@@ -155,13 +159,33 @@ def x_wrapper_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISK = (("main.go", "go"), ("vendor/x.go", None), ("deep/lib.hpp", "cpp"), ("bad.rs", "rust"), ("lib.HPP", None), ("build/gen/y.rs", None), ("a.b/z w+%.cc", "cpp"), ("vendored/t.h", "cpp"))
 
 
-@register("disk_scan", "WITH f AS (SELECT s_suppkey AS k, [{}][s_suppkey % 8 + 1] AS f FROM supplier) SELECT 's' || k || '/' || f[1] AS path, f[2] AS lang, CASE WHEN k % 8 <> 3 THEN 'supplier ' || k || ' é' END AS content FROM f WHERE f[2] IS NOT NULL".format(
-    ", ".join(f"('{name}', {repr(lang) if lang else 'NULL'})" for name, lang in DISK)))
-def disk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+_DISK_SQL = "WITH f AS (SELECT s_suppkey AS k, [{}][s_suppkey % 8 + 1] AS f FROM supplier) SELECT 's' || k || '/' || f[1] AS path, f[2] AS lang, CASE WHEN k % 8 <> 3 THEN 'supplier ' || k || ' é' END AS content FROM f WHERE f[2] IS NOT NULL".format(
+    ", ".join(f"('{name}', {repr(lang) if lang else 'NULL'})" for name, lang in DISK))
+
+
+def _on_disk(spark: SparkSession, sf_dir: str, scan: Callable[..., DataFrame]) -> DataFrame:
     """A tree written to disk of the suppliers, and its scan: skipped folders, languages by extension, and files that aren't UTF-8."""
     k, root = F.col("s_suppkey"), table_path(spark, "tree")
     name = F.element_at(F.array(*[F.lit(n) for n, _ in DISK]), (k % 8).cast("int") + 1)
     content = F.concat(F.encode(F.format_string("supplier %d é", k), "UTF-8"), F.when(k % 8 == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
     write_files(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.format_string("s%d/", k), name).alias("path"), content.alias("content")), root)
-    found = scan_tree(spark, root, "disk")
-    return found.select(F.substring_index("path", root.rpartition("/")[2] + "/", -1).alias("path"), "lang", "content")
+    return scan(spark, root, "disk").select(F.substring_index("path", root.rpartition("/")[2] + "/", -1).alias("path"), "lang", "content")
+
+
+@register("disk_scan", _DISK_SQL)
+def disk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_disk(spark, sf_dir, scan_tree)
+
+
+@register("disk_pruned", _DISK_SQL)
+def disk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the data source that prunes the descent."""
+    return _on_disk(spark, sf_dir, pruned_tree)
+
+
+# A service of SQL sources: the first source that names it says whether it has a dump.
+@register("coverage_first", """SELECT 'S' || s_nationkey AS service, arg_min(s_suppkey % 3 = 0, s_suppkey) AS has_dump FROM supplier GROUP BY s_nationkey""")
+def coverage_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    found = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("source_ord"), F.format_string("S%d", "s_nationkey").alias("service"), (k % 3 == 0).alias("has_dump"))
+    return first_coverage(found)

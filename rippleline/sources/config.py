@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rippleline.schema import REGISTRY
 
 CONFIG_NAME, REGISTRY_NAME = "rippleline.toml", "topics.toml"
+LISTINGS = ("spark", "pruned")
 SOURCE_KINDS = ("sql", "code")
 
 
@@ -26,6 +27,8 @@ class Config:
     store: str
     sources: list[Source] = field(default_factory=list)
     registry: str = ""
+    #: How sources are listed: by Spark, or by the data source that prunes the descent.
+    listing: str = "spark"
 
 
 def _anchored(path: str, folder: str) -> str:
@@ -42,7 +45,10 @@ def load_config(path: str) -> Config:
     sources = [Source(s["kind"], _anchored(s["path"], folder), s["service"]) for s in raw.get("sources", [])]
     if bad := [s.kind for s in sources if s.kind not in SOURCE_KINDS]:
         raise ValueError(f"unknown source kind {bad[0]!r}; one of {', '.join(SOURCE_KINDS)}")
-    return Config(_anchored(raw["store"]["path"], folder), sources, _anchored(raw.get("topics", REGISTRY_NAME), folder))
+    listing = raw.get("listing", "spark")
+    if listing not in LISTINGS:
+        raise ValueError(f"unknown listing {listing!r}; one of {', '.join(LISTINGS)}")
+    return Config(_anchored(raw["store"]["path"], folder), sources, _anchored(raw.get("topics", REGISTRY_NAME), folder), listing)
 
 
 def discover(start: str | None = None) -> Config:

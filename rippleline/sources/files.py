@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,9 @@ def unreadable(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("service").agg(F.count_if(F.col("content").isNull()).alias("unreadable"))
 
 
-def read_tree(spark: SparkSession, root: str, service: str, source_ord: int = 0, languages: tuple[str, ...] = ("go", "rust", "cpp"), strict: bool = False) -> DataFrame:
-    """scan_tree() without files that aren't UTF-8; where strict they fail the read."""
-    text = scan_tree(spark, root, service, source_ord, languages)
+def read_tree(spark: SparkSession, root: str, service: str, source_ord: int = 0, languages: tuple[str, ...] = ("go", "rust", "cpp"), strict: bool = False, scan: Callable[..., DataFrame] = scan_tree) -> DataFrame:
+    """A scan without files that aren't UTF-8; where strict they fail the read."""
+    text = scan(spark, root, service, source_ord, languages)
     if strict:
         return text.withColumn("content", F.coalesce("content", F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string")))
     return text.where("content is not null")

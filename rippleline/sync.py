@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from rippleline.operators import cache_keys, embedded_sql, messages, plsql
 from rippleline.operators.assemble import assemble
+from rippleline.operators.lookup import first_coverage
 from rippleline.runtime import materialize
 from rippleline.schema import FILES, RAW_DEFS, RAW_EDGES
 from rippleline.sources.config import Config, read_registry
 from rippleline.sources.dictionary import dump_edges, dump_path, read_dump
 from rippleline.sources.files import read_tree, scan_tree, unreadable
 from rippleline.sources.store import Store
+from rippleline.sources.tree import pruned_tree
 
 
 COUNTERS = ("services", "defs", "edges", "unresolved", "invokes_dropped", "dynamic_tables", "dynamic_keys")
@@ -62,20 +64,21 @@ def sync(spark: SparkSession, config: Config) -> tuple[Store, Report]:
     """Read what a configuration names, and build."""
     fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     exists = lambda p: fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p))
-    sql_parts, code_parts, dumps, coverage, services = [], [], [], {}, []
+    scan = pruned_tree if config.listing == "pruned" else scan_tree
+    sql_parts, code_parts, dumps, coverage, services = [], [], [], [], []
     for i, source in enumerate(config.sources):
         if source.kind == "sql":
-            sql_parts.append(read_tree(spark, source.path, source.service, i, ("sql",), strict=True))
+            sql_parts.append(read_tree(spark, source.path, source.service, i, ("sql",), strict=True, scan=scan))
             dump = dump_path(config.store, source.service)
             found = exists(dump)
             if found:
                 dumps.append(dump_edges(read_dump(spark, dump), source.service, i))
-            coverage.setdefault(source.service, found)
+            coverage.append((i, source.service, found))
         else:
-            code_parts.append(scan_tree(spark, source.path, source.service, i))
+            code_parts.append(scan(spark, source.path, source.service, i))
             services.append((["2", f"{i:06d}"], source.service))
     scanned = materialize(_union(code_parts, spark, FILES), "scanned")
-    covered = spark.createDataFrame(list(coverage.items()), "service string, has_dump boolean")
+    covered = first_coverage(spark.createDataFrame(coverage, "source_ord int, service string, has_dump boolean"))
     named = spark.createDataFrame(services, "seq array<string>, service string")
     store, counters = build(spark, _union(sql_parts, spark, FILES), scanned.where("content is not null"), dumps, named, read_registry(spark, config.registry), covered)
     skipped = unreadable(scanned).agg(F.coalesce(F.sum("unreadable"), F.lit(0))).first()[0]
