@@ -1,7 +1,10 @@
 """Searches without a cap, and answers that ask for more than the usual cap."""
 
+import re
+
 from hypothesis import HealthCheck, given, settings
 
+from rippleline import serve
 from rippleline.api import Engine
 from rippleline.operators import adjacency, graph
 from rippleline.sources.store import Store
@@ -37,6 +40,18 @@ def test_engine_without_cap(spark, tmp_path):
         assert [r.key for r in e.callers("p", 2, cap=250).collect()] == ["Q", *[f"S{i}" for i in range(249)]]
 
 
+def test_tools_give_as_many_as_asked(spark):
+    e = Engine(spark, store=_star(spark, 301))
+
+    def said(tool, **arguments):
+        return serve.answer(e, {"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": {"name": "p", **arguments}}})["result"]["content"][0]["text"]
+
+    assert len(said("get_callers", max_results=1000).split("\n")) == 301
+    assert len(said("get_callers").split("\n")) == 50
+    assert said("get_impact", depth=1, max_results=1) == "d1: [Q:Procedure via:Calls]"
+    assert re.search(r"\n\(cap hit\)", said("get_impact", depth=1)) and "cap hit" not in said("get_impact", depth=1, max_results=1000)
+
+
 def test_near_of_the_tree_has_no_cap(spark, tmp_path):
     """tree_callers of a tree with more services than the cap."""
     import duckdb
