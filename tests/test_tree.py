@@ -114,3 +114,13 @@ def test_a_sync_that_prunes(spark, tmp_path):
     (tmp_path / "c.toml").write_text(f'listing = "other"\n{text}')
     with pytest.raises(ValueError, match="unknown listing"):
         load_config(str(tmp_path / "c.toml"))
+
+
+def test_a_wide_level_makes_no_more_tasks_than_its_fan(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"t/s{i}").mkdir(parents=True)
+        (tmp_path / f"t/s{i}/a.go").write_text(str(i))
+    spark.dataSource.register(tree.SourceTree)
+    for fan in (0, 1, 3, 100):
+        read = spark.read.format("source_tree").option("fan", str(fan)).load(str(tmp_path / "t"))
+        assert read.rdd.getNumPartitions() <= max(fan, 1) and sorted(int(bytes(r.content)) for r in read.collect()) == list(range(40))
