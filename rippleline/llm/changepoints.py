@@ -43,17 +43,17 @@ def daily(rows: DataFrame, key: Column, time: Column, value: Column) -> DataFram
     return listed.select("key", F.col("days")[0]["day"].alias("first"), totals.alias("totals"))
 
 
-def _spread(days: Column, s: Column, q: Column, wide: bool) -> Column:
-    """1 + the whole part of the variance of so many numbers with sum s and sum of squares q."""
+def _spread(days: Column, s: Column, q: Column, wide: bool, square: Column | None = None) -> Column:
+    """1 + the whole part of the variance of so many numbers with sum s and sum of squares q. square: that of days, if it is there already."""
     if not wide:
-        return F.call_function("div", days * q - s * s, days * days) + 1
+        return F.call_function("div", days * q - s * s, days * days if square is None else square) + 1
     d = days.cast("decimal(10,0)")
     above, below = (d * q).cast(WIDE) - (s * s).cast(WIDE), (d * d).cast("decimal(20,0)")
     return ((above - above % below) / below).cast(WIDE) + 1
 
 
-def _price(days: Column, s: Column, q: Column, wide: bool) -> Column:
-    return days * F.floor(F.ln(_spread(days, s, q, wide).cast("double")) * 1000.0)
+def _price(days: Column, s: Column, q: Column, wide: bool, square: Column | None = None) -> Column:
+    return days * F.floor(F.ln(_spread(days, s, q, wide, square).cast("double")) * 1000.0)
 
 
 def _path(totals: Column, wide: bool, shortest: int, penalty: int) -> Column:
@@ -66,10 +66,11 @@ def _path(totals: Column, wide: bool, shortest: int, penalty: int) -> Column:
     n, one, two, never = F.size(totals), big(unit), big(unit * unit), big(1 << (100 if wide else 61))
     place = lambda key, base, s, q: F.struct(key.cast(kind).alias("key"), base.cast(kind).alias("base"), s.cast(kind).alias("s"), q.cast(kind).alias("q"))
 
-    def step(state: Column, x: Column) -> Column:
+    def step(state: Column, x: Column, lengths: Column) -> Column:
         def best(now: Column) -> Column:
-            through = lambda e, i: (e["base"] + (two * _price((i + shortest).cast("bigint"), now["s"] - e["s"], now["q"] - e["q"], wide)).cast(kind)).cast(kind)
-            least = F.coalesce(F.array_min(F.transform(F.slice(state, shortest, n + 1), through)), never)
+            through = lambda e, d: (e["base"] + (two * _price(d["n"], now["s"] - e["s"], now["q"] - e["q"], wide, d["square"])).cast(kind)).cast(kind)
+            far = F.greatest(F.size(state) - shortest + 1, F.lit(0))
+            least = F.coalesce(F.array_min(F.zip_with(F.slice(state, shortest, far), F.slice(lengths, shortest, far), through)), never)
             # What goes on from here has a penalty and a segment more, and starts here.
             return _let(least, lambda k: place(k, k - k % one + big(penalty * unit * unit + unit) + now["end"], now["s"], now["q"]))
 
@@ -93,7 +94,9 @@ def _path(totals: Column, wide: bool, shortest: int, penalty: int) -> Column:
         return F.transform(back, lambda p: F.struct(*[p[c].alias(c) for c in ("end", "cost", "count", "s", "q")]))
 
     # The first place is the start; a first segment that is shorter than allowed is never the best.
-    return _let(F.aggregate(totals, F.array(place(big(0), one, big(0), big(0))), step), walk)
+    # Lengths of segments and their squares are made once a series, as all days ask for them at all places.
+    lengths = F.transform(F.sequence(F.lit(1).cast("bigint"), n.cast("bigint")), lambda d: F.struct(d.alias("n"), (d * d).alias("square")))
+    return _let(_let(lengths, lambda every: F.aggregate(totals, F.array(place(big(0), one, big(0), big(0))), lambda state, x: step(state, x, every))), walk)
 
 
 def _whole(totals: Column) -> Column:
